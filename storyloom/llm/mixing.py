@@ -34,9 +34,9 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     sizes, counts = sizes[order].astype(np.int64), counts[order].astype(np.int64)
     total = int(sizes @ counts)
     budget = max(0, min(int(budget), total))
-    take = np.array([int(c) * budget // total if total else 0 for c in counts], dtype=np.int64)
-    left = budget - int(sizes @ take)
     width = max(SUMS, int(4 * np.median(sizes))) if len(sizes) else 0
+    take = np.array([int(c) * budget // total if budget > width else 0 for c in counts], dtype=np.int64)
+    left = budget - int(sizes @ take)
     for i in range(len(sizes) - 1, -1, -1):
         if left <= width:
             break

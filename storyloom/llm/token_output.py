@@ -7,6 +7,8 @@ block never splits a document. Blocks are ordered by (part, block); parts follow
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -97,23 +99,71 @@ class EliasFano:
         return ((places - np.arange(self.n)) << self.low_bits) | self._low(0, self.n)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, then those from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+#: ASCII marks that end a run of letters whatever follows; the apostrophe is not one, since it may begin a suffix.
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+
+
 class WordEncoder:
     """Encodes texts word by word and remembers the ids of words it has seen.
 
     Splitting at space, tab and line ends is exact for tokenizers that never form a token across them, as the
-    ones with a pre-tokenizer that drops white space; other tokenizers need ``by_word=False``.
+    ones with a pre-tokenizer that drops white space; other tokenizers need ``by_word=False``. If the tokenizer lower-cases
+    and takes runs of letters as pre-tokens, a new word of Latin-1 letters goes to its model without the regular expressions before it, and marks
+    after the letters are encoded apart.
     """
 
     def __init__(self, path: str, by_word: bool = True):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks fill the cores
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_word, self.known = Tokenizer.from_file(path), by_word, {}
+        self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
+        self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.type = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
+        about = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (about["normalizer"] or {}).get("normalizers", [])]
+        before = (about["pre_tokenizer"] or {}).get("pretokenizers", [])
+        pattern = before[0].get("pattern", {}).get("Regex", "") if before else ""
+        letters = "|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+        self.by_letters = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in before] == ["Split", "ByteLevel"] and pattern.endswith(letters)
+        self.model, self.table = self.tokenizer.model, _byte_letters()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.type).tobytes() for x in found]
 
+    def _piece(self, word: str) -> bytes:
+        """The ids of a word of Latin-1 letters in lower case."""
+        raw = word if word.isascii() else word.encode().decode("latin1").translate(self.table)
+        return b"".join([x.id.to_bytes(self.type.itemsize, "little") for x in self.model.tokenize(raw)])
+
+    def _new(self, words: set[str]) -> None:
+        known, pieces, rest = self.known, self.pieces, []
+        for word in words:
+            core = word.rstrip(MARKS)
+            if not self.by_letters or not core.isalpha() or max(core) > "\xff":
+                rest.append(word)
+                continue
+            tail, core = word[len(core) :], core.lower()
+            ids = pieces.get(core)
+            if ids is None:
+                ids = pieces[core] = self._piece(core)
+            if tail:
+                if tail not in pieces:
+                    pieces[tail] = self._ids([tail])[0]
+                ids += pieces[tail]
+            known[word] = ids
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            known.update(zip(part, self._ids(part)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
         if not self.by_word:
@@ -122,10 +172,9 @@ class WordEncoder:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            known.update(zip(part, self._ids(part)))
+        if len(self.pieces) > REMEMBERED:
+            self.pieces.clear()
+        self._new({w for words in split for w in words if w not in known})
         return [b"".join([known[w] for w in words]) for words in split]
 
 
