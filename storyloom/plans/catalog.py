@@ -1,2 +1,560 @@
-QUERIES = {}
-SQL = {}
+"""All queries of the engine's own operators, over whole tables, each with the SQL that says the same."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from storyloom.functions import scoring, text
+from storyloom.operators import graph, merge, rows, stories, threads
+from storyloom.sources.tables import articles, edges, read
+
+QUERIES: dict = {}
+SQL: dict = {}
+HALF_YEAR_DAYS = 180
+STOP = "(" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + ")"
+
+# Pieces of SQL that several checks share.
+ARTICLES = (
+    "articles AS (SELECT doc_id AS id, substr(split_part(text, chr(10), 1), 1, 120) AS title, substr(text, 1, 280) AS snippet, source AS domain, "
+    "CAST(regexp_extract(source, '(\\d+)$', 1) AS INT) % 5 AS tier, doc_id * 7 AS published_min, concat('http://', source, '/', md5(text)) AS url, text FROM documents)"
+)
+TOKENS = f"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(%s), '[^a-z0-9\\s-]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 AND w NOT IN {STOP}))"
+EDGES = (
+    "obs AS (SELECT concat('c', o_custkey) AS src, concat('s', l_suppkey) AS dst, l_shipdate AS seen, l_returnflag AS flag, l_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey), "
+    "edges AS (SELECT src, dst, count(*) AS weight, min(seen) AS first_seen, max(seen) AS last_seen, arg_max(flag, (seen, l_orderkey, l_linenumber)) AS state FROM obs GROUP BY 1, 2)"
+)
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return register
+
+
+def r4(x):
+    return scoring.rounded(x, 4)
+
+
+# --- articles
+
+
+@query(
+    "rank_top_stories",
+    f"WITH {ARTICLES}, d AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY published_min, id) AS k FROM articles), "
+    "s AS (SELECT id, domain, floor((CASE tier WHEN 0 THEN 100.0 WHEN 1 THEN 60.0 WHEN 2 THEN 85.0 WHEN 3 THEN 70.0 ELSE 50.0 END * 0.25 "
+    "+ CASE WHEN quality = 1 THEN 15.0 ELSE 0.0 END + 0.15 * floor(100.0 / (1.0 + pow(greatest(0.0, (1000000 - published_min) / 60.0) / 4.0, 1.6)) * 10 + 0.5) / 10) * 10 + 0.5) / 10 AS score "
+    "FROM d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l ON id = doc_id WHERE k = 1) "
+    "SELECT id, domain, score, row_number() OVER (ORDER BY score DESC, id) AS position FROM s QUALIFY position <= 30",
+)
+def rank_top_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 30 articles with the best scores, each url once."""
+    found = rows.one_per_key(articles(read(spark, sf_dir, "documents")), ["url"], [F.col("published_min"), F.col("id")])
+    accepted = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    found = found.join(accepted, F.col("id") == F.col("doc_id"), "left")
+    tier = F.when(F.col("tier") == 0, 100.0).when(F.col("tier") == 1, 60.0).when(F.col("tier") == 2, 85.0).when(F.col("tier") == 3, 70.0).otherwise(50.0)
+    age = (F.lit(1000000) - F.col("published_min")) / 60.0
+    score = scoring.rounded(tier * 0.25 + F.when(F.col("quality") == 1, 15.0).otherwise(0.0) + 0.15 * scoring.recency(age), 1)
+    best = rows.top(found.select("id", "domain", score.alias("score")), [F.col("score").desc(), F.col("id")], 30)
+    return best.withColumn("position", F.row_number().over(Window.orderBy(F.col("score").desc(), "id")).cast("long"))
+
+
+@query(
+    "story_positions",
+    f"WITH {ARTICLES} SELECT id, CAST(length(title) AS BIGINT) AS score, row_number() OVER (ORDER BY length(title) DESC, id) AS position FROM articles",
+)
+def story_positions(spark, sf_dir):
+    found = articles(read(spark, sf_dir, "documents")).select("id", F.length("title").cast("long").alias("score"))
+    return stories.ranked(found, "score", "id").select("id", "score", F.col("position").cast("long").alias("position"))
+
+
+KEYWORDS, BLACKLIST = "with|from|und|pour|los", "scum|vermin"
+
+
+@query(
+    "relevance_filter",
+    f"WITH {ARTICLES}, t AS (SELECT id, concat(title, ' ', snippet) AS body, tier FROM articles) "
+    f"SELECT id, tier FROM t WHERE NOT regexp_matches(body, '(?i)(^|[^A-Za-z0-9_])({BLACKLIST})([^A-Za-z0-9_]|$)') AND (regexp_matches(body, '(?i)(^|[^A-Za-z0-9_])({KEYWORDS})([^A-Za-z0-9_]|$)') OR tier IN (0, 3))",
+)
+def relevance_filter(spark, sf_dir):
+    body = F.concat_ws(" ", "title", "snippet")
+    found = articles(read(spark, sf_dir, "documents"))
+    return found.where(~text.has_word(body, BLACKLIST) & (text.has_word(body, KEYWORDS) | F.col("tier").isin(0, 3))).select("id", "tier")
+
+
+@query("freshness_filter", "SELECT event_id, user_id FROM events WHERE ts IS NULL OR date_diff('second', ts, TIMESTAMP '2024-01-20') <= 48 * 3600")
+def freshness_filter(spark, sf_dir):
+    age = F.expr("timestampdiff(SECOND, ts, TIMESTAMP_NTZ '2024-01-20 00:00:00')")
+    return rows.fresh(read(spark, sf_dir, "events"), age, 48 * 3600).select("event_id", "user_id")
+
+
+@query("dedupe_first_url", f"WITH {ARTICLES} SELECT url, min(id) AS id FROM articles GROUP BY url")
+def dedupe_first_url(spark, sf_dir):
+    return rows.one_per_key(articles(read(spark, sf_dir, "documents")), ["url"], [F.col("id")]).select("url", "id")
+
+
+@query("dedupe_last_id", "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2")
+def dedupe_last_id(spark, sf_dir):
+    last = rows.one_per_key(read(spark, sf_dir, "events"), ["user_id", "event_type"], [F.col("ts").desc(), F.col("event_id").desc()])
+    return last.select("user_id", "event_type", "event_id")
+
+
+@query(
+    "url_canonical",
+    "WITH p AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS u FROM pages), q AS (SELECT page_id, u, "
+    "lower(regexp_replace(regexp_extract(u, '^([A-Za-z]+://[^/?]*)', 1), ':(80|443)$', '')) AS head, regexp_replace(regexp_extract(u, '^[A-Za-z]+://[^/?]*([^?]*)', 1), '/+$', '') AS path, "
+    "list_sort(list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'), lambda x: x <> '' AND lower(split_part(x, '=', 1)) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'gclid', 'fbclid'))) AS kept FROM p) "
+    "SELECT page_id, CASE WHEN regexp_matches(lower(u), '^https?://') THEN concat(head, path, CASE WHEN len(kept) > 0 THEN concat('?', array_to_string(kept, '&')) ELSE '' END) END AS url FROM q",
+)
+def url_canonical(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", text.canonical_url(F.col("url")).alias("url"))
+
+
+@query(
+    "html_title_body",
+    "SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title, "
+    "sha256(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) AS body_sha FROM pages",
+)
+def html_title_body(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    return pages.select("page_id", text.html_title(F.col("html")).alias("title"), F.sha2(text.html_text(F.col("html")), 256).alias("body_sha"))
+
+
+@query("tokenize_counts", f"SELECT token, count(*) AS n FROM (SELECT unnest({TOKENS % 'text'}) AS token FROM documents) GROUP BY 1")
+def tokenize_counts(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select(F.explode(text.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query(
+    "similarity_pairs",
+    f"WITH {ARTICLES}, t AS (SELECT id, published_min, {TOKENS % 'title'} AS t FROM articles), p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) AS i, len(a.t) AS x, len(b.t) AS y "
+    "FROM t a JOIN t b ON a.id < b.id AND b.published_min - a.published_min <= 2880 AND a.published_min - b.published_min <= 2880) "
+    "SELECT a, b, floor(i / (x + y - i) * 10000.0 + 0.5) / 10000.0 AS similarity FROM p WHERE i > 0 AND i / (x + y - i) >= 0.32",
+)
+def similarity_pairs(spark, sf_dir):
+    found = stories.similar_pairs(articles(read(spark, sf_dir, "documents")))
+    return found.select("a", "b", r4(F.col("similarity")).alias("similarity"))
+
+
+@query("greedy_clusters")
+def greedy_clusters(spark, sf_dir):
+    return stories.greedy_stories(articles(read(spark, sf_dir, "documents")))
+
+
+@query(
+    "primary_source_pick",
+    f"WITH {ARTICLES} SELECT md5(title) AS story, arg_max(id, (5 - tier, published_min, -id)) AS primary_id, count(*) AS members FROM articles GROUP BY 1",
+)
+def primary_source_pick(spark, sf_dir):
+    found = articles(read(spark, sf_dir, "documents")).withColumn("story", F.md5("title"))
+    return stories.primary_source(found, "story", 5 - F.col("tier"))
+
+
+@query("scoop_leader", f"WITH {ARTICLES} SELECT md5(title) AS story, arg_min(domain, (published_min, id)) AS leader, count(DISTINCT domain) AS domains FROM articles GROUP BY 1")
+def scoop_leader(spark, sf_dir):
+    return stories.scoop_leader(articles(read(spark, sf_dir, "documents")).withColumn("story", F.md5("title")), "story")
+
+
+@query(
+    "source_reputation",
+    "WITH l AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1), f AS (SELECT md5(text) AS h, min(doc_id) AS f, count(DISTINCT source) AS s FROM documents GROUP BY 1), "
+    "t AS (SELECT source, count(*) AS ingested, count(*) FILTER (q = 1) AS accepted, count(*) FILTER (doc_id = f AND s > 1) AS scoops, count(*) FILTER (doc_id <> f) AS corroborations "
+    "FROM documents LEFT JOIN l USING (doc_id) JOIN f ON md5(text) = h GROUP BY 1) SELECT source, ingested, accepted, scoops, corroborations, "
+    "floor(greatest(0.7, least(1.3, 1.0 + CASE WHEN accepted / ingested < 0.15 THEN -0.15 WHEN accepted / ingested < 0.35 THEN -0.08 WHEN accepted / ingested >= 0.75 THEN 0.08 ELSE 0 END "
+    "+ least(0.15::DOUBLE, scoops * 0.03::DOUBLE) + least(0.1::DOUBLE, corroborations * 0.01::DOUBLE))) * 100.0 + 0.5) / 100.0 AS multiplier FROM t",
+)
+def source_reputation(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("h"))
+    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"))
+    first = docs.groupBy("h").agg(F.min("doc_id").alias("f"), F.countDistinct("source").alias("s"))
+    found = docs.join(labels, "doc_id", "left").join(first, "h")
+    stats = found.groupBy("source").agg(
+        F.count("*").alias("ingested"), F.count_if(F.col("q") == 1).alias("accepted"),
+        F.count_if((F.col("doc_id") == F.col("f")) & (F.col("s") > 1)).alias("scoops"), F.count_if(F.col("doc_id") != F.col("f")).alias("corroborations"),
+    )
+    return stats.withColumn("multiplier", scoring.reputation(*map(F.col, ("ingested", "accepted", "scoops", "corroborations"))))
+
+
+@query(
+    "entity_promotion",
+    "WITH m AS (SELECT unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{5,}'))) AS entity, doc_id, source FROM documents) "
+    "SELECT lower(entity) AS slug, count(*) AS mentions, count(DISTINCT source) AS sources, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM m GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT source) >= 2",
+)
+def entity_promotion(spark, sf_dir):
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{5,}"), F.lit(0)))
+    mentions = read(spark, sf_dir, "documents").select("doc_id", "source", F.explode(found).alias("entity"))
+    stats = mentions.groupBy(F.lower("entity").alias("slug")).agg(
+        F.count("*").alias("mentions"), F.countDistinct("source").alias("sources"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")
+    )
+    return stats.where("mentions >= 3 AND sources >= 2")
+
+
+@query(
+    "epistemic_state",
+    "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])({p})([^A-Za-z0-9_]|$)') THEN '{n}'" for n, p in text.EPISTEMIC) + " ELSE 'CONFIRMED' END AS state FROM documents",
+)
+def epistemic_state(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", text.epistemic_state(F.col("text")).alias("state"))
+
+
+@query("sha_identity", "SELECT doc_id, substr(sha256(text), 1, 32) AS article_key, sha256(concat_ws('|', source, lang, text)) AS content_sha FROM documents")
+def sha_identity(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select(
+        "doc_id", F.substring(F.sha2("text", 256), 1, 32).alias("article_key"), F.sha2(F.concat_ws("|", "source", "lang", "text"), 256).alias("content_sha")
+    )
+
+
+@query(
+    "content_fingerprint",
+    f"WITH {ARTICLES} SELECT id, sha256(concat_ws('|', 'event-v1', CAST(published_min // 1440 AS VARCHAR), array_to_string(list_sort({TOKENS % 'title'})[1:12], ','))) AS fingerprint FROM articles",
+)
+def content_fingerprint(spark, sf_dir):
+    day = F.floor(F.col("published_min") / 1440).cast("string")
+    first = F.array_join(F.slice(F.array_sort(text.tokens(F.col("title"))), 1, 12), ",")
+    return articles(read(spark, sf_dir, "documents")).select("id", F.sha2(F.concat_ws("|", F.lit("event-v1"), day, first), 256).alias("fingerprint"))
+
+
+@query("stable_hash_fnv")
+def stable_hash_fnv(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", text.stable_hash(F.col("p_name")).alias("h"))
+
+
+@query(
+    "extract_metrics",
+    "SELECT doc_id, TRY_CAST(regexp_extract(text, '(\\d+(?:\\.\\d+)?)\\s*(?:%|percent)', 1) AS DOUBLE) AS percent, CAST(len(regexp_extract_all(text, '\\d+')) AS BIGINT) AS numbers FROM documents",
+)
+def extract_metrics(spark, sf_dir):
+    percent = F.regexp_extract("text", r"(\d+(?:\.\d+)?)\s*(?:%|percent)", 1).try_cast("double")
+    return read(spark, sf_dir, "documents").select("doc_id", percent.alias("percent"), F.regexp_count("text", F.lit(r"\d+")).cast("long").alias("numbers"))
+
+
+# --- archive
+
+
+@query("archive_search_phrase", "SELECT doc_id, source FROM documents WHERE contains(concat(' ', regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), ' of the ')")
+def archive_search_phrase(spark, sf_dir):
+    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), F.lit(" "))
+    return read(spark, sf_dir, "documents").where(F.contains(padded, F.lit(" of the "))).select("doc_id", "source")
+
+
+@query("archive_browse_keyset", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' OR (o_orderdate = TIMESTAMP '1998-01-01' AND o_orderkey > 100) ORDER BY o_orderdate DESC, o_orderkey LIMIT 31")
+def archive_browse_keyset(spark, sf_dir):
+    from datetime import datetime
+
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    return rows.page(orders, [("o_orderdate", False), ("o_orderkey", True)], (datetime(1998, 1, 1), 100), 30)
+
+
+@query("archive_day_groups", "SELECT strftime(ts + INTERVAL '330 minutes', '%Y-%m-%d') AS day, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1")
+def archive_day_groups(spark, sf_dir):
+    day = F.date_format(F.expr("ts + INTERVAL 330 MINUTES"), "yyyy-MM-dd")
+    return read(spark, sf_dir, "events").groupBy(day.alias("day")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query("archive_diff", "SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01')")
+def archive_diff(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders")
+    later = F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")
+    return rows.anti(orders.where(~later), orders.where(later), ["o_custkey"]).select("o_orderkey")
+
+
+@query("unthreaded_anti", "SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority = '1-URGENT' WHERE o_orderkey IS NULL")
+def unthreaded_anti(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return read(spark, sf_dir, "customer").join(orders, "c_custkey", "left_anti").select("c_custkey")
+
+
+@query("blob_reconcile", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN d.doc_id IS NULL THEN 'unreferenced' ELSE 'present' END AS state FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id")
+def blob_reconcile(spark, sf_dir):
+    return merge.reconciled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), "doc_id")
+
+
+# --- suppliers
+
+
+@query(
+    "candidate_links_anti",
+    "WITH l AS (SELECT l_suppkey AS s, p_brand AS b, count(*) AS m, count(DISTINCT l_orderkey) AS o FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2), k AS (SELECT DISTINCT l_suppkey AS s, p_brand AS b FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_discount > 0.09) "
+    "SELECT s, b, m, o, floor(least(1.0, 0.3 + 0.15 * m + 0.1 * o) * 10000.0 + 0.5) / 10000.0 AS confidence FROM l ANTI JOIN k USING (s, b)",
+)
+def candidate_links_anti(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = lines.select(F.col("l_suppkey").alias("s"), F.col("p_brand").alias("b"), "l_orderkey", "l_returnflag", "l_discount")
+    found = lines.groupBy("s", "b").agg(F.count("*").alias("m"), F.countDistinct("l_orderkey").alias("o"))
+    return rows.anti(found, lines.where("l_returnflag = 'R' AND l_discount > 0.09"), ["s", "b"]).withColumn("confidence", scoring.link_confidence(F.col("m"), F.col("o")))
+
+
+@query("supplier_directory_page", "SELECT s_name, s_suppkey FROM supplier SEMI JOIN (SELECT l_suppkey AS s_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size >= 25) x USING (s_suppkey) WHERE s_name > 'Supplier#000000010' ORDER BY s_name, s_suppkey LIMIT 21")
+def supplier_directory_page(spark, sf_dir):
+    large = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part").where("p_size >= 25"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("s_suppkey"))
+    found = read(spark, sf_dir, "supplier").join(large, "s_suppkey", "left_semi").where("s_name > 'Supplier#000000010'").select("s_name", "s_suppkey")
+    return rows.page(found, [("s_name", True), ("s_suppkey", True)], None, 20)
+
+
+@query("supplier_dossier", "SELECT s_suppkey, s_name, n_name, brands, lines FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN (SELECT l_suppkey, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS brands, count(*) AS lines FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) ON s_suppkey = l_suppkey")
+def supplier_dossier(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    brands = lines.groupBy("l_suppkey").agg(F.array_join(F.array_sort(F.collect_set("p_brand")), ",").alias("brands"), F.count("*").alias("lines"))
+    found = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return found.join(brands, F.col("s_suppkey") == F.col("l_suppkey"), "left").select("s_suppkey", "s_name", "n_name", "brands", "lines")
+
+
+@query("capability_stats", "SELECT p_type, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT p_brand) AS programs FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
+def capability_stats(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return lines.groupBy("p_type").agg(F.countDistinct("l_suppkey").alias("suppliers"), F.countDistinct("p_brand").alias("programs"))
+
+
+@query("program_stage_stats", "SELECT p_brand, count(*) FILTER (p_size <= 10) AS small, count(*) FILTER (p_size > 10 AND p_size <= 30) AS medium, count(*) FILTER (p_size > 30) AS large FROM part GROUP BY 1")
+def program_stage_stats(spark, sf_dir):
+    return read(spark, sf_dir, "part").groupBy("p_brand").agg(
+        F.count_if(F.col("p_size") <= 10).alias("small"), F.count_if((F.col("p_size") > 10) & (F.col("p_size") <= 30)).alias("medium"), F.count_if(F.col("p_size") > 30).alias("large")
+    )
+
+
+@query("growth_30d", "SELECT o_orderpriority, count(*) FILTER (o_orderdate >= TIMESTAMP '1998-07-03' AND o_orderdate < TIMESTAMP '1998-08-02') AS recent, count(*) AS total FROM orders GROUP BY 1")
+def growth_30d(spark, sf_dir):
+    recent = F.expr("o_orderdate >= TIMESTAMP_NTZ '1998-08-02' - INTERVAL 30 DAYS AND o_orderdate < TIMESTAMP_NTZ '1998-08-02'")
+    return read(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count_if(recent).alias("recent"), F.count("*").alias("total"))
+
+
+@query("kb_page_offset", "SELECT s_suppkey, s_name FROM supplier WHERE s_name ILIKE '%supplier%' ORDER BY s_name, s_suppkey LIMIT 20 OFFSET 40")
+def kb_page_offset(spark, sf_dir):
+    return read(spark, sf_dir, "supplier").where(F.col("s_name").ilike("%supplier%")).select("s_suppkey", "s_name").orderBy("s_name", "s_suppkey").offset(40).limit(20)
+
+
+# --- graph
+
+
+def graph_of(spark, sf_dir):
+    return graph.build(edges(read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")))
+
+
+@query("graph_edges", f"WITH {EDGES} SELECT * FROM edges")
+def graph_edges(spark, sf_dir):
+    return graph_of(spark, sf_dir)
+
+
+@query("graph_degree", f"WITH {EDGES} SELECT node, count(*) AS degree, CAST(sum(weight) AS BIGINT) AS weight FROM (SELECT src AS node, weight FROM edges UNION ALL SELECT dst, weight FROM edges) GROUP BY 1")
+def graph_degree(spark, sf_dir):
+    return graph.degrees(graph_of(spark, sf_dir))
+
+
+@query("graph_hop2", f"WITH {EDGES}, h AS (SELECT * FROM edges WHERE src = 's1' OR dst = 's1'), n AS (SELECT src AS node FROM h UNION SELECT dst FROM h) SELECT src, dst, weight FROM edges WHERE src IN (SELECT node FROM n) OR dst IN (SELECT node FROM n)")
+def graph_hop2(spark, sf_dir):
+    found = graph.neighbourhood(graph_of(spark, sf_dir), spark.createDataFrame([("s1",)], "node string"))
+    return found.select("src", "dst", "weight")
+
+
+@query("graph_time_slice", f"WITH {EDGES} SELECT src, dst, weight FROM edges WHERE last_seen >= TIMESTAMP '1996-01-01' AND first_seen <= TIMESTAMP '1996-12-31' AND weight >= 2")
+def graph_time_slice(spark, sf_dir):
+    from datetime import datetime
+
+    return graph.overlapping(graph_of(spark, sf_dir), datetime(1996, 1, 1), datetime(1996, 12, 31), 2).select("src", "dst", "weight")
+
+
+# --- topics
+
+
+@query("topic_corroboration", "SELECT n_name, count(*) AS mentions, count(DISTINCT owner) AS owners FROM nation JOIN (SELECT c_nationkey AS k, c_mktsegment AS owner FROM customer UNION ALL SELECT s_nationkey, 'supplier' FROM supplier) ON n_nationkey = k GROUP BY 1")
+def topic_corroboration(spark, sf_dir):
+    mentions = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("owner"))
+    mentions = mentions.union(read(spark, sf_dir, "supplier").select("s_nationkey", F.lit("supplier")))
+    return mentions.join(read(spark, sf_dir, "nation"), F.col("k") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("mentions"), F.countDistinct("owner").alias("owners"))
+
+
+@query("alias_collisions", "SELECT lower(p_type) AS alias, count(DISTINCT p_brand) AS topics, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS names FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1")
+def alias_collisions(spark, sf_dir):
+    found = read(spark, sf_dir, "part").groupBy(F.lower("p_type").alias("alias")).agg(F.countDistinct("p_brand").alias("topics"), F.array_join(F.array_sort(F.collect_set("p_brand")), ",").alias("names"))
+    return found.where("topics > 1")
+
+
+@query("topic_articles_page", "WITH s AS (SELECT c_nationkey AS k, count(*) AS n, min(o_orderdate) AS first_at, max(o_orderdate) AS last_at FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) SELECT o_orderkey, o_orderdate, n, first_at, last_at FROM orders JOIN customer ON o_custkey = c_custkey JOIN s ON c_nationkey = k WHERE c_nationkey = 7 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 21")
+def topic_articles_page(spark, sf_dir):
+    found = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    stats = found.groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n"), F.min("o_orderdate").alias("first_at"), F.max("o_orderdate").alias("last_at"))
+    joined = rows.matching(found, c_nationkey=7).join(stats, F.col("c_nationkey") == F.col("k")).select("o_orderkey", "o_orderdate", "n", "first_at", "last_at")
+    return rows.page(joined, [("o_orderdate", False), ("o_orderkey", False)], None, 20)
+
+
+@query("topic_best_mention", "SELECT l_partkey, max(l_discount) AS confidence, arg_max(l_orderkey, (l_discount, -l_orderkey, -l_linenumber)) AS l_orderkey FROM lineitem GROUP BY 1")
+def topic_best_mention(spark, sf_dir):
+    best = F.struct("l_discount", -F.col("l_orderkey"), -F.col("l_linenumber"))
+    return read(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.max("l_discount").alias("confidence"), F.max_by("l_orderkey", best).alias("l_orderkey"))
+
+
+@query("topic_redirect_recursive", "WITH RECURSIVE r AS (SELECT n_nationkey AS topic, n_nationkey AS node, 0 AS depth FROM nation UNION ALL SELECT topic, n_nationkey - 1, depth + 1 FROM r JOIN nation ON n_nationkey = node WHERE n_nationkey % 5 <> 0 AND depth < 20) SELECT topic, CAST(min(node) AS INTEGER) AS terminal, CAST(max(depth) AS INTEGER) AS depth FROM r GROUP BY 1")
+def topic_redirect_recursive(spark, sf_dir):
+    read(spark, sf_dir, "nation").createOrReplaceTempView("redirect_source")
+    return spark.sql(
+        "WITH RECURSIVE r(topic, node, depth) AS (SELECT n_nationkey, n_nationkey, 0 FROM redirect_source UNION ALL "
+        "SELECT topic, n_nationkey - 1, depth + 1 FROM r JOIN redirect_source ON n_nationkey = node WHERE n_nationkey % 5 <> 0 AND depth < 20) "
+        "SELECT topic, min(node) AS terminal, max(depth) AS depth FROM r GROUP BY topic"
+    )
+
+
+@query("topic_list_keyset", "SELECT r_name, n_name, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name < 'EUROPE' OR (r_name = 'EUROPE' AND n_name > 'G') ORDER BY r_name DESC, n_name LIMIT 11")
+def topic_list_keyset(spark, sf_dir):
+    found = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name", "n_nationkey")
+    return rows.page(found, [("r_name", False), ("n_name", True)], ("EUROPE", "G"), 10)
+
+
+@query("assignment_disagreement", "SELECT a.l_orderkey, a.l_linenumber AS shadow, b.l_linenumber AS accepted FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey = b.l_suppkey AND a.l_linenumber < b.l_linenumber AND a.l_returnflag <> b.l_returnflag")
+def assignment_disagreement(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_returnflag")
+    a, b = lines.alias("a"), lines.alias("b")
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("l_orderkey", "l_suppkey")] + [F.col("a.l_linenumber") < F.col("b.l_linenumber"), F.col("a.l_returnflag") != F.col("b.l_returnflag")]
+    return a.join(b, on).select("a.l_orderkey", F.col("a.l_linenumber").alias("shadow"), F.col("b.l_linenumber").alias("accepted"))
+
+
+@query("provisional_promotion", "SELECT md5(text) AS topic, count(DISTINCT source) AS owners, coalesce(bool_or(q = 1), false) AS official FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1) USING (doc_id) GROUP BY 1 HAVING count(DISTINCT source) >= 2 OR coalesce(bool_or(q = 1), false)")
+def provisional_promotion(spark, sf_dir):
+    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"))
+    found = read(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("topic")).join(labels, "doc_id", "left")
+    stats = found.groupBy("topic").agg(F.countDistinct("source").alias("owners"), F.coalesce(F.bool_or(F.col("q") == 1), F.lit(False)).alias("official"))
+    return stats.where("owners >= 2 OR official")
+
+
+@query("backfill_selection", "SELECT o_orderkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS reclassify FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') OR NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'F')")
+def backfill_selection(spark, sf_dir):
+    flags = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("r"), F.bool_or(F.col("l_linestatus") == "F").alias("f"))
+    found = read(spark, sf_dir, "orders").join(flags, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    r, f = F.coalesce("r", F.lit(False)), F.coalesce("f", F.lit(False))
+    return found.where(r | ~f).select("o_orderkey", r.alias("reclassify"))
+
+
+@query("near_duplicate_names", "SELECT a.p_partkey AS candidate, b.p_partkey AS existing FROM part a JOIN part b ON regexp_replace(lower(a.p_name), '[^a-z0-9]', '', 'g') = regexp_replace(lower(b.p_name), '[^a-z0-9]', '', 'g') AND a.p_partkey > b.p_partkey")
+def near_duplicate_names(spark, sf_dir):
+    part = read(spark, sf_dir, "part").select("p_partkey", F.regexp_replace(F.lower("p_name"), "[^a-z0-9]", "").alias("name"))
+    a, b = part.alias("a"), part.alias("b")
+    return a.join(b, (F.col("a.name") == F.col("b.name")) & (F.col("a.p_partkey") > F.col("b.p_partkey"))).select(F.col("a.p_partkey").alias("candidate"), F.col("b.p_partkey").alias("existing"))
+
+
+# --- threads
+
+
+@query("thread_candidates", "SELECT DISTINCT a.o_orderkey AS cluster, b.o_custkey AS thread FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority AND a.o_orderkey <> b.o_orderkey AND abs(date_diff('day', a.o_orderdate, b.o_orderdate)) <= 180 UNION SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F'")
+def thread_candidates(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders")
+    a, b = orders.alias("a"), orders.alias("b")
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("o_custkey", "o_orderpriority")]
+    near = a.join(b, [*on, F.col("a.o_orderkey") != F.col("b.o_orderkey"), F.abs(F.datediff("a.o_orderdate", "b.o_orderdate")) <= HALF_YEAR_DAYS])
+    return near.select(F.col("a.o_orderkey").alias("cluster"), F.col("b.o_custkey").alias("thread")).union(orders.where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")).distinct()
+
+
+@query("thread_sequence", "SELECT event_id, row_number() OVER w AS sequence_index, concat(event_type, '.', row_number() OVER w) AS sequence_code FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)")
+def thread_sequence(spark, sf_dir):
+    found = threads.sequenced(read(spark, sf_dir, "events"), "user_id", "event_type", "ts", "event_id")
+    return found.select("event_id", F.col("sequence_index").cast("long").alias("sequence_index"), "sequence_code")
+
+
+@query("thread_reactivation", "WITH g AS (SELECT user_id, ts, date_diff('second', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) AS gap FROM events) SELECT user_id, count(*) AS events, min(ts) AS first_at, max(ts) AS last_at, count(*) FILTER (gap > 36000) AS reactivations FROM g GROUP BY 1")
+def thread_reactivation(spark, sf_dir):
+    return threads.reactivations(read(spark, sf_dir, "events"), "user_id", "ts", "event_id", 36000)
+
+
+@query("thread_coherence")
+def thread_coherence(spark, sf_dir):
+    """For each turn, the mean similarity of its tokens to those of its conversation's other turns. Each token's turns meet, not all pairs of texts."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", text.tokens(F.col("text")).alias("t"))
+    a, b = turns.alias("a"), turns.alias("b")
+    pairs = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.turn") != F.col("b.turn")))
+    return pairs.groupBy("a.conv_id", "a.turn").agg(r4(F.avg(text.jaccard(F.col("a.t"), F.col("b.t")))).alias("coherence"))
+
+
+@query(
+    "pattern_window_72h",
+    "WITH w AS (SELECT a.event_type AS event_type, a.ts AS ts, count(DISTINCT b.user_id) AS members FROM events a JOIN events b ON a.event_type = b.event_type AND epoch(b.ts)::BIGINT BETWEEN epoch(a.ts)::BIGINT AND epoch(a.ts)::BIGINT + 10800 GROUP BY a.event_id, 1, 2) "
+    "SELECT event_type, min(ts) AS start_at, CAST(arg_min(members, ts) AS INTEGER) AS members FROM w WHERE members >= 3 GROUP BY 1",
+)
+def pattern_window(spark, sf_dir):
+    """The first three hours in which three users did the same. Anchors are few and fixed, events per anchor many."""
+    return threads.dense_windows(read(spark, sf_dir, "events"), "event_type", "ts", "user_id", 3, 3)
+
+
+@query("circuit_breaker", "WITH r AS (SELECT user_id, event_type = 'error' AS f, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events), n AS (SELECT user_id, run, count(*) FILTER (f) AS n FROM r GROUP BY 1, 2) SELECT user_id, arg_max(n, run) AS failures, max(n) AS longest, arg_max(n, run) >= 2 AS is_open FROM n GROUP BY 1")
+def circuit_breaker(spark, sf_dir):
+    return threads.breaker_states(read(spark, sf_dir, "events"), "user_id", "ts", "event_id", F.col("event_type") == "error", 2)
+
+
+# --- merges, snapshots, monitoring
+
+
+def order_counts(spark, sf_dir, later: bool):
+    found = read(spark, sf_dir, "orders").where((F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")) == later)
+    return found.groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("most"), F.max("o_orderdate").alias("last_at"))
+
+
+HALVES = "WITH h AS (SELECT o_custkey, o_orderdate >= TIMESTAMP '1998-01-01' AS later, count(*) AS n, max(o_totalprice) AS most, max(o_orderdate) AS last_at FROM orders GROUP BY 1, 2), a AS (SELECT * FROM h WHERE NOT later), b AS (SELECT * FROM h WHERE later)"
+
+
+@query("merge_counts_max", HALVES + " SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, coalesce(a.n, 0) + coalesce(b.n, 0) AS n, greatest(a.most, b.most) AS most, greatest(a.last_at, b.last_at) AS last_at FROM a FULL JOIN b ON a.o_custkey = b.o_custkey")
+def merge_counts_max(spark, sf_dir):
+    return merge.merged(order_counts(spark, sf_dir, False), order_counts(spark, sf_dir, True), ["o_custkey"], {"n": merge.add, "most": merge.largest, "last_at": merge.largest})
+
+
+@query("merge_conditional", HALVES + " SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, CASE WHEN coalesce(a.n >= 5, false) THEN a.n ELSE coalesce(b.n, a.n) END AS n, CASE WHEN coalesce(a.n >= 5, false) THEN a.most ELSE coalesce(a.most, b.most) END AS most FROM a FULL JOIN b ON a.o_custkey = b.o_custkey")
+def merge_conditional(spark, sf_dir):
+    return merge.merged(order_counts(spark, sf_dir, False), order_counts(spark, sf_dir, True), ["o_custkey"], {"n": merge.replace, "most": merge.keep}, F.col("o.n") >= 5)
+
+
+@query("snapshot_retention", "SELECT o_custkey, o_orderkey, k, k = 2 AS is_previous FROM (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS INTEGER) AS k FROM orders) WHERE k <= 20")
+def snapshot_retention(spark, sf_dir):
+    at = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc()))
+    return read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", at.alias("k")).where("k <= 20").withColumn("is_previous", F.col("k") == 2)
+
+
+@query("monitoring_signals", "SELECT 'orders' AS signal, count(*)::DOUBLE AS value FROM orders UNION ALL SELECT 'open_orders', count(*) FILTER (o_orderstatus = 'O') FROM orders UNION ALL SELECT 'lines_per_order', floor(avg(n) * 10000.0 + 0.5) / 10000.0 FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey) UNION ALL SELECT 'orphan_lines', count(*) FROM lineitem ANTI JOIN orders ON l_orderkey = o_orderkey")
+def monitoring_signals(spark, sf_dir):
+    orders, lines = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
+    counts = orders.agg(F.count("*").cast("double").alias("a"), F.count_if(F.col("o_orderstatus") == "O").cast("double").alias("b"))
+    found = counts.select(F.expr("stack(2, 'orders', a, 'open_orders', b) AS (signal, value)"))
+    mean = lines.groupBy("l_orderkey").agg(F.count("*").alias("n")).agg(r4(F.avg("n")).alias("v")).select(F.lit("lines_per_order"), "v")
+    orphans = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").agg(F.count("*").cast("double").alias("v")).select(F.lit("orphan_lines"), "v")
+    return found.union(mean).union(orphans)
+
+
+@query("drift_having", "SELECT l_returnflag, l_linestatus, l_suppkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2, 3, 4 HAVING count(*) > 1")
+def drift_having(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus", "l_suppkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("tag_variants", "SELECT regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS tag, count(DISTINCT p_name) AS spellings, count(*) AS n FROM part GROUP BY 1")
+def tag_variants(spark, sf_dir):
+    return read(spark, sf_dir, "part").groupBy(F.regexp_replace(F.lower("p_name"), "[^a-z0-9]", "").alias("tag")).agg(F.countDistinct("p_name").alias("spellings"), F.count("*").alias("n"))
+
+
+@query("invariants", "SELECT 'line_without_order' AS rule, count(*) AS violations FROM lineitem ANTI JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT 'repeated_line', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) UNION ALL SELECT 'discount_range', count(*) FROM lineitem WHERE NOT coalesce(l_discount BETWEEN 0 AND 1, false)")
+def invariants(spark, sf_dir):
+    orders, lines = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
+    broken = {
+        "line_without_order": lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select("l_orderkey"),
+        "repeated_line": lines.groupBy("l_orderkey", "l_linenumber").count().where("count > 1").select("l_orderkey"),
+        "discount_range": rows.violations(lines, F.col("l_discount").between(0, 1)).select("l_orderkey"),
+    }
+    parts = [df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("rule"), "violations") for name, df in broken.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("stream_windows", "SELECT date_trunc('hour', ts) AS start_at, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_windows(spark, sf_dir):
+    """Hourly counts by Structured Streaming over the events' files, in complete mode up to what is there."""
+    from storyloom.streaming import events as streaming
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    name = "stream_windows_" + os.urandom(6).hex()
+    source = spark.read.parquet(f"{sf_dir}/events.parquet")
+    source.select(F.col("event_id"), F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "props").write.parquet(f"{base}/{name}/in")
+    stream = streaming.read_events(spark, f"{base}/{name}/in")
+    counts = streaming.windowed(stream, lateness="400 days").select(F.col("window.start").alias("start_at"), "event_type", "n")
+    query_ = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{base}/{name}/state").trigger(availableNow=True).start()
+    query_.awaitTermination()
+    return spark.table(name).select(F.col("start_at").cast("timestamp_ntz").alias("start_at"), "event_type", "n")
