@@ -27,8 +27,10 @@ HASHES = BANDS * ROWS
 STEP, MISS = 32, 1e-6
 #: Members of one salted part of a bucket, and the compared pairs that share one copy of the first set.
 PART, CHUNK = 512, 64
-#: Buckets of at most so many members are compared pair by pair; shingles that at most so many classes have are rare.
+#: Buckets of at most so many members are compared pair by pair.
 SMALL = 64
+#: In larger ones, shingles that at most so many classes have are rare.
+RARE = 256
 
 _rng = np.random.default_rng(2)
 _MULTIPLY = (_rng.integers(1, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -210,31 +212,39 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> D
     return labelled.union(empty).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _across(rows: DataFrame, condition=None) -> DataFrame:
-    """Pairs (a, b) of ``rows`` (bucket, id, n, component, common) in one bucket and of two components."""
-    rows = rows.select("bucket", "id", "n", "component", "common") if condition is not None else rows.select("bucket", "id", "component")
+def _in_reach(most, hundredths: int):
+    """Whether an intersection of ``most`` shingles is enough for the threshold."""
+    return 100 * most >= hundredths * (F.col("n_a") + F.col("n_b") - most)
+
+
+def _across(rows: DataFrame, key: str, condition=None) -> DataFrame:
+    """Pairs of ``rows`` (key, id, n, component, common) with one key and of two components; the columns have the ends _a and _b."""
+    rows = rows.select(key, "id", "n", "component", "common")
     left, right = rows.toDF(*[f"{c}_a" for c in rows.columns]), rows.toDF(*[f"{c}_b" for c in rows.columns])
-    on = (F.col("bucket_a") == F.col("bucket_b")) & (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
-    return left.join(right, on if condition is None else on & condition).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    on = (F.col(f"{key}_a") == F.col(f"{key}_b")) & (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
+    return left.join(right, on if condition is None else on & condition)
 
 
 def _across_large(rows: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
     """The pairs of large buckets that can reach the threshold; no other pair of them can.
 
-    A shingle is rare if at most ``SMALL`` of these classes have it. Pairs that share a rare shingle come from a join on rare shingles. Any
-    other pair has only common ones in its intersection, so the fewer of both counts bounds its similarity.
+    A shingle is rare if at most ``RARE`` of these classes have it. A pair's intersection has at most the common shingles of the side
+    with fewer, and the rare ones that it shares. Pairs that share rare ones come from a join on them, which also counts them; all others
+    have common ones only.
     """
     placed = rows.select("id", "n", "component").distinct()
     shingles = sets.join(placed.select("id"), "id").select("id", "value").mapInArrow(_exploded, "id long, shingle long")
-    rare = shingles.groupBy("shingle").agg(F.count("*").alias("df")).where((F.col("df") <= SMALL)).select("shingle", "df")
+    rare = shingles.groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
     rare = written(shingles.join(rare, "shingle"), "rare")
     counts = rare.groupBy("id").agg(F.count("*").alias("rare"))
-    several = rare.where("df > 1").join(placed.select("id", "component"), "id")
-    shared = _across(several.select(F.col("shingle").alias("bucket"), "id", "component"))
-    common = rows.join(counts, "id", "left").withColumn("common", F.col("n") - F.coalesce("rare", F.lit(0)))
-    common = written(common.where(100 * F.col("common") >= hundredths * F.col("n")).select("bucket", "id", "n", "component", "common"), "common")
-    most = F.least("common_a", "common_b")
-    return shared.union(_across(common, 100 * most >= hundredths * (F.col("n_a") + F.col("n_b") - most)))
+    placed = written(placed.join(counts, "id", "left").withColumn("common", F.col("n") - F.coalesce("rare", F.lit(0))), "common")
+    fewer = F.least("common_a", "common_b")
+    sizes = ["id_a", "id_b", "n_a", "n_b", "common_a", "common_b"]
+    shared = _across(rare.where("df > 1").join(placed, "id"), "shingle").groupBy(*sizes).agg(F.count("*").alias("shared"))
+    shared = shared.where(_in_reach(fewer + F.col("shared"), hundredths))
+    alike = rows.select("bucket", "id").join(placed.where(100 * F.col("common") >= hundredths * F.col("n")), "id")
+    alike = _across(alike, "bucket", _in_reach(fewer, hundredths))
+    return shared.select("id_a", "id_b").union(alike.select("id_a", "id_b")).toDF("a", "b")
 
 
 def _links(texts: DataFrame, reps: DataFrame, threshold: float, size: int) -> DataFrame | None:
@@ -269,7 +279,7 @@ def _links(texts: DataFrame, reps: DataFrame, threshold: float, size: int) -> Da
     placed = buckets.join(labels, "id", "left").select("bucket", "m", "id", "n", F.coalesce("component", "id").alias("component"))
     several = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
     undecided = written(placed.join(several, "bucket"), "undecided")
-    across = _across(undecided.where(F.col("m") <= SMALL)).union(_across_large(undecided.where(F.col("m") > SMALL), sets, round(100 * threshold)))
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    across = _across(undecided.where(F.col("m") <= SMALL).withColumn("common", F.col("n")), "bucket").select("id_a", "id_b").union(_across_large(undecided.where(F.col("m") > SMALL), sets, round(100 * threshold)))
+    across = across.toDF("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     more = verify(written(across, "across"))
     return written(component_labels(links.union(more)), "labels")
