@@ -1,8 +1,8 @@
 """Language ID with a bidirectional gated recurrent network over bytes, trained in numpy.
 
 A text's bytes are cut into strips of ``STRIP`` bytes. Two GRUs read each strip, one from either end; a softmax
-over both states labels every position. A document's probabilities are the means over its letters. Gates use the
-piecewise linear sigmoid, which keeps the network cheap enough to read all bytes of a corpus.
+over both states labels every position. A document's probabilities are the means over its letters. Piecewise linear
+gates and a rational candidate keep the network cheap enough to read all bytes of a corpus.
 """
 
 from __future__ import annotations
@@ -20,14 +20,13 @@ from storyloom.llm.token_output import slices
 STRIP, HIDDEN = 64, 8
 #: Labelled documents to learn from, and windows of so many characters from each. This bounds what the driver gets.
 SAMPLE_DOCS, SAMPLE_WINDOWS, SAMPLE_CHARS = 3000, 4, 200
-STEPS, BATCH, LEARNING_RATE = 400, 256, 0.01
+STEPS, BATCH, LEARNING_RATE = 240, 256, 0.01
 #: Strips that inference handles at once.
-LANES = 4096
+LANES = 2048
 UNDETERMINED = "und"
 
 #: Bytes that count as letters: ASCII letters and all bytes of other characters.
 LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
-NAMES = [f"{part}{gate}{way}" for way in "fb" for part in "EU" for gate in "zrn"] + ["Wf", "Wb", "bias"]
 
 
 @dataclass
@@ -36,68 +35,88 @@ class Model:
     weights: dict[str, np.ndarray]
 
 
-def _gate(x: np.ndarray) -> np.ndarray:
-    return np.clip(0.25 * x + 0.5, 0, 1)
-
-
 def start(languages: list[str], seed: int = 5) -> Model:
+    """Random weights. ``E``: what each byte adds to the two gates and the candidate; ``U``: what the state adds; ``V``: from state to languages."""
     rng = np.random.default_rng(seed)
-    shapes = {n: (256, HIDDEN) if n[0] == "E" else (HIDDEN, HIDDEN) if n[0] == "U" else (HIDDEN, len(languages)) for n in NAMES[:-1]}
-    weights = {n: (rng.standard_normal(s) * (0.3 if n[0] == "E" else 0.35)).astype(np.float32) for n, s in shapes.items()}
-    return Model(languages, weights | {"bias": np.zeros(len(languages), np.float32)})
-
-
-def _read(w: dict, way: str, strips: np.ndarray, keep: bool = False):
-    """The states after each byte, in reading order; with ``keep`` also what back-propagation needs."""
-    n, steps = strips.shape
-    h = np.zeros((n, HIDDEN), np.float32)
-    states = np.empty((steps, n, HIDDEN), np.float32)
-    kept = []
-    for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
-        x = strips[:, t]
-        z = _gate(w["Ez" + way].take(x, 0) + h @ w["Uz" + way])
-        r = _gate(w["Er" + way].take(x, 0) + h @ w["Ur" + way])
-        u = h @ w["Un" + way]
-        c = np.tanh(w["En" + way].take(x, 0) + r * u)
-        if keep:
-            kept.append((t, h, z, r, u, c))
-        h = c + z * (h - c)
-        states[t] = h
-    return states, kept
+    weights = {"bias": np.zeros((len(languages), 1), np.float32)}
+    gates = 2 * HIDDEN
+    for way in "fb":
+        for name, shape in (("E", (3 * HIDDEN, 256)), ("U", (3 * HIDDEN, HIDDEN)), ("V", (len(languages), HIDDEN))):
+            weights[name + way] = (rng.standard_normal(shape) * 0.3).astype(np.float32)
+        weights["E" + way][:gates] = weights["E" + way][:gates] / 4 + 0.5
+        weights["U" + way][:gates] /= 4
+    return Model(languages, weights)
+
+
+def _read(w: dict, way: str, x: np.ndarray) -> Iterator[tuple]:
+    """Reads strips, (steps, n) byte values, one way: (step, state before, gates z and r, u, candidate, state after).
+
+    States are (HIDDEN, n), so that each operation runs over contiguous lanes. Gates are piecewise linear and the
+    candidate's activation is v / (1 + |v|).
+    """
+    steps, n = x.shape
+    from_byte, from_state = w["E" + way], w["U" + way]
+    h = np.zeros((HIDDEN, n), from_byte.dtype)
+    a = np.empty((3 * HIDDEN, n), from_byte.dtype)
+    for t in range(steps)[:: 1 if way == "f" else -1]:
+        from_byte.take(x[t], axis=1, out=a, mode="clip")
+        g = from_state @ h
+        gates = g[: 2 * HIDDEN]
+        gates += a[: 2 * HIDDEN]
+        np.clip(gates, 0, 1, out=gates)
+        z, r, u = g[:HIDDEN], g[HIDDEN : 2 * HIDDEN], g[2 * HIDDEN :]
+        c = r * u
+        c += a[2 * HIDDEN :]
+        size = np.abs(c)
+        size += 1
+        c /= size
+        after = h - c
+        after *= z
+        after += c
+        yield t, h, z, r, u, c, after
+        h = after
 
 
 def _soft(logits: np.ndarray) -> np.ndarray:
-    e = np.exp(logits - logits.max(axis=-1, keepdims=True))
-    return e / e.sum(axis=-1, keepdims=True)
+    """Probabilities over the languages, the axis before the last."""
+    e = np.exp(logits - logits.max(axis=-2, keepdims=True))
+    return e / e.sum(axis=-2, keepdims=True)
 
 
 def gradients(model: Model, strips: np.ndarray, labels: np.ndarray) -> tuple[float, dict]:
     """Mean cross entropy over all positions and its gradients, by back-propagation through time."""
     w, (n, steps) = model.weights, strips.shape
-    f, kept_f = _read(w, "f", strips, True)
-    b, kept_b = _read(w, "b", strips, True)
-    p = _soft(f @ w["Wf"] + b @ w["Wb"] + w["bias"])
-    loss = -float(np.log(p[:, np.arange(n), labels] + 1e-9).mean())
-    d = p.copy()
-    d[:, np.arange(n), labels] -= 1
+    x = np.ascontiguousarray(strips.T).astype(np.intp)
+    kept = {way: list(_read(w, way, x)) for way in "fb"}
+    logits = np.empty((steps, len(model.languages), n), w["bias"].dtype)
+    logits[:] = w["bias"]
+    for way in "fb":
+        for t, *_, after in kept[way]:
+            logits[t] += w["V" + way] @ after
+    p = _soft(logits)
+    lanes = np.arange(n)
+    loss = -float(np.log(p[:, labels, lanes] + 1e-9).mean())
+    d = p
+    d[:, labels, lanes] -= 1
     d /= n * steps
     g = {k: np.zeros_like(v) for k, v in w.items()}
-    g["bias"] = d.sum(axis=(0, 1))
-    for way, states, kept in (("f", f, kept_f), ("b", b, kept_b)):
-        g["W" + way] = np.tensordot(states, d, axes=([0, 1], [0, 1]))
-        from_above, back = d @ w["W" + way].T, np.zeros((n, HIDDEN), np.float32)
-        for t, h, z, r, u, c in reversed(kept):
-            dh = from_above[t] + back
-            dz = dh * (h - c) * 0.25 * ((z > 0) & (z < 1))
-            dc = dh * (1 - z) * (1 - c * c)
-            dr = dc * u * 0.25 * ((r > 0) & (r < 1))
-            du = dc * r
-            back = dh * z + dz @ w["Uz" + way].T + dr @ w["Ur" + way].T + du @ w["Un" + way].T
-            x = strips[:, t]
-            for gate, dg in (("z", dz), ("r", dr), ("n", dc)):
-                np.add.at(g[f"E{gate}{way}"], x, dg)
-            for gate, dg in (("z", dz), ("r", dr), ("n", du)):
-                g[f"U{gate}{way}"] += h.T @ dg
+    g["bias"] = d.sum(axis=(0, 2))[:, None]
+    flat = x.ravel()
+    for way in "fb":
+        back = np.zeros((HIDDEN, n), d.dtype)
+        from_bytes = np.empty((3 * HIDDEN, steps, n), d.dtype)
+        for t, h, z, r, u, c, after in reversed(kept[way]):
+            g["V" + way] += d[t] @ after.T
+            dh = w["V" + way].T @ d[t] + back
+            dz = dh * (h - c) * ((z > 0) & (z < 1))
+            dc = dh * (1 - z) * (1 - np.abs(c)) ** 2
+            dr = dc * u * ((r > 0) & (r < 1))
+            from_bytes[:HIDDEN, t], from_bytes[HIDDEN : 2 * HIDDEN, t], from_bytes[2 * HIDDEN :, t] = dz, dr, dc
+            dg = np.concatenate((dz, dr, dc * r))
+            g["U" + way] += dg @ h.T
+            back = dh * z + w["U" + way].T @ dg
+        for row, values in enumerate(from_bytes.reshape(3 * HIDDEN, -1)):
+            g["E" + way][row] = np.bincount(flat, weights=values, minlength=256)
     return loss, g
 
 
@@ -131,27 +150,35 @@ def strips_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(joined, dtype=np.uint8).reshape(-1, STRIP), counts
 
 
+def _logits(w: dict, strips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(steps, languages, n) of ``strips``, and their byte values as (steps, n)."""
+    x = np.ascontiguousarray(strips.T)
+    at = x.astype(np.intp)
+    out = np.empty((len(x), len(w["bias"]), len(strips)), np.float32)
+    out[:] = w["bias"]
+    for way in "fb":
+        for t, *_, after in _read(w, way, at):
+            out[t] += w["V" + way] @ after
+    return out, x
+
+
 def strip_sums(model: Model, strips: np.ndarray) -> np.ndarray:
     """For each strip, the summed probabilities of its letters' positions."""
-    out = np.zeros((len(strips), len(model.languages)), np.float32)
-    w = model.weights
+    out = np.empty((len(strips), len(model.languages)), np.float32)
     for at in range(0, len(strips), LANES):
-        part = np.ascontiguousarray(strips[at : at + LANES])
-        logits = _read(w, "f", part)[0] @ w["Wf"]
-        logits += _read(w, "b", part)[0] @ w["Wb"]
-        logits += w["bias"]
-        np.exp(np.minimum(logits, 40, out=logits), out=logits)
-        logits *= (LETTER[part].T / logits.sum(axis=2))[:, :, None]
-        out[at : at + LANES] = logits.sum(axis=0)
+        part = strips[at : at + LANES]
+        p, x = _logits(model.weights, part)
+        np.exp(np.minimum(p, 40, out=p), out=p)
+        p *= (LETTER[x] / p.sum(axis=1))[:, None, :]
+        out[at : at + LANES] = p.sum(axis=0).T
     return out
 
 
 def position_labels(model: Model, text: str) -> list[str]:
     """The language of each byte of ``text``."""
     raw = text.encode("utf-8", "surrogatepass")
-    strips, _ = strips_of([raw])
-    p = _read(model.weights, "f", strips)[0] @ model.weights["Wf"] + _read(model.weights, "b", strips)[0] @ model.weights["Wb"] + model.weights["bias"]
-    return [model.languages[k] for k in p.argmax(axis=2).T.ravel()[: len(raw)]]
+    p, _ = _logits(model.weights, strips_of([raw])[0])
+    return [model.languages[k] for k in p.argmax(axis=1).T.ravel()[: len(raw)]]
 
 
 def predict_batch(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
