@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from storyloom.functions import scoring, text
-from storyloom.operators import graph, merge, rows, stories, threads
+from storyloom.operators import dossier, graph, merge, rows, stories, threads
 from storyloom.sources.tables import articles, edges, read
 
 QUERIES: dict = {}
@@ -485,6 +485,144 @@ def circuit_breaker(spark, sf_dir):
     return threads.breaker_states(read(spark, sf_dir, "events"), "user_id", "ts", "event_id", F.col("event_type") == "error", 2)
 
 
+# --- dossiers, overrides and lookups
+
+MILESTONES = (
+    "m AS (SELECT l_suppkey, l_shipdate, l_orderkey, l_linenumber, l_returnflag = 'R' AS official, CASE WHEN l_discount >= 0.05 THEN l_extendedprice END AS budget, "
+    "CASE WHEN l_quantity > 10 THEN CAST(year(l_shipdate) + 1 AS INTEGER) END AS timeline, CASE WHEN l_tax > 0.02 THEN l_tax END AS share, CASE WHEN l_linestatus = 'O' THEN l_returnflag END AS status FROM lineitem)"
+)
+BY_DATE = ["l_shipdate", "l_orderkey", "l_linenumber"]
+
+
+def milestones(spark, sf_dir):
+    """Order lines as milestones of their supplier."""
+    lines = read(spark, sf_dir, "lineitem")
+    return lines.select(
+        "l_suppkey", *BY_DATE, (F.col("l_returnflag") == "R").alias("official"), F.when(F.col("l_discount") >= 0.05, F.col("l_extendedprice")).alias("budget"),
+        F.when(F.col("l_quantity") > 10, F.year("l_shipdate") + 1).alias("timeline"), F.when(F.col("l_tax") > 0.02, F.col("l_tax")).alias("share"),
+        F.when(F.col("l_linestatus") == "O", F.col("l_returnflag")).alias("status"),
+    )
+
+
+@query(
+    "dossier_synthesis",
+    f"WITH {MILESTONES}, k AS (SELECT *, (l_shipdate, l_orderkey, l_linenumber) AS pos, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC) AS n FROM m) "
+    "SELECT l_suppkey, count(*) AS milestones, coalesce(arg_min(budget, pos) FILTER (official AND budget IS NOT NULL), arg_min(budget, pos) FILTER (budget IS NOT NULL)) AS budget, "
+    "arg_max(timeline, pos) FILTER (timeline IS NOT NULL) AS timeline, arg_max(share, pos) FILTER (share IS NOT NULL) AS share, arg_max(status, pos) FILTER (status IS NOT NULL AND n <= 3) AS status FROM k GROUP BY 1",
+)
+def dossier_synthesis(spark, sf_dir):
+    return dossier.synthesized(milestones(spark, sf_dir), "l_suppkey", BY_DATE, F.col("official"))
+
+
+@query(
+    "timeline_conflicts",
+    f"WITH {MILESTONES}, o AS (SELECT l_suppkey, arg_max(timeline, (l_shipdate, l_orderkey, l_linenumber)) AS official_timeline FROM m WHERE official AND timeline IS NOT NULL GROUP BY 1) "
+    "SELECT l_suppkey, l_orderkey, l_linenumber, timeline, official_timeline FROM m JOIN o USING (l_suppkey) WHERE NOT official AND timeline <> official_timeline",
+)
+def timeline_conflicts(spark, sf_dir):
+    found = dossier.timeline_conflicts(milestones(spark, sf_dir), "l_suppkey", BY_DATE, F.col("official"))
+    return found.select("l_suppkey", "l_orderkey", "l_linenumber", "timeline", "official_timeline")
+
+
+@query(
+    "thread_lineage",
+    "WITH l AS (SELECT n_nationkey AS a, n_regionkey AS b FROM nation) SELECT a, b FROM (SELECT a, b FROM l WHERE a <> b UNION SELECT b, a FROM l WHERE a <> b) WHERE a IN (SELECT c_nationkey FROM customer)",
+)
+def thread_lineage(spark, sf_dir):
+    links = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("a"), F.col("n_regionkey").alias("b"))
+    known = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("a"))
+    return dossier.both_ways(links, "a", "b").join(known, "a", "left_semi")
+
+
+@query(
+    "override_merge",
+    f"WITH {ARTICLES}, o AS (SELECT id, url, title, domain FROM articles SEMI JOIN (SELECT doc_id AS id FROM labels WHERE toxic = 1) x USING (id)) "
+    "SELECT a.id, coalesce((SELECT min(o.id) FROM o WHERE o.id = a.id), (SELECT min(o.id) FROM o WHERE o.url = a.url), (SELECT min(o.id) FROM o WHERE o.title = a.title)) AS override FROM articles a",
+)
+def override_merge(spark, sf_dir):
+    """For each article the override that agrees in id, else in url, else in title."""
+    found = articles(read(spark, sf_dir, "documents"))
+    toxic = read(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
+    overrides = found.join(toxic, "id", "left_semi").select("id", "url", "title", F.col("id").alias("override"))
+    return dossier.first_match(found, overrides, ["id", "url", "title"], "override").select("id", "override")
+
+
+@query(
+    "override_tombstones",
+    "WITH l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) "
+    "SELECT doc_id, CASE WHEN quality = 1 THEN upper(source) ELSE source END AS source FROM documents LEFT JOIN l USING (doc_id) WHERE coalesce(toxic, 0) <> 1",
+)
+def override_tombstones(spark, sf_dir):
+    """Deleted documents go; patched ones take the patch's values."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source")
+    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    kept = docs.join(labels.where("toxic = 1"), "doc_id", "left_anti").join(labels.where("quality = 1"), "doc_id", "left")
+    return kept.select("doc_id", F.when(F.col("quality") == 1, F.upper("source")).otherwise(F.col("source")).alias("source"))
+
+
+@query(
+    "snapshot_freshest",
+    "WITH c AS (SELECT o_custkey, o_orderkey, o_orderdate, CASE o_orderstatus WHEN 'F' THEN 0 ELSE 1 END AS preference FROM orders) "
+    "SELECT o_custkey, o_orderdate, min(preference) AS preference FROM c JOIN (SELECT o_custkey, max(o_orderdate) AS o_orderdate FROM c GROUP BY 1) USING (o_custkey, o_orderdate) GROUP BY 1, 2",
+)
+def snapshot_freshest(spark, sf_dir):
+    copies = read(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", F.when(F.col("o_orderstatus") == "F", 0).otherwise(1).alias("preference"))
+    return dossier.freshest(copies, "o_custkey", "o_orderdate", "preference")
+
+
+@query(
+    "topic_overlap_top",
+    f"WITH {ARTICLES}, d AS (SELECT id, unnest({TOKENS % 'snippet'}) AS t FROM articles), b AS (SELECT item_id, unnest({TOKENS % 'text'}) AS t FROM benchmark), "
+    "s AS (SELECT id, item_id, count(*) AS shared FROM d JOIN b USING (t) GROUP BY 1, 2) "
+    "SELECT id, item_id, shared, row_number() OVER (PARTITION BY id ORDER BY shared DESC, item_id) AS position FROM s QUALIFY position <= 24",
+)
+def topic_overlap_top(spark, sf_dir):
+    found = articles(read(spark, sf_dir, "documents")).select("id", text.tokens(F.col("snippet")).alias("tokens"))
+    topics = read(spark, sf_dir, "benchmark").select("item_id", text.tokens(F.col("text")).alias("tokens"))
+    return dossier.best_overlaps(found, topics, "id", "item_id", "tokens", 24)
+
+
+@query(
+    "graph_time_slider",
+    f"WITH {EDGES}, e AS (SELECT * FROM edges WHERE first_seen <= TIMESTAMP '1997-01-01'), n AS (SELECT node FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1 HAVING count(*) >= 3) "
+    "SELECT src, dst, weight FROM e SEMI JOIN n ON src = n.node SEMI JOIN n m ON dst = m.node",
+)
+def graph_time_slider(spark, sf_dir):
+    """Edges seen by a time, between nodes that have three or more such edges."""
+    seen = graph_of(spark, sf_dir).where("first_seen <= TIMESTAMP_NTZ '1997-01-01 00:00:00'").select("src", "dst", "weight")
+    ends = seen.select(F.explode(F.array("src", "dst")).alias("node"))
+    kept = ends.groupBy("node").agg(F.count("*").alias("degree")).where("degree >= 3")
+    return seen.join(kept.select(F.col("node").alias("src")), "src", "left_semi").join(kept.select(F.col("node").alias("dst")), "dst", "left_semi")
+
+
+@query("slider_bounds", f"WITH {EDGES} SELECT least(min(first_seen), min(last_seen)) AS lower_at, greatest(max(first_seen), max(last_seen)) AS upper_at FROM edges")
+def slider_bounds(spark, sf_dir):
+    return graph_of(spark, sf_dir).agg(F.least(F.min("first_seen"), F.min("last_seen")).alias("lower_at"), F.greatest(F.max("first_seen"), F.max("last_seen")).alias("upper_at"))
+
+
+@query("review_queue", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY (o_orderstatus = 'P') DESC, o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 10")
+def review_queue(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return orders.orderBy((F.col("o_orderstatus") == "P").desc(), F.col("o_totalprice").desc(), "o_orderkey").offset(10).limit(50)
+
+
+@query("linked_suppliers_first", "SELECT s_suppkey, s_name, coalesce(n, 0) AS linked FROM supplier LEFT JOIN (SELECT l_suppkey, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1) ON s_suppkey = l_suppkey ORDER BY linked DESC, s_name, s_suppkey LIMIT 25")
+def linked_suppliers_first(spark, sf_dir):
+    linked = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.countDistinct("l_partkey").alias("n"))
+    found = read(spark, sf_dir, "supplier").join(linked, "s_suppkey", "left").select("s_suppkey", "s_name", F.coalesce("n", F.lit(0)).alias("linked"))
+    return rows.top(found, [F.col("linked").desc(), F.col("s_name"), F.col("s_suppkey")], 25)
+
+
+@query("local_retention", "SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-30' - INTERVAL 7 DAY")
+def local_retention(spark, sf_dir):
+    return read(spark, sf_dir, "events").where("ts >= TIMESTAMP_NTZ '2024-01-30 00:00:00' - INTERVAL 7 DAYS").select("event_id", "user_id")
+
+
+@query("like_escaped", "SELECT s_suppkey FROM supplier WHERE s_name ILIKE '%r#%1' ESCAPE '!' AND s_name NOT LIKE '%!_%' ESCAPE '!'")
+def like_escaped(spark, sf_dir):
+    return read(spark, sf_dir, "supplier").where("s_name ILIKE '%r#%1' ESCAPE '!' AND s_name NOT LIKE '%!_%' ESCAPE '!'").select("s_suppkey")
+
+
 # --- merges, snapshots, monitoring
 
 
