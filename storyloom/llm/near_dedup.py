@@ -113,30 +113,38 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _beside(pairs: DataFrame, values: DataFrame) -> DataFrame:
-    """(a, chunk, b, n, value): for each chunk of the pairs of ``a`` one row of ``a`` itself (b null), then one for each b.
+    """(a, chunk, b, n, value): for each chunk of the pairs (a, b, chunk) one row of ``a`` itself (b null), then one for each b.
 
-    A value of ``a`` is sent once for ``CHUNK`` pairs, and a hot ``a`` is spread over many chunks. ``values`` (id, n, value).
+    A value of ``a`` is sent once for each chunk, and a hot ``a`` is spread over many chunks. ``values`` (id, n, value).
     """
-    chunked = pairs.withColumn("chunk", F.pmod(F.xxhash64("b"), F.lit(1 << 16)) % F.greatest(F.lit(1), (F.col("of_a") / CHUNK).cast("int")))
-    first = chunked.select("a", "chunk").distinct().join(values, F.col("a") == F.col("id")).select("a", "chunk", F.lit(None).cast("long").alias("b"), "n", "value")
-    second = chunked.join(values, F.col("b") == F.col("id")).select("a", "chunk", "b", "n", "value")
+    first = pairs.select("a", "chunk").distinct().join(values, F.col("a") == F.col("id")).select("a", "chunk", F.lit(None).cast("long").alias("b"), "n", "value")
+    second = pairs.join(values, F.col("b") == F.col("id")).select("a", "chunk", "b", "n", "value")
     return first.union(second).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
 
 
-def _counted(pairs: DataFrame) -> DataFrame:
-    """Adds ``of_a``, the pairs of each ``a``."""
-    return pairs.join(pairs.groupBy("a").agg(F.count("*").alias("of_a")), "a")
+def _chunked(pairs: DataFrame) -> DataFrame:
+    """(a, b, chunk) of the distinct pairs (a, b, m).
+
+    ``m`` bounds the pairs that ``a`` may have in the bucket that gave the pair, so chunks are dealt without counting pairs.
+    """
+    once = pairs.groupBy("a", "b").agg(F.max("m").alias("m"))
+    return once.select("a", "b", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), (F.col("m") / CHUNK).cast("long"))).alias("chunk"))
+
+
+def _sizes_fit(one: str, other: str, hundredths: int):
+    """Whether sets of these sizes can reach the threshold at all."""
+    return 100 * F.least(one, other) >= hundredths * F.greatest(one, other)
 
 
 def _probable(threshold: float):
-    """Pairs (a, b) whose signatures stay above the posterior bound in every batch of values."""
+    """Pairs (a, b, chunk) whose signatures stay above the posterior bound in every batch of values."""
     least = least_matches(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, n_a, sig = None, 0, None
         for batch in batches:
-            out = ([], [])
-            for this, b, n, value in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n", "value"))):
+            out = ([], [], [])
+            for this, chunk, b, n, value in zip(*(batch.column(c).to_pylist() for c in ("a", "chunk", "b", "n", "value"))):
                 if b is None:
                     a, n_a, sig = this, n, np.frombuffer(value, np.uint32)
                     continue
@@ -151,7 +159,8 @@ def _probable(threshold: float):
                 else:
                     out[0].append(a)
                     out[1].append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+                    out[2].append(chunk)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b", "chunk"])
 
     return run
 
@@ -218,15 +227,15 @@ def _in_reach(most, hundredths: int):
 
 
 def _across(rows: DataFrame, key: str, condition=None) -> DataFrame:
-    """Pairs of ``rows`` (key, id, n, component, common) with one key and of two components; the columns have the ends _a and _b."""
-    rows = rows.select(key, "id", "n", "component", "common")
+    """Pairs of ``rows`` (key, id, n, component, common, m) with one key and of two components; the columns have the ends _a and _b."""
+    rows = rows.select(key, "id", "n", "component", "common", "m")
     left, right = rows.toDF(*[f"{c}_a" for c in rows.columns]), rows.toDF(*[f"{c}_b" for c in rows.columns])
     on = (F.col(f"{key}_a") == F.col(f"{key}_b")) & (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
     return left.join(right, on if condition is None else on & condition)
 
 
 def _across_large(rows: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
-    """The pairs of large buckets that can reach the threshold; no other pair of them can.
+    """(a, b, m): the pairs of large buckets that can reach the threshold; no other pair of them can.
 
     A shingle is rare if at most ``RARE`` of these classes have it. A pair's intersection has at most the common shingles of the side
     with fewer, and the rare ones that it shares. Pairs that share rare ones come from a join on them, which also counts them; all others
@@ -237,22 +246,24 @@ def _across_large(rows: DataFrame, sets: DataFrame, hundredths: int) -> DataFram
     rare = shingles.groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
     rare = written(shingles.join(rare, "shingle"), "rare")
     counts = rare.groupBy("id").agg(F.count("*").alias("rare"))
-    placed = written(placed.join(counts, "id", "left").withColumn("common", F.col("n") - F.coalesce("rare", F.lit(0))), "common")
+    common = F.col("n") - F.coalesce("rare", F.lit(0))
+    placed = written(placed.join(counts, "id", "left").withColumns({"common": common, "m": F.lit(RARE).cast("long")}), "common")
     fewer = F.least("common_a", "common_b")
     sizes = ["id_a", "id_b", "n_a", "n_b", "common_a", "common_b"]
     shared = _across(rare.where("df > 1").join(placed, "id"), "shingle").groupBy(*sizes).agg(F.count("*").alias("shared"))
     shared = shared.where(_in_reach(fewer + F.col("shared"), hundredths))
-    alike = rows.select("bucket", "id").join(placed.where(100 * F.col("common") >= hundredths * F.col("n")), "id")
+    alike = rows.select("bucket", "id", "m").join(placed.drop("m").where(100 * F.col("common") >= hundredths * F.col("n")), "id")
     alike = _across(alike, "bucket", _in_reach(fewer, hundredths))
-    return shared.select("id_a", "id_b").union(alike.select("id_a", "id_b")).toDF("a", "b")
+    return shared.select("id_a", "id_b", F.lit(RARE).cast("long")).union(alike.select("id_a", "id_b", "m_a")).toDF("a", "b", "m")
 
 
 def _links(texts: DataFrame, reps: DataFrame, threshold: float, size: int) -> DataFrame | None:
     """(id, component) of the classes that are linked with another one; None if there are none."""
-    width = 4 * ROWS
+    width, hundredths = 4 * ROWS, round(100 * threshold)
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", k * width + 1, width)) for k in range(BANDS)])
     rows = reps.select("id", "n", F.explode(bands).alias("bucket"))
-    shared = written(rows.groupBy("bucket").agg(F.count("*").alias("m"), F.min("id").alias("lead")).where("m > 1"), "buckets")
+    lead = F.min(F.struct("id", "n"))
+    shared = written(rows.groupBy("bucket").agg(F.count("*").alias("m"), lead["id"].alias("lead"), lead["n"].alias("lead_n")).where("m > 1"), "buckets")
     buckets = written(rows.join(shared, "bucket"), "banded")
     discard(shared)
     if is_empty(buckets):
@@ -264,22 +275,25 @@ def _links(texts: DataFrame, reps: DataFrame, threshold: float, size: int) -> Da
     signatures = reps.join(involved, "id").select("id", "n", F.col("sig").alias("value"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        probable = written(_beside(_counted(pairs), signatures).mapInArrow(_probable(threshold), PAIR), "probable")
-        return written(_beside(_counted(probable), sets.select("id", "n", "value")).mapInArrow(_verified(threshold), PAIR), "links")
+        probable = written(_beside(pairs, signatures).mapInArrow(_probable(threshold), f"{PAIR}, chunk long"), "probable")
+        return written(_beside(probable, sets.select("id", "n", "value")).mapInArrow(_verified(threshold), PAIR), "links")
 
     # First, each bucket's members against its least id and against their neighbours by size, in parts of about PART members.
     part = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), (F.col("m") / PART).cast("int")))
     beside = Window.partitionBy("bucket", part).orderBy("n", "id")
-    near = buckets.select(F.lag("id").over(beside).alias("a"), F.col("id").alias("b")).where("a is not null")
-    star = buckets.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    tried = written(star.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
+    one = F.lit(1).cast("long").alias("m")
+    near = buckets.select(F.lag("id").over(beside).alias("a"), F.col("id").alias("b"), F.lag("n").over(beside).alias("n_a"), "n", one)
+    near = near.where(F.col("a").isNotNull() & _sizes_fit("n_a", "n", hundredths)).select("a", "b", "m")
+    star = buckets.where((F.col("id") != F.col("lead")) & _sizes_fit("lead_n", "n", hundredths)).select(F.col("lead").alias("a"), F.col("id").alias("b"), "m")
+    tried = written(_chunked(star.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "m")), "tried")
     links = verify(tried)
     # Then, in buckets that still hold several components, the pairs across components.
     labels = written(component_labels(links), "labels")
     placed = buckets.join(labels, "id", "left").select("bucket", "m", "id", "n", F.coalesce("component", "id").alias("component"))
     several = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
     undecided = written(placed.join(several, "bucket"), "undecided")
-    across = _across(undecided.where(F.col("m") <= SMALL).withColumn("common", F.col("n")), "bucket").select("id_a", "id_b").union(_across_large(undecided.where(F.col("m") > SMALL), sets, round(100 * threshold)))
-    across = across.toDF("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    small = undecided.where(F.col("m") <= SMALL).withColumn("common", F.col("n"))
+    small = _across(small, "bucket", _sizes_fit("n_a", "n_b", hundredths)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("m_a").alias("m"))
+    across = _chunked(small.union(_across_large(undecided.where(F.col("m") > SMALL), sets, hundredths))).join(tried, ["a", "b"], "left_anti")
     more = verify(written(across, "across"))
     return written(component_labels(links.union(more)), "labels")
