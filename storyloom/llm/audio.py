@@ -1,8 +1,8 @@
 """Media columns: audio features from 8-bit samples.
 
 Audio is stored as WAV (RIFF, PCM, one channel, 8 bits). Reading it back, samples are resampled by a polyphase filter,
-turned into overlapped log-mel frames and cut into segments by energy with hysteresis. Frames are grouped in patches of a
-fixed shape (``PATCH`` frames by ``MELS`` bands) with time spans.
+turned into overlapped log-mel frames and cut into segments by energy with hysteresis. Frames are stored in patches of a
+fixed shape (``PATCH`` frames by ``MELS`` bands) with time spans; features are computed from the patches that are read back.
 """
 
 from __future__ import annotations
@@ -136,17 +136,11 @@ def segments(energy: np.ndarray, on: float = ENERGY_ON, off: float = ENERGY_OFF)
     return list(zip(change[::2].tolist(), change[1::2].tolist()))
 
 
-def _features(stored: bytes) -> tuple[bytes, int, np.ndarray, np.ndarray]:
-    samples, rate = wav_samples(stored)
-    return samples, rate, *log_mel(samples)
-
-
-def feature_string(mel: np.ndarray, energy: np.ndarray) -> str:
-    """Frames, segments, their time, mean log-mel values and a digest of all values rounded to 1/16.
+def feature_string(mel: np.ndarray, cuts: list[tuple[int, int]]) -> str:
+    """Frames, segments (ranges of frames), their time, mean log-mel values and a digest of all values rounded to 1/16.
 
     Sums run in double precision over each text alone, so equal texts have equal strings.
     """
-    cuts = segments(energy)
     mean = mel.mean(axis=0, dtype=np.float64) if len(mel) else np.zeros(MELS)
     digest = hashlib.sha256(np.rint(mel * 16).astype("<i2").tobytes()).hexdigest()[:16]
     ms = 1000 * HOP * DOWN // (RATE * UP)
@@ -164,65 +158,142 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): each text's bytes, filled with spaces to a positive multiple of 192, as WAV files.
+    """(row, doc_id, n_bytes, media): each text's bytes, filled with spaces to a positive multiple of 192, as WAV files.
 
-    The media column is written to the shared folder and read back. Null and empty texts become 192 spaces.
+    ``row`` tells rows apart, whatever their doc_id. The media column is written to the shared folder and read back. Null and empty texts become 192 spaces.
     """
-    return written(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_store, "doc_id long, n_bytes long, media binary"), "media")
-
-
-def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for big in batches:
-        for batch in slices(big, "media"):
-            out = []
-            for doc, n, stored in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media"))):
-                samples, _, mel, energy = _features(stored)
-                out.append((doc, n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_string(mel, energy)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), SUMMARY_TYPES)], SUMMARY_NAMES)
+    media = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_store, "doc_id long, n_bytes long, media binary")
+    return written(media.select(F.monotonically_increasing_id().alias("row"), "*"), "media")
 
 
-SUMMARY = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-SUMMARY_NAMES = [x.split()[0] for x in SUMMARY.split(", ")]
-SUMMARY_TYPES = [pa.int64() if x.endswith("long") else pa.string() for x in SUMMARY.split(", ")]
+#: What the stored media hold; each patch of a row repeats it.
+FACTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+SUMMARY = f"{FACTS}, feature string"
+SPANS = "array<struct<from_s: double, to_s: double>>"
+PLACE = f"row long, patch int, patches int, frames int, from_s double, to_s double, voiced double, spans {SPANS}, tensor array<float>"
+PATCHES = f"{FACTS}, {PLACE}"
+FACT_NAMES = [x.split()[0] for x in FACTS.split(", ")]
+FACT_TYPES = [pa.int64() if x.endswith("long") else pa.string() for x in FACTS.split(", ")]
+PLACE_NAMES = ["row", "patch", "patches", "frames", "from_s", "to_s", "voiced", "spans", "tensor"]
+SPAN_TYPE = pa.list_(pa.struct([("from_s", pa.float64()), ("to_s", pa.float64())]))
+PLACE_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), SPAN_TYPE]
+#: Patches that one Arrow batch holds before it is sent on.
+SENT = 1024
 
 
-def summarize(media: DataFrame) -> DataFrame:
-    """What the stored media hold and a feature string, one row for each row of ``media`` (doc_id, n_bytes, media)."""
-    return media.mapInArrow(_summary, SUMMARY)
+def _second(rate: int) -> float:
+    """Seconds from one frame to the next."""
+    return HOP * DOWN / (UP * rate)
 
 
 def _patches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = PATCH * MELS
+
+    def sent(rows: list[tuple], tensors: list[np.ndarray]) -> pa.RecordBatch:
+        # the storage of an Arrow fixed-shape tensor: one run of PATCH x MELS values for each row
+        tensor = pa.ExtensionArray.from_storage(
+            pa.fixed_shape_tensor(pa.float32(), (PATCH, MELS)), pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(tensors).ravel()), size)
+        )
+        columns = [pa.array(x, t) for x, t in zip(zip(*rows), FACT_TYPES + PLACE_TYPES)]
+        return pa.RecordBatch.from_arrays([*columns, tensor.storage.cast(pa.list_(pa.float32()))], FACT_NAMES + PLACE_NAMES)
+
+    rows, kept = [], []
     for big in batches:
         for batch in slices(big, "media"):
-            for doc, stored in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist()):
-                _, rate, mel, energy = _features(stored)
-                if not len(mel):
-                    continue
-                full = np.concatenate((mel, np.full((-len(mel) % PATCH, MELS), np.log(1e-6), np.float32)))
-                tensors = full.reshape(-1, size)
-                starts = np.arange(len(tensors)) * PATCH
-                voiced = np.zeros(len(full), np.float32)
-                for a, b in segments(energy):
-                    voiced[a:b] = 1
-                # the storage of an Arrow fixed-shape tensor: one run of PATCH x MELS values for each row
-                tensor = pa.ExtensionArray.from_storage(
-                    pa.fixed_shape_tensor(pa.float32(), (PATCH, MELS)), pa.FixedSizeListArray.from_arrays(pa.array(tensors.ravel()), size)
-                )
-                second = HOP * DOWN / (UP * rate)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([doc] * len(tensors), pa.int64()), pa.array(starts // PATCH, pa.int32()), pa.array(starts * second), pa.array((np.minimum(starts + PATCH, len(mel)) * HOP - HOP + FRAME) * DOWN / (UP * rate)),
-                        pa.array(voiced.reshape(-1, PATCH).mean(axis=1).astype(np.float64)), tensor.storage.cast(pa.list_(pa.float32())),
-                    ],
-                    ["doc_id", "patch", "from_s", "to_s", "voiced", "tensor"],
-                )
+            for row, doc, n, stored in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "n_bytes", "media"))):
+                samples, rate = wav_samples(stored)
+                mel, energy = log_mel(samples)
+                facts = (doc, n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(stored), hashlib.sha256(stored).hexdigest())
+                cuts, second = segments(energy), _second(rate)
+                # audio without samples has one patch without frames
+                many = max(1, -(-len(mel) // PATCH))
+                full = np.concatenate((mel, np.full((many * PATCH - len(mel), MELS), np.log(1e-6), np.float32)))
+                for k in range(many):
+                    first, last = k * PATCH, min(k * PATCH + PATCH, len(mel))
+                    inside = [(max(a, first), min(b, last)) for a, b in cuts if a < last and b > first]
+                    end = (last * HOP - HOP + FRAME) * DOWN / (UP * rate)
+                    spans = [{"from_s": a * second, "to_s": b * second} for a, b in inside]
+                    rows.append((*facts, row, k, many, last - first, first * second, end, sum(b - a for a, b in inside) / PATCH, spans))
+                kept.append(full.reshape(many, size))
+                if len(rows) >= SENT:
+                    yield sent(rows, kept)
+                    rows, kept = [], []
+    if rows:
+        yield sent(rows, kept)
 
 
 def patches(media: DataFrame) -> DataFrame:
-    """(doc_id, patch, from_s, to_s, voiced, tensor): log-mel patches of the fixed shape PATCH x MELS, row-major, with time spans.
+    """Log-mel patches of the fixed shape PATCH x MELS, row-major, with time spans, of each row of ``media`` (row, doc_id, n_bytes, media).
+
+    ``row`` is unlike for any two rows of ``media``; ``patch`` counts from 0 to ``patches`` - 1 in it. ``from_s`` and ``to_s`` are the patch's time, ``spans``
+    the segments' times in it and ``voiced`` their share. The last patch is filled with the value of silence after its ``frames``.
+    Spark has no tensor type, so ``tensor`` has the tensors' storage; ``pa.fixed_shape_tensor(pa.float32(), (PATCH, MELS))`` takes it as it is.
+    """
+    return media.select("row", "doc_id", "n_bytes", "media").mapInArrow(_patches, PATCHES)
+
+
+def _feature(parts: list[tuple]) -> str:
+    """The feature string of all patches (frames, spans, tensor) of a row, in order. Spans that meet where a patch ends are one segment."""
+    mel = np.concatenate([tensor.reshape(PATCH, MELS)[:frames] for frames, _, tensor in parts])
+    second, cuts = _second(RATE), []
+    for span in (x for _, spans, _ in parts for x in spans):
+        a, b = round(span["from_s"] / second), round(span["to_s"] / second)
+        if cuts and cuts[-1][1] == a:
+            cuts[-1] = (cuts[-1][0], b)
+        else:
+            cuts.append((a, b))
+    return feature_string(mel, cuts)
+
+
+def _derived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of patches that stand together get their feature; patches of other rows go on as they are, without a feature."""
+    names = FACT_NAMES + PLACE_NAMES[:-1]
+    types = [*FACT_TYPES, *PLACE_TYPES, pa.list_(pa.float32()), pa.string()]
+
+    def sent(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], [*names, "tensor", "feature"])
+
+    at = {c: names.index(c) for c in names}
+    held, out = [], []  # patches of one row, in order
+
+    def close() -> None:
+        if held and len(held) == held[0][0][at["patches"]]:
+            feature = _feature([(x[at["frames"]], x[at["spans"]], tensor) for x, tensor in held])
+            out.append((*held[0][0][: len(FACT_NAMES)], held[0][0][at["row"]], *[None] * (len(PLACE_TYPES) - 1), None, feature))
+        else:
+            out.extend((*x, tensor, None) for x, tensor in held)
+        held.clear()
+
+    for batch in batches:
+        tensors = batch.column("tensor").flatten().to_numpy(zero_copy_only=False).reshape(-1, PATCH * MELS)
+        for k, x in enumerate(zip(*(batch.column(c).to_pylist() for c in names))):
+            if held and (x[at["row"]] != held[0][0][at["row"]] or x[at["patch"]] != len(held)):
+                close()
+            held.append((x, tensors[k].copy()))
+            if x[at["patch"]] != len(held) - 1:  # a row's first patches are elsewhere
+                close()
+        if len(out) >= SENT:
+            yield sent(out)
+            out.clear()
+    close()
+    if out:
+        yield sent(out)
+
+
+def features(stored: DataFrame) -> DataFrame:
+    """What the media of the written patches hold and a feature string, one row for each ``row`` of ``stored`` (columns of ``patches``).
+
+    A row's patches were written side by side; only those that a split of the files parts are dealt out again by row.
+    """
+    found = written(stored.mapInArrow(_derived, f"{PATCHES}, feature string"), "features")
+    parted = found.where("feature IS NULL").drop("feature").repartition("row").sortWithinPartitions("row", "patch").mapInArrow(_derived, f"{PATCHES}, feature string")
+    names = [*FACT_NAMES, "feature"]
+    return found.where("feature IS NOT NULL").select(*names).union(parted.select(*names))
+
+
+def summarize(media: DataFrame) -> DataFrame:
+    """What the stored media hold and a feature string, one row for each row of ``media``.
 
-    Spark has no tensor type, so the column has the tensors' storage; ``pa.fixed_shape_tensor(pa.float32(), (PATCH, MELS))`` takes it as it
-    is. The last patch is filled with the value of silence.
+    Tensors and time spans of all rows are written to the shared folder; the feature string is derived from those that are read back.
     """
-    return media.select("doc_id", "media").mapInArrow(_patches, "doc_id long, patch int, from_s double, to_s double, voiced double, tensor array<float>")
+    return features(written(patches(media), "patches"))

@@ -1,5 +1,6 @@
 """Each operator against its plain version, on real and awkward documents."""
 
+import glob
 import hashlib
 import json
 import zlib
@@ -169,6 +170,27 @@ def test_patches_have_one_shape(docs):
     assert all(r["from_s"] < r["to_s"] for r in found)
 
 
+def test_features_come_from_written_patches(spark, docs):
+    twice = docs.select("doc_id", "text").unionByName(docs.selectExpr("CAST(NULL AS LONG) AS doc_id", "text"))
+    media = audio.store_texts(twice)
+    want = []
+    for r in media.collect():
+        mel, energy = audio.log_mel(audio.wav_samples(r["media"])[0])
+        want.append((r["doc_id"], audio.feature_string(mel, audio.segments(energy))))
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(glob.glob(f"{shared}/patches-*"))
+    found = audio.summarize(media)
+    (path,) = set(glob.glob(f"{shared}/patches-*")) - before
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["feature"])) for r in found.collect())
+    stored = spark.read.parquet(path)
+    assert stored.select("row").distinct().count() == len(want) and stored.count() > len(want)
+    assert stored.selectExpr("size(tensor) AS n").distinct().collect() == [(audio.PATCH * audio.MELS,)]
+    parted = audio.features(stored.repartition(7, F.rand(1)))  # patches of one row in many places
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["feature"])) for r in parted.collect())
+    louder = stored.withColumn("tensor", F.transform("tensor", lambda x: x + 1))
+    assert not {r["feature"] for r in audio.features(louder).collect()} & {x for _, x in want}
+
+
 # --- 4: quality
 
 
