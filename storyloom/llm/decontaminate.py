@@ -16,11 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storyloom.llm._spark import written
 from storyloom.llm.token_output import slices
 
 WINDOW = 13
 #: Bytes of item text that one automaton holds. More items are scanned in blocks of about this size.
 BLOCK_BYTES = 16 << 20
+#: Tells the scanned rows apart if there are several blocks.
+ROW = "_scanned_row"
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: Maps A-Z to a-z and every byte that is in no word to a space.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -116,44 +119,69 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, spans: bool =
 
     Null and empty texts have no words and no hits. Items without words are no pattern. Rows of ``items`` that repeat
     an id add up to one item; a null id is the empty id. The size of the items is measured first: up to ``block_bytes`` they
-    are broadcast as one automaton; beyond that, documents are scanned once for each block of items and the ranges
-    of a row are merged. Every row of ``docs`` is kept as a row of its own; ``keys`` must tell rows apart only if there are several blocks.
+    are broadcast as one automaton; beyond that, documents are written with a row id and scanned once for each block of items, and the ranges
+    of a row are merged by that id. Every row of ``docs`` is kept as a row of its own in both cases, whatever its ``keys``: they may repeat or be null.
     """
     spark = docs.sparkSession
     texts = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text"))
-    bytes_, longest = texts.agg(F.sum(F.octet_length("text") + 32), F.max(F.octet_length("text"))).first()
-    blocks = max(1, -(-(bytes_ or 0) // block_bytes))
+
+    def count_blocks() -> int:
+        bytes_ = texts.agg(F.sum(F.octet_length("text") + F.octet_length("item") + 32)).first()[0]
+        return max(1, -(-(bytes_ or 0) // block_bytes))
+
+    blocks = count_blocks()
+    if blocks > 1:  # equal rows add nothing to an item, and one block would get all of them
+        texts = written(texts.distinct(), "items")
+        blocks = count_blocks()
     kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
     ranges = "array<struct<first: int, last: int>>"
-    schema += f", n_words long, hits {ranges}, items array<string>, spans {ranges}"
+    found = f"n_words long, hits {ranges}, items array<string>, spans {ranges}"
     source = docs.select(*keys, F.col("text").cast("string").alias("text"))
-    parts = []
-    for k in range(blocks):
-        block = texts.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) if blocks > 1 else texts
-        rows = [(r["item"], r["text"]) for r in block.collect()]  # about block_bytes
-        key = hashlib.sha256(repr((sorted(rows, key=repr), window)).encode("utf-8", "surrogatepass")).hexdigest()
-        parts.append(source.mapInArrow(_scanner(spark.sparkContext.broadcast(rows), key, window, spans), schema))
+
+    def scanned(rows: DataFrame, block: DataFrame, schema: str) -> DataFrame:
+        patterns = [(r["item"], r["text"]) for r in block.collect()]  # about block_bytes
+        key = hashlib.sha256(repr((sorted(patterns, key=repr), window)).encode("utf-8", "surrogatepass")).hexdigest()
+        return rows.mapInArrow(_scanner(spark.sparkContext.broadcast(patterns), key, window, spans), f"{schema}, {found}")
+
     if blocks == 1:
-        return parts[0]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.union(part)
+        return scanned(source, texts, ", ".join(f"`{k}` {kinds[k]}" for k in keys))
+    source = written(source.withColumn(ROW, F.monotonically_increasing_id()), "scanned")
+    every = None
+    for k in range(blocks):
+        # by id and text, so that an id with very many rows is spread over blocks
+        part = scanned(source.select(ROW, "text"), texts.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k), f"`{ROW}` long")
+        every = part if every is None else every.union(part.where(F.size("hits") > 0))  # the first block has every row
+    pair = "struct<first: int, last: int, begin: int, end: int>"
+    placed = F.transform(
+        F.arrays_zip("hits", "spans"),
+        lambda x: F.struct(x["hits"]["first"].alias("first"), x["hits"]["last"].alias("last"), x["spans"]["first"].alias("begin"), x["spans"]["last"].alias("end")),
+    )
     merged = F.aggregate(
-        F.array_sort(F.flatten(F.collect_list("hits"))),
-        F.expr(f"cast(array() as {ranges})"),
+        "placed",
+        F.expr(f"cast(array() as array<{pair}>)"),
         lambda done, x: F.when(
             (F.size(done) > 0) & (F.element_at(done, F.greatest(F.size(done), F.lit(1))).getField("last") >= x["first"]),
             F.concat(
                 F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))),
-                F.array(F.struct(F.element_at(done, -1)["first"].alias("first"), F.greatest(F.element_at(done, -1)["last"], x["last"]).alias("last"))),
+                F.array(
+                    F.struct(
+                        F.element_at(done, -1)["first"].alias("first"), F.greatest(F.element_at(done, -1)["last"], x["last"]).alias("last"),
+                        F.element_at(done, -1)["begin"].alias("begin"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"),
+                    )
+                ),
             ),
         ).otherwise(F.concat(done, F.array(x))),
-    )
-    return every.groupBy(*keys).agg(
-        F.first("n_words").alias("n_words"), merged.alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
     )
+    by_row = every.select(ROW, "n_words", placed.alias("placed"), "items").groupBy(ROW).agg(
+        F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("placed"))).alias("placed"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    ).withColumn("placed", merged)
+    by_row = by_row.select(
+        F.col(ROW).alias("_row"), "n_words", F.transform("placed", lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"))).alias("hits"), "items",
+        (F.transform("placed", lambda x: F.struct(x["begin"].alias("first"), x["end"].alias("last"))) if spans else F.expr(f"cast(array() as {ranges})")).alias("spans"),
+    )
+    mine = source.drop("text").toDF(*[f"_k{i}" for i in range(len(keys))], ROW)  # names of keys may be those of results
+    joined = mine.join(by_row, mine[ROW] == by_row["_row"])
+    return joined.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], "n_words", "hits", "items", "spans")
 
 
 def report(scanned: DataFrame) -> DataFrame:

@@ -301,6 +301,22 @@ def test_decontamination_spans_and_filter(spark, planted, nothing):
     assert decontaminate.decontaminate(df, item_df.where("false")).count() == len(rows)
 
 
+def test_blocks_keep_repeated_and_null_rows(spark, planted, monkeypatch):
+    rows, items = planted
+    rows = rows + rows[-2:] + [(None, *r[1:]) for r in rows[-4:]] + [(rows[-1][0], "clean words", "en", "s", 0)] * 2
+    items = items + [(None, f"null id with text {k} " * 5) for k in range(40)] + [(7, "one row " * 30)] * 300 + [(2, items[1][1])]
+    df, item_df = brute.frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(map(str, decontaminate.scan(df, item_df, spans=True, block_bytes=n).collect())) for n in (decontaminate.BLOCK_BYTES, 2000))
+    assert len(many) == len(rows) and one == many
+    sizes, machine = [], decontaminate._scanner
+    monkeypatch.setattr(decontaminate, "_scanner", lambda shared, *x: sizes.append(len(shared.value)) or machine(shared, *x))
+    decontaminate.scan(df, item_df, block_bytes=2000)
+    assert len(sizes) > 1 and max(sizes) < 40
+    want = sorted(map(str, decontaminate.decontaminate(df, item_df).collect()))
+    monkeypatch.setattr(decontaminate.scan, "__defaults__", (*decontaminate.scan.__defaults__[:2], 2000, *decontaminate.scan.__defaults__[3:]))
+    assert want == sorted(map(str, decontaminate.decontaminate(df, item_df).collect()))
+
+
 # --- 7: sharding
 
 
