@@ -22,9 +22,8 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, on shingles of five words."""
-    groups = near_dedup.near_duplicates(docs, threshold=0.8, size=5)
-    return docs.join(groups.where("kept").select("doc_id").distinct(), "doc_id").select(*docs.columns)
+    """One row of each group of near duplicates, on shingles of five words; null and repeated ids make no difference."""
+    return near_dedup.one_of_each(docs, threshold=0.8, size=5)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +32,8 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mixing.mix(docs).where("copies > 0").select("doc_id", "copies")
-    names = docs.columns
-    return docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*names)
+    """Each row as often as the mix takes it; rows with null or repeated ids are taken one by one."""
+    return mixing.mixed_rows(docs)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Tells the rows of a table apart, whatever their own ids are.
+ROW = "_row"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,6 +45,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_rows(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a unique id ``ROW`` of each row, written so that the ids stay as they are."""
+    return written(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that ``written`` made, once nothing reads them any more."""
     for df in tables:

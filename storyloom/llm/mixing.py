@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from storyloom.llm._spark import written
+from storyloom.llm._spark import ROW, with_rows, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hash buckets of a (source, length) group, so that a group with very many documents is ranked in parts.
@@ -109,17 +109,30 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 
     A null text and a text without words have size 0; such rows are kept and take 0 words, in one copy if whole
     copies of their source are taken. A null source is a source of its own. Rows that repeat a doc_id count and
-    are taken one by one. ``taken`` is ``copies`` times ``size``, at most ``most`` times the size (``most`` is a whole number here,
+    are taken one by one, and so are rows with a null one. ``taken`` is ``copies`` times ``size``, at most ``most`` times the size (``most`` is a whole number here,
     so that the part beyond whole copies adds one copy at most). An empty table yields no rows.
     """
-    sizes = written(
-        docs.select(
-            F.col("doc_id"),
-            F.col("source").cast("string").alias("source"),
-            F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-        ),
-        "sizes",
+    return _mixed(with_rows(_sizes(docs), "sizes"), weights, share, most, seed).drop(ROW)
+
+
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """Each row of ``docs``, all columns, as often as the mix takes it. Rows that repeat a doc_id or have none are taken one by one."""
+    rows = with_rows(docs, "rows")
+    copies = _mixed(written(_sizes(rows, ROW), "sizes")).where("copies > 0").select(ROW, F.sequence(F.lit(1), "copies").alias("_copies"))
+    return rows.join(copies, ROW).withColumn("_copy", F.explode("_copies")).select(*docs.columns)
+
+
+def _sizes(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.select(
+        *more,
+        F.col("doc_id"),
+        F.col("source").cast("string").alias("source"),
+        F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
     )
+
+
+def _mixed(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
+    """The columns of ``mix`` and ROW of each row of ``sizes`` (ROW, doc_id, source, size)."""
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(totals, weights, share, most)
     targets = written(targets.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1).cast("long")), "targets")
@@ -127,7 +140,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     same = sizes["source"].eqNullSafe(targets["source"])
     # targets has one row for each source; Spark broadcasts it by its measured size or splits the hot source
     ranked = written(
-        sizes.join(targets.select("source", "source_rank"), same).drop(targets["source"]).withColumn("h", F.xxhash64(F.lit(seed), "doc_id")),
+        sizes.join(targets.select("source", "source_rank"), same).drop(targets["source"]).withColumn("h", F.xxhash64(F.lit(seed), F.coalesce("doc_id", ROW))),
         "ranked",
     ).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
     lengths = ranked.where("size > 0").groupBy("source_rank", "size").agg(F.count("*").alias("n"))
@@ -139,13 +152,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     earlier = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     by_bucket = by_bucket.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     quota = by_bucket.join(picks, keys).select(*keys, "bucket", (F.col("take") - F.col("before")).alias("quota")).where("quota > 0")
-    in_bucket = Window.partitionBy(*keys, "bucket").orderBy("h", "doc_id")
+    in_bucket = Window.partitionBy(*keys, "bucket").orderBy("h", "doc_id", ROW)
     chosen = (
         ranked.withColumn("at", F.row_number().over(in_bucket))
         .join(written(quota, "quota"), [*keys, "bucket"], "left")
         .withColumn("extra", (F.col("at") <= F.coalesce("quota", F.lit(0))).cast("long"))
     )
     return chosen.join(targets.drop("source"), "source_rank").select(
-        "doc_id", "source", "size", "source_size", "target", ((F.col("copies") + F.col("extra")) * F.col("size")).alias("taken"),
+        ROW, "doc_id", "source", "size", "source_size", "target", ((F.col("copies") + F.col("extra")) * F.col("size")).alias("taken"),
         (F.col("copies") + F.col("extra")).alias("copies"),
     )

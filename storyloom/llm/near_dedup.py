@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from storyloom.llm._spark import component_labels, discard, is_empty, written
+from storyloom.llm._spark import ROW, component_labels, discard, is_empty, with_rows, written
 from storyloom.llm._words import WordHashes, mixed, run_hashes
 from storyloom.llm.token_output import slices
 
@@ -88,8 +88,8 @@ def _sketches(size: int):
                     signatures.append(signature(h).tobytes() if len(h) else None)
                 a, b = zip(*keys)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(signatures, pa.binary())],
-                    ["doc_id", "n_shingles", "s1", "s2", "sig"],
+                    [batch.column(ROW), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(signatures, pa.binary())],
+                    [ROW, "doc_id", "n_shingles", "s1", "s2", "sig"],
                 )
 
     return run
@@ -196,29 +196,45 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> D
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs`` (doc_id, text).
 
     A document's set are its distinct shingles of ``size`` words; with fewer words, all of them as one. Null texts and texts without
-    words have empty sets and are linked with nothing. ``component_id`` is the smallest doc_id that links reach, and
-    ``kept`` marks the row with that id. Rows that repeat a doc_id are in one component if their texts are linked. An empty
-    table yields no rows.
+    words have empty sets and are linked with nothing. Rows are linked one by one, whatever their ids. ``component_id`` is the smallest doc_id
+    that links reach, null if all are null, and ``kept`` marks the rows with that id, or one row if it is null. Rows that repeat a doc_id are
+    in one component if links reach from one to the other; otherwise each is in its own, and both components may have that id. An
+    empty table yields no rows.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = written(texts.mapInArrow(_sketches(size), "doc_id long, n_shingles long, s1 long, s2 long, sig binary"), "sketch")
+    found = _placed(with_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "texts"), threshold, size)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & F.col("leads"))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def one_of_each(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
+    """One row, all columns, of each component of ``docs``: of the smallest doc_id, nulls last.
+
+    Rows with null ids and rows that repeat an id are rows like all others: copies go, others stay.
+    """
+    rows = with_rows(docs, "rows")
+    texts = rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.join(_placed(texts, threshold, size).where("leads").select(ROW), ROW).select(*docs.columns)
+
+
+def _placed(texts: DataFrame, threshold: float, size: int) -> DataFrame:
+    """(ROW, doc_id, n_shingles, component_id, leads) of each row of ``texts`` (ROW, doc_id, text); ``leads`` marks one row of each component."""
+    columns = [ROW, "doc_id", "text"]
+    sketch = written(texts.select(*columns).mapInArrow(_sketches(size), f"{ROW} long, doc_id long, n_shingles long, s1 long, s2 long, sig binary"), "sketch")
     full = sketch.where("n_shingles > 0")
     # copies: one class for each distinct set; a class of very many copies is counted by partial sums only
-    classes = written(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
-    members = full.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2", "n_shingles"]).select("doc_id", "n_shingles", "id")
-    reps = written(
-        full.join(classes.select("id", "s1", "s2"), (full["doc_id"] == F.col("id")) & (full["s1"] == classes["s1"]) & (full["s2"] == classes["s2"]))
-        .select("id", F.col("n_shingles").alias("n"), "sig")
-        .dropDuplicates(["id"]),
-        "signatures",
-    )
+    lead = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc"), F.col(ROW).alias("row"))
+    classes = written(full.groupBy("s1", "s2", "n_shingles").agg(F.min(ROW).alias("id"), F.min(lead).alias("lead")), "classes")
+    reps = written(full.join(classes.select("id"), full[ROW] == F.col("id")).select("id", F.col("n_shingles").alias("n"), "sig"), "signatures")
     links = _links(texts, reps, threshold, size)
-    if links is None:
-        labelled = members.select("doc_id", "n_shingles", F.col("id").alias("component_id"))
-    else:
-        labelled = members.join(links, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    empty = sketch.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return labelled.union(empty).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    if links is not None:
+        linked = links.join(classes.select("id", "lead"), "id")
+        first = links.join(linked.groupBy("component").agg(F.min("lead").alias("first")), "component").select("id", "first")
+        classes = classes.join(first, "id", "left").withColumn("lead", F.coalesce("first", "lead"))
+    keys = ["s1", "s2", "n_shingles"]
+    labelled = full.drop("sig").join(classes.select(*keys, "lead"), keys)
+    labelled = labelled.select(ROW, "doc_id", "n_shingles", F.col("lead.doc").alias("component_id"), (F.col(ROW) == F.col("lead.row")).alias("leads"))
+    empty = sketch.where("n_shingles = 0").select(ROW, "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("leads"))
+    return labelled.union(empty)
 
 
 def _in_reach(most, hundredths: int):
@@ -270,7 +286,7 @@ def _links(texts: DataFrame, reps: DataFrame, threshold: float, size: int) -> Da
         return None
     involved = buckets.select("id").distinct()
     sets = written(
-        texts.join(involved, texts["doc_id"] == involved["id"]).select("id", "text").dropDuplicates(["id"]).mapInArrow(_sets(size), "id long, value binary"), "sets"
+        texts.join(involved, texts[ROW] == involved["id"]).select("id", "text").mapInArrow(_sets(size), "id long, value binary"), "sets"
     ).join(reps.select("id", "n"), "id")
     signatures = reps.join(involved, "id").select("id", "n", F.col("sig").alias("value"))
 

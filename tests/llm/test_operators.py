@@ -113,6 +113,22 @@ def test_near_duplicates_empty_and_repeated(nothing, spark):
     assert sorted(tuple(r) for r in near_dedup.near_duplicates(twice, 0.8, 2).collect()) == [(1, 2, 1, True), (1, 2, 1, True), (2, 0, 2, True)]
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark, small):
+    import corpus_pipeline
+
+    long = [" ".join(f"{k}w{n}" for n in range(60)) for k in range(4)]
+    rows = [
+        (1, long[0], "en", "s", 0), (1, long[1], "en", "s", 0), (1, long[1], "en", "s", 0), (2, long[1] + " end", "en", "s", 0), (3, long[0] + " end", "en", "s", 0),
+        (None, long[2], "en", "s", 0), (None, long[2] + " end", "en", "s", 0), (None, long[3], "en", "s", 0), (5, long[3] + " end", "en", "s", 0), (None, "", "en", "s", 0), (None, None, "en", "s", 0),
+    ]
+    df = brute.frame(spark, rows)
+    kept = sorted(((r["doc_id"], r["text"] and r["text"][:2]) for r in corpus_pipeline.keep_one_of_copies(spark, df, small).collect()), key=str)
+    assert kept == sorted([(1, "0w"), (1, "1w"), (None, "2w"), (5, "3w"), (None, ""), (None, None)], key=str)
+    found = near_dedup.near_duplicates(df).collect()
+    assert len(found) == len(rows) and all(r["kept"] is not None for r in found)
+    assert {r["component_id"] for r in found if r["doc_id"] in (2, 3)} == {1} and sum(r["kept"] for r in found if r["component_id"] is None) == 3
+
+
 def test_bounds_keep_true_links():
     least = near_dedup.least_matches(0.8)
     rng = np.random.default_rng(1)
@@ -433,6 +449,19 @@ def test_mixing(spark, docs, rows, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+def test_mixing_with_null_and_repeated_ids(spark, docs, small):
+    import corpus_pipeline
+
+    some = docs.where("text IS NOT NULL AND source IS NOT NULL")
+    awkward = some.withColumn("doc_id", F.expr("CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 7L ELSE doc_id END"))
+    words = F.sum(F.regexp_count("text", F.lit(mixing.WORD)))
+    mixed = corpus_pipeline.mix_sources(spark, awkward, small)
+    # the ids decide which documents of a length are taken, not how many
+    assert mixed.agg(words).first() == corpus_pipeline.mix_sources(spark, some, small).agg(words).first()
+    assert mixed.where("doc_id IS NULL").count() > 0
+    assert mixing.mix(awkward).count() == awkward.count()
+
+
 def test_fit_counts():
     rng = np.random.default_rng(0)
     for _ in range(200):
