@@ -1,9 +1,9 @@
-"""Substring dedup over a log-structured fingerprint index.
+"""Incremental substring dedup over a log-structured fingerprint index.
 
 A document's fingerprints are hashes of short word runs, thinned by winnowing so that each window of ``WINDOW`` words
 holds at least one and equal windows hold the same one. The index keeps them in immutable runs, sorted and bucketed by
 hash. Each new batch becomes a run and is merge-joined with the older runs; runs of like size are compacted. Where
-fingerprints repeat, the full windows are compared.
+fingerprints repeat, in the batch or in what was indexed before, the full windows are read again and compared by a 128-bit digest of their words.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from storyloom.llm._manifest import Manifests
 from storyloom.llm._spark import discard, fresh_path, written
-from storyloom.llm._words import WordHashes, run_hashes
+from storyloom.llm._words import WordHashes, mixed, run_hashes
 from storyloom.llm.token_output import slices
 
 WINDOW = 20
@@ -30,8 +31,6 @@ SLICE = 8 << 20
 #: Runs of one tier that are merged into one.
 FANOUT = 4
 
-_words = WordHashes()
-
 
 def _split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
@@ -47,6 +46,20 @@ def winnow(grams: np.ndarray, reach: int) -> np.ndarray:
     return np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
 
 
+def surroundings(words: np.ndarray, at: np.ndarray, gram: int, around: int) -> np.ndarray:
+    """A 64-bit hash of the ``around`` words before each place, its gram and ``around`` words after it; where the text ends counts, too.
+
+    All windows of ``gram + around`` words that hold the gram lie in these words. So places with equal surroundings lie in equal windows.
+    """
+    width = gram + 2 * around
+    filled = np.concatenate((np.zeros(around, np.uint64), words, np.zeros(around, np.uint64)))
+    odd = mixed(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
+    out = np.zeros(len(at), np.uint64)
+    for k in range(width):
+        out += mixed(filled[at + k] + np.uint64(k)) * odd[k]
+    return mixed(out)
+
+
 def _first_of(keys: np.ndarray) -> np.ndarray:
     """Whether each key is the first of its equals."""
     first = np.zeros(len(keys), dtype=bool)
@@ -55,150 +68,188 @@ def _first_of(keys: np.ndarray) -> np.ndarray:
 
 
 def _digest(window: int):
-    """Of each document: words, digest of all words, its fingerprints that are new in this slice, and the places of the others."""
+    """Of each document: words, digest of all words, its fingerprints with surroundings that are new in this slice, and the places of the others."""
+    gram = min(GRAM, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered = WordHashes()
         for big in batches:
             for batch in slices(big, "text", SLICE):
-                ids, rows, hashes, places = batch.column("doc_id"), [], [], []
+                rows, hashes, around, places = [], [], [], []
                 for text in batch.column("text").to_pylist():
                     words = _split(text)
                     rows.append((len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
                     # a document of fewer words than a window has no window
-                    grams = run_hashes(_words.of(words), min(GRAM, window)) if len(words) >= window else np.zeros(0, np.uint64)
-                    at = winnow(grams, window - min(GRAM, window) + 1)
+                    coded = remembered.of(words) if len(words) >= window else np.zeros(0, np.uint64)
+                    grams = run_hashes(coded, gram)
+                    at = winnow(grams, window - gram + 1)
                     places.append(at)
                     hashes.append(grams[at])
-                flat = np.concatenate(hashes)
-                _, first, number, many = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
-                new = np.zeros(len(flat), dtype=bool)
-                new[first] = True
-                repeated = many[number] > 1
+                    around.append(surroundings(coded, at, gram, window - gram))
+                flat, near = np.concatenate(hashes), np.concatenate(around)
+                _, number, many = np.unique(flat, return_inverse=True, return_counts=True)
+                new, repeated = _first_of(flat ^ near), many[number] > 1
+                near = (near >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 ends = np.cumsum([len(x) for x in hashes])
                 out = []
                 for start, end, at in zip(np.concatenate(([0], ends[:-1])), ends, places):
                     part = slice(start, end)
                     keep = new[part]
-                    out.append((flat[part][keep].view(np.int64), at[keep], repeated[part][keep], at[~keep]))
+                    out.append((flat[part][keep].view(np.int64), near[part][keep], at[keep], repeated[part][keep], at[~keep]))
                 lists = lambda k, kind: pa.array([x[k] for x in out], pa.list_(kind))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows]), lists(0, pa.int64()), lists(1, pa.int32()), lists(2, pa.bool_()), lists(3, pa.int32())],
-                    ["doc_id", "n_words", "sha", "hash", "at", "again", "known"],
-                )
+                    [batch.column("doc_id"), batch.column("version"), pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows]),
+                     lists(0, pa.int64()), lists(1, pa.int32()), lists(2, pa.int32()), lists(3, pa.bool_()), lists(4, pa.int32())],
+                    ["doc_id", "version", "n_words", "sha", "hash", "around", "at", "again", "known"],
+                )
 
     return run
 
 
-DIGEST = "doc_id long, n_words long, sha string, hash array<long>, at array<int>, again array<boolean>, known array<int>"
+DIGEST = "doc_id long, version long, n_words long, sha string, hash array<long>, around array<int>, at array<int>, again array<boolean>, known array<int>"
+RUN = "hash LONG, around INT, doc_id LONG, version LONG, at INT, again BOOLEAN"
 
 
 class FingerprintIndex:
-    """Immutable runs of (hash, doc_id, at, again), each a bucketed table that is sorted by hash.
+    """Immutable runs of (hash, around, doc_id, version, at, again) in a folder, each a table that is bucketed and sorted by hash.
 
-    The hash is the bucket key of every run and of every join and aggregation on it, so a merge needs no shuffle. ``again`` marks hashes of which
-    the writer had already seen several. A hash occurs at most once for each slice of text, however often documents repeat it.
-    """
+    A manifest lists the runs and the texts of the batches so far; a session that opens the folder later goes on from there. A batch
+    becomes visible by the manifest's atomic rename, so a run that dies half-way leaves the index as it was. ``again`` marks hashes of which the
+    writer had already seen several. Runs hold a hash once for each slice of text and its surroundings; compaction keeps the first place for each surroundings,
+    since later ones lie in the same windows.
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = FANOUT):
-        self.spark, self.fanout = spark, fanout
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name = f"fingerprints_{uuid.uuid4().hex[:12]}"
-        self.runs: list[tuple[int, str]] = []  # (tier, table)
-        self.count = 0
+    ``texts`` is a table (doc_id, text) that holds all documents of former batches, where the caller has one; otherwise each batch's texts are kept in the folder.
+    """
 
-    def _write(self, rows: DataFrame, tier: int) -> DataFrame:
-        table = f"{self.name}_{self.count}"
-        self.count += 1
+    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int | None = None, fanout: int = FANOUT, texts: DataFrame | None = None):
+        self.spark, self.fanout, self.texts = spark, fanout, texts
+        self.root = (root or fresh_path(spark, "fingerprints")).rstrip("/")
+        self.manifests = Manifests(spark, self.root)
+        self.version, found = self.manifests.current()
+        found = found or {"buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "runs": [], "texts": []}
+        self.buckets: int = found["buckets"]
+        self.runs: list[dict] = found["runs"]  # tier, path
+        self.kept: list[str] = found["texts"]
+
+    def table(self, run: dict) -> DataFrame:
+        """The run as a bucketed table; a session that does not know it yet registers it by its path."""
+        name = f"fingerprints_{hashlib.sha256(run['path'].encode()).hexdigest()[:24]}"
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(f"CREATE TABLE {name} ({RUN}) USING parquet CLUSTERED BY (hash) SORTED BY (hash) INTO {self.buckets} BUCKETS LOCATION '{run['path']}'")
+        return self.spark.table(name)
+
+    def write(self, rows: DataFrame, tier: int) -> dict:
+        """Writes a run that no manifest lists yet. One shuffle deals its rows to the buckets."""
+        path = f"{self.root}/runs/{uuid.uuid4().hex}"
+        name = f"fingerprints_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
         writer = rows.repartition(self.buckets, "hash").write.bucketBy(self.buckets, "hash").sortBy("hash")
-        writer.option("compression", "zstd").option("path", fresh_path(self.spark, "fingerprints")).saveAsTable(table)
-        self.runs.append((tier, table))
-        return self.spark.table(table)
-
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Appends ``batch`` (hash, doc_id, at, again) as a run; returns the places (doc_id, at) whose hash is known to repeat now.
-
-        They are places of the batch, and those of older runs that the batch has found again.
-        """
-        older = [self.spark.table(t) for _, t in self.runs]
-        new = self._write(batch, 0)
-        counts = new.groupBy("hash").agg(F.count("*").alias("n"), F.max("again").alias("again"))
+        writer.option("compression", "zstd").option("path", path).saveAsTable(name)
+        return {"tier": tier, "path": path}
+
+    def history(self) -> DataFrame | None:
+        """(doc_id, text) of the documents of former batches."""
+        if self.texts is not None or not self.kept:
+            return self.texts
+        return self.spark.read.schema("doc_id long, text string").parquet(*self.kept)
+
+    def known(self, new: DataFrame) -> DataFrame | None:
+        """The places of all runs whose hash is in ``new`` (hash): each run is merge-joined by itself, so that it is not shuffled."""
         found = None
-        for run in older:
-            both = run.groupBy("hash").agg(F.lit(True).alias("old")).join(counts.select("hash"), "hash")
-            hits = run.join(both.select("hash"), "hash", "left_semi").select("hash", "doc_id", "at")
+        for run in self.runs:
+            hits = self.table(run).join(new, "hash", "left_semi").select("hash", "doc_id", "version", "at")
             found = hits if found is None else found.union(hits)
-        repeated = counts.where("n > 1 or again").select("hash")
-        if found is not None:
-            found = written(found, "found")
-            repeated = repeated.union(found.select("hash")).distinct()
-        places = new.join(repeated, "hash", "left_semi").select("doc_id", "at")
-        places = places if found is None else places.union(found.select("doc_id", "at"))
-        places = written(places, "places")
+        return found
+
+    def commit(self, run: dict, texts: str | None) -> None:
+        """Makes a written run and its batch's texts part of the index, then compacts."""
+        self.runs = [*self.runs, run]
+        self.kept = [*self.kept, *[texts] * (texts is not None)]
+        self._save()
         self.compact()
-        return places
+
+    def _save(self) -> None:
+        self.version = self.manifests.commit(self.version, {"buckets": self.buckets, "runs": self.runs, "texts": self.kept})
 
     def compact(self) -> None:
         """Merges the runs of a tier into one of the next, as long as a tier has ``fanout`` of them."""
         tier = 0
-        while any(t >= tier for t, _ in self.runs):
-            same = [table for t, table in self.runs if t == tier]
+        while any(r["tier"] >= tier for r in self.runs):
+            same = [r for r in self.runs if r["tier"] == tier]
             if len(same) >= self.fanout:
-                rows = self.spark.table(same[0])
-                for table in same[1:]:
-                    rows = rows.union(self.spark.table(table))
-                self._write(rows, tier + 1)
-                self._drop(same)
+                rows = self.table(same[0])
+                for run in same[1:]:
+                    rows = rows.union(self.table(run))
+                # dealt out before the aggregation: a union of bucketed tables is not bucketed
+                first = F.min(F.struct("doc_id", "version", "at")).alias("first")
+                merged = rows.repartition(self.buckets, "hash").groupBy("hash", "around").agg(first, (F.bool_or("again") | (F.count("*") > 1)).alias("again"))
+                run = self.write(merged.select("hash", "around", "first.*", "again"), tier + 1)
+                self.runs = [r for r in self.runs if r not in same] + [run]
+                self._save()
+                self.manifests.forget(self.version)
+                self._delete(same)
             tier += 1
 
-    def _drop(self, tables: list[str]) -> None:
-        self.runs = [(t, x) for t, x in self.runs if x not in tables]
-        for table in tables:
-            discard(self.spark.table(table))
-            self.spark.sql(f"DROP TABLE {table}")
+    def _delete(self, runs: list[dict]) -> None:
+        for run in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS fingerprints_{hashlib.sha256(run['path'].encode()).hexdigest()[:24]}")
+            self.manifests.files().delete(self.manifests.path(run["path"]), True)
 
     def drop(self) -> None:
-        self._drop([t for _, t in self.runs])
+        """Deletes the index."""
+        self._delete(self.runs)
+        self.manifests.files().delete(self.manifests.path(self.root), True)
+        self.runs, self.kept = [], []
 
 
 def _windows(window: int):
-    """Windows around repeated fingerprints: rows to compare (n = 0), and ranges of n windows that an earlier one in the slice equals."""
+    """Windows around places: rows to compare (n = 0), and ranges of n windows that an earlier one in the slice equals."""
+    gram = min(GRAM, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in slices(big, "text", SLICE):
-                rows = sorted(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "at"))), key=lambda r: r[0])
-                docs, starts, first, second = [], [], [], []
-                for doc, text, at in rows:
-                    words = _words.of(_split(text))
+                rows = sorted(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "text", "at"))), key=lambda r: r[:2])
+                docs, versions, starts, digests = [], [], [], []
+                for doc, version, text, at in rows:
+                    words = _split(text)
                     many = len(words) - window + 1
                     if many <= 0:
                         continue
                     near = np.zeros(many + 1, np.int64)
                     at = np.asarray(at, np.int64)
-                    np.add.at(near, np.maximum(0, at - (window - min(GRAM, window))), 1)
+                    np.add.at(near, np.maximum(0, at - (window - gram)), 1)
                     np.add.at(near, np.minimum(many, at + 1), -1)
                     places = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+                    joined = memoryview(b" ".join(words))
+                    begins = np.cumsum([0, *[len(w) + 1 for w in words]])
+                    digests += [
+                        hashlib.blake2b(joined[a:b], digest_size=16).digest() for a, b in zip(begins[places].tolist(), (begins[places + window] - 1).tolist())
+                    ]
                     docs.append(np.full(len(places), doc, np.int64))
+                    versions.append(np.full(len(places), version, np.int64))
                     starts.append(places)
-                    first.append(run_hashes(words, window, 1)[places])
-                    second.append(run_hashes(words, window, 2)[places].astype(np.uint32).view(np.int32))
                 if not docs:
                     continue
-                doc, at, one, two = map(np.concatenate, (docs, starts, first, second))
-                new = _first_of(one ^ (two.astype(np.uint32).astype(np.uint64) << np.uint64(32)))
+                doc, version, at = map(np.concatenate, (docs, versions, starts))
+                both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                one, two = both[:, 0], both[:, 1]
+                new = _first_of(one ^ two)
                 # repeats within the slice, as ranges of consecutive windows of one document
-                d, p = doc[~new], at[~new]
-                cut = np.flatnonzero(np.concatenate(([True], (np.diff(d) != 0) | (np.diff(p) != 1)))) if len(d) else np.zeros(0, np.int64)
+                d, v, p = doc[~new], version[~new], at[~new]
+                cut = np.flatnonzero(np.concatenate(([True], (np.diff(d) != 0) | (np.diff(v) != 0) | (np.diff(p) != 1)))) if len(d) else np.zeros(0, np.int64)
                 n = np.diff(np.append(cut, len(d)))
-                out = (np.concatenate((one[new].view(np.int64), (d[cut] * 7919 + p[cut]).astype(np.int64))), np.concatenate((two[new], np.full(len(cut), -1, np.int32))),
-                       np.concatenate((doc[new], d[cut])), np.concatenate((at[new], p[cut])).astype(np.int32), np.concatenate((np.zeros(int(new.sum())), n)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["one", "two", "doc_id", "p", "n"])
+                out = (np.concatenate((one[new], d[cut] * 7919 + p[cut])), np.concatenate((two[new], v[cut])), np.concatenate((doc[new], d[cut])), np.concatenate((version[new], v[cut])),
+                       np.concatenate((at[new], p[cut])).astype(np.int32), np.concatenate((np.zeros(int(new.sum())), n)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["one", "two", "doc_id", "version", "p", "n"])
 
     return run
 
 
+WINDOWS = "one long, two long, doc_id long, version long, p int, n int"
+
+
 def _removed(window: int):
-    """n_words, n_removed and the digest of what is kept, from a text and its ranges of repeated windows."""
+    """n_removed, the digest of what is kept and the kept words, from a text and its ranges of repeated windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -212,58 +263,97 @@ def _removed(window: int):
                         gone[r["p"] + max(1, r["n"]) - 1 + window] -= 1
                     keep = np.cumsum(gone[:-1]) == 0
                     kept = b" ".join([w for w, k in zip(words, keep.tolist()) if k])
-                    out.append((len(words), len(words) - int(keep.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")))
-                columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+                    out.append((len(words) - int(keep.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")))
+                columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), *columns], [*KEY, "n_removed", "kept_sha256", "kept"])
 
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = 2, index: FingerprintIndex | None = None, texts: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) of each document of ``docs`` (doc_id, text), in all cases those of the contract:
+#: Tells documents apart: rows that agree in both are one document.
+KEY = ["doc_id", "version"]
 
-    each word is removed that a window of ``window`` words covers whose words also start earlier, in a smaller doc_id or
-    before in the same document. Null texts and texts without words have no words. Documents of fewer words than a
-    window lose none. Rows that repeat a doc_id should have the same text; they count as one document; rows with a null doc_id are
-    compared with none. An empty table yields no
-    rows. With ``texts``, a column ``kept`` has the kept words of documents that lose some (null for the others).
 
-    Documents go into the index in ``batches`` by ascending doc_id.
+def _identified(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
+
+
+def _placed(texts: DataFrame, places: DataFrame, name: str) -> DataFrame:
+    """(doc_id, version, text, at) of the documents with places; only their texts are read from here on."""
+    at = places.groupBy(*KEY).agg(F.collect_set("at").alias("at"))
+    return written(_identified(texts).join(at, KEY).dropDuplicates(KEY), name)
+
+
+def add_batch(docs: DataFrame, index: FingerprintIndex, window: int = WINDOW, texts: bool = False) -> DataFrame:
+    """Adds ``docs`` (doc_id, text) to ``index`` and returns (doc_id, n_words, n_removed, kept_sha256) of each row.
+
+    Each word is removed that a window of ``window`` words covers whose words also start earlier: in a document of a former batch, in
+    a smaller doc_id of this one, or before in the same document. Windows are judged on the texts as they came, not on what is left of them.
+    Null texts and texts without words have no words. Documents of fewer words than a window lose none.
+    Rows that repeat a doc_id with the same text are one document, which is judged once for all of them; with other texts, they are documents in the order of a hash of
+    their texts. Rows with a null doc_id are compared with none. An empty table yields no rows. A batch that was added before is judged as a copy of itself.
+    With ``texts``, a column ``kept`` has the kept words of documents that lose some (null for the others).
     """
-    spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = _identified(docs)
     digest = written(source.mapInArrow(_digest(window), DIGEST), "digest")
+    named = digest.where("doc_id IS NOT NULL")
+    marks = named.select(*KEY, F.explode(F.arrays_zip("hash", "around", "at", "again")).alias("x")).select("x.hash", "x.around", *KEY, "x.at", "x.again")
+    run = index.write(marks, 0)
+    new = index.table(run)
+    counts = written(new.groupBy("hash").agg((F.bool_or("again") | (F.count("*") > 1)).alias("again")), "counts")
+    repeated, former = counts.where("again").select("hash"), None
+    found = index.known(counts.select("hash"))
+    if found is not None:
+        found = written(found, "found")
+        repeated = repeated.union(found.select("hash")).distinct()
+        former = _placed(index.history(), found.select(*KEY, "at"), "former")
+    places = new.join(repeated, "hash", "left_semi").select(*KEY, "at")
+    known = named.where(F.size("known") > 0).select(*KEY, F.explode("known").alias("at"))
+    store = _placed(docs, places.union(known), "store")
+    # former documents come first; of each window only the first place is kept as it is
+    rows = store.mapInArrow(_windows(window), WINDOWS).withColumn("old", F.lit(False))
+    if former is not None:
+        rows = rows.union(former.mapInArrow(_windows(window), WINDOWS).where("n = 0").withColumn("old", F.lit(True)))
+    rank = F.row_number().over(Window.partitionBy("one", "two").orderBy(F.col("n") > 0, ~F.col("old"), *KEY, "p"))
+    repeats = rows.withColumn("rank", rank).where("NOT old AND (n > 0 OR rank > 1)")
+    ranges = written(repeats.groupBy(*KEY).agg(F.collect_list(F.struct("p", "n")).alias("ranges")), "ranges")
+    changed = store.select(*KEY, "text").join(ranges, KEY).mapInArrow(_removed(window), "doc_id long, version long, n_removed long, kept_sha256 string, kept string")
+    changed = written(changed.drop(*["kept"] * (not texts)), "changed")
+    result = digest.select(*KEY, "n_words", "sha").join(changed, KEY, "left").select(
+        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), *["kept"] * texts
+    )
+    result = written(result, "result")
+    kept = None
+    if index.texts is None:
+        kept = f"{index.root}/texts/{uuid.uuid4().hex}"
+        source.where("doc_id IS NOT NULL").select("doc_id", "text").write.option("compression", "zstd").parquet(kept)
+    index.commit(run, kept)
+    discard(digest, counts, store, ranges, changed, *[x for x in (found, former) if x is not None])
+    return result
+
+
+def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = FANOUT, index: FingerprintIndex | None = None, texts: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of each row of ``docs`` (doc_id, text), by ``add_batch`` in ``batches`` by ascending doc_id.
+
+    Without ``index``, an index of these documents only is made, and deleted in the end. The rows are those of one batch with all documents, whatever ``batches`` is: an earlier document is in the same batch or in a former one.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     own = index is None
-    index = index or FingerprintIndex(spark)
-    low, high = digest.agg(F.min("doc_id"), F.max("doc_id")).first()
-    cuts: list[float | None] = [None, None]
+    index = index or FingerprintIndex(docs.sparkSession, texts=docs)
+    low, high = ids.agg(F.min("doc_id"), F.max("doc_id")).first()
+    cuts: list = [None, None]
     if low != high and batches > 1:
-        cuts[1:1] = sorted(set(digest.where("doc_id is not null").approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)))
-    places = None
-    for start, stop in zip(cuts, cuts[1:]):
-        part = digest
-        if start is not None:
-            part = part.where(F.col("doc_id") > start)
+        cuts[1:1] = sorted(set(ids.where("doc_id IS NOT NULL").approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)))
+    out = None
+    for k, (start, stop) in enumerate(zip(cuts, cuts[1:])):
+        part = F.lit(True) if start is None else F.col("doc_id").cast("long") > int(start)
         if stop is not None:
-            part = part.where(F.col("doc_id") <= stop)
-        marks = part.select("doc_id", F.explode(F.arrays_zip("hash", "at", "again")).alias("x")).select("x.hash", "doc_id", "x.at", "x.again")
-        found = index.add(marks)
-        places = found if places is None else places.union(found)
+            part = part & (F.col("doc_id").cast("long") <= int(stop))
+        if k == 0:
+            part = part | F.col("doc_id").isNull()
+        found = add_batch(docs.where(part), index, window, texts)
+        out = found if out is None else out.union(found)
     if own:
         index.drop()
-    known = digest.where(F.size("known") > 0).select("doc_id", F.explode("known").alias("at"))
-    at = places.union(known).groupBy("doc_id").agg(F.collect_set("at").alias("at"))
-    # the documents with repeated fingerprints; only their texts are read from here on
-    store = written(source.join(at, "doc_id").dropDuplicates(["doc_id"]), "store")
-    rows = store.mapInArrow(_windows(window), "one long, two int, doc_id long, p int, n int")
-    rank = F.dense_rank().over(Window.partitionBy("one", "two").orderBy(F.col("n") > 0, "doc_id", "p"))
-    repeats = rows.withColumn("rank", rank).where("n > 0 or rank > 1")
-    ranges = written(repeats.groupBy("doc_id").agg(F.collect_list(F.struct("p", "n")).alias("ranges")), "ranges")
-    changed = written(
-        store.select("doc_id", "text").join(ranges, "doc_id").mapInArrow(_removed(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string").drop(*["kept"] * (not texts)),
-        "changed",
-    )
-    changed = changed.drop("n_words").dropDuplicates(["doc_id"])
-    return digest.select("doc_id", "n_words", "sha").join(changed, "doc_id", "left").select(
-        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), *["kept"] * texts
-    )
+    return out
