@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,37 +102,51 @@ def turns_from_table(table: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS)
     raise ValueError(f"no mapping for the layout with fields {sorted(schema_paths(table.schema))}")
 
 
+TURN_TYPES = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+
+
+def whole_number(value) -> int:
+    """``value`` as a 64-bit integer; a ValueError for anything else, fractions and truth values, too."""
+    if isinstance(value, str) and re.fullmatch(r"\s*[+-]?[0-9]{1,19}\s*", value):
+        value = int(value)
+    if not isinstance(value, int) or isinstance(value, bool) or not -(1 << 63) <= value < 1 << 63:
+        raise ValueError(value)
+    return value
+
+
 def turns_from_records(records: DataFrame, column: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """Canonical turns, and ``layout``, of JSON records of several layouts in one column.
 
     Each record's own fingerprint selects its mapping. Fields that are null or absent yield no turn, except that a
-    turn in an array keeps its place with an empty text. Records that do not parse, or of an unknown layout, yield one row with a null
-    turn and layout ``unknown``, so that none is lost unseen.
+    turn in an array keeps its place with an empty text. Records that do not parse, that nest too deeply, whose id is not a whole number of 64 bits (as a
+    number or as digits in a string), or of an unknown layout yield one row with null conv_id and turn, the record as text and layout
+    ``unknown``, so that none is lost unseen and none ends the job.
     """
     known = registry(mappings)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def turns_of(raw: str | None) -> list[tuple]:
+        try:
+            x = json.loads(raw)
+            m = known[fingerprint(record_paths(x))]
+            conv = whole_number(x[m.conv_id])
+            turns = []
+            for y in x[m.each] if m.each else [x]:
+                for role, path in m.turns:
+                    said = y.get(path)
+                    if said is None and not m.each:
+                        continue
+                    role = str(y.get(role[1:]) or "") if role[:1] == "@" else role
+                    turns.append((m.roles.get(role, role), "" if said is None else str(said)))
+            return [(conv, k, role, text, m.name) for k, (role, text) in enumerate(turns)]
+        except (TypeError, ValueError, KeyError, AttributeError, RecursionError):
+            return [(None, None, "", raw or "", "unknown")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for raw in batch[column]:
-                try:
-                    x = json.loads(raw)
-                    m = known[fingerprint(record_paths(x))]
-                except (TypeError, ValueError, KeyError):
-                    out.append((None, None, "", raw or "", "unknown"))
-                    continue
-                turns = []
-                for y in x[m.each] if m.each else [x]:
-                    for role, path in m.turns:
-                        said = y.get(path)
-                        if said is None and not m.each:
-                            continue
-                        role = (y.get(role[1:]) or "") if role[:1] == "@" else role
-                        turns.append((m.roles.get(role, role), "" if said is None else str(said)))
-                out += [(int(x[m.conv_id]), k, role, text, m.name) for k, (role, text) in enumerate(turns)]
-            yield pd.DataFrame(out, columns=["conv_id", "turn", "role", "text", "layout"]).astype({"conv_id": "Int64", "turn": "Int64"})
-
-    return records.select(column).mapInPandas(run, TURNS + ", layout string")
+            out = [turn for raw in batch.column(0).to_pylist() for turn in turns_of(raw)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(TURN_TYPES)], ["conv_id", "turn", "role", "text", "layout"])
+
+    return records.select(F.col(column).cast("string")).mapInArrow(run, TURNS + ", layout string")
 
 
 # Template: "### role: text</turn>\n". A backslash before a control string or another backslash makes it plain text.
@@ -175,18 +189,23 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+DIGEST_TYPES = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each conversation, from formatted turns that come in order. Holds the hashes of one conversation only."""
-    conv, state = object(), None
+    conv, state = None, None
 
-    def row():
+    def row() -> tuple:
         return (conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
 
+    def sent(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(DIGEST_TYPES)], [x.split()[0] for x in DIGEST.split(", ")])
+
     for batch in batches:
         out = []
-        for key, piece, start, stop in zip(batch["conv_id"], batch["piece"], batch["loss_from"], batch["loss_to"]):
-            key = None if pd.isna(key) else int(key)
-            if key != conv or state is None:
+        for key, piece, start, stop in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "piece", "loss_from", "loss_to"))):
+            if state is None or key != conv:
                 if state:
                     out.append(row())
                 conv, state = key, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -197,9 +216,9 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             state[2] += len(lost)
             state[3].update(lost.encode("utf-8", "surrogatepass"))
             state[4] += len(piece)
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in DIGEST.split(", ")]).astype({"conv_id": "Int64"})
+        yield sent(out)
     if state:
-        yield pd.DataFrame([row()], columns=[x.split()[0] for x in DIGEST.split(", ")]).astype({"conv_id": "Int64"})
+        yield sent([row()])
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -212,5 +231,5 @@ def digests(formatted: DataFrame) -> DataFrame:
         formatted.repartition("conv_id")
         .sortWithinPartitions("conv_id", "turn", "role", "text")
         .select("conv_id", "piece", "loss_from", "loss_to")
-        .mapInPandas(_digests, DIGEST)
+        .mapInArrow(_digests, DIGEST)
     )
