@@ -45,14 +45,23 @@ def epistemic_state(text: Column) -> Column:
     return state
 
 
-def canonical_url(url: Column, tracking: tuple[str, ...] = ("utm_source", "utm_medium", "utm_campaign", "gclid", "fbclid")) -> Column:
-    """Lower-case scheme and host, no fragment and default port, no tracking keys, sorted parameters, no trailing slash."""
+# Parameters that only track where a click came from.
+TRACKING = (
+    "fbclid", "gclid", "mc_cid", "mc_eid", "ref", "ref_src", "source",
+    "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term",
+)
+
+
+def canonical_url(url: Column, tracking: tuple[str, ...] = TRACKING) -> Column:
+    """Lower-case scheme and host, no fragment and default port, no tracking keys, sorted parameters, single slashes, no trailing slash
+    (an empty path is ``/``). Null for addresses that are not of the web."""
     plain = F.regexp_replace(F.trim(url), r"#.*$", "")
     head = F.lower(F.regexp_replace(F.regexp_extract(plain, r"^([A-Za-z]+://[^/?]*)", 1), r":(80|443)$", ""))
-    path = F.regexp_replace(F.regexp_extract(plain, r"^[A-Za-z]+://[^/?]*([^?]*)", 1), r"/+$", "")
+    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(plain, r"^[A-Za-z]+://[^/?]*([^?]*)", 1), r"/{2,}", "/"), r"/$", "")
     query = F.regexp_extract(plain, r"\?(.*)$", 1)
     kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(F.split(p, "=")[0]).isin(*tracking)))
-    return F.when(F.lower(plain).rlike("^https?://"), F.concat(head, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")))
+    whole = F.concat(head, F.when(path == "", "/").otherwise(path), F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
+    return F.when(F.lower(plain).rlike("^https?://"), whole)
 
 
 def html_text(html: Column) -> Column:
@@ -66,10 +75,27 @@ def html_title(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
 
 
-def stable_hash(text: Column) -> Column:
-    """FNV-1a with 32 bits over the characters of the trimmed lower-case text, as 8 hex digits."""
+def utf16_units(text: Column) -> Column:
+    """The UTF-16 units of a text as numbers."""
+    return F.transform(F.regexp_extract_all(F.hex(F.encode(text, "utf-16be")), F.lit("[0-9A-F]{4}"), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("long"))
+
+
+def fnv1a(units: Column, start: int = 0x811C9DC5) -> Column:
+    """FNV-1a with 32 bits over an array of numbers, as a number."""
     mask = F.lit(0xFFFFFFFF)
-    clean = F.lower(F.trim(text))
-    codes = F.transform(F.filter(F.split(clean, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    h = F.aggregate(codes, F.lit(0x811C9DC5).cast("long"), lambda s, c: (s.bitwiseXOR(c) * F.lit(0x01000193)).bitwiseAND(mask))
-    return F.lpad(F.lower(F.hex(h)), 8, "0")
+    return F.aggregate(units, F.lit(start).cast("long"), lambda s, c: (s.bitwiseXOR(c) * F.lit(0x01000193)).bitwiseAND(mask))
+
+
+def stable_hash(text: Column) -> Column:
+    """FNV-1a with 32 bits over the UTF-16 units of the trimmed lower-case text, as 8 hex digits."""
+    return F.lpad(F.lower(F.hex(fnv1a(utf16_units(F.lower(F.trim(text)))))), 8, "0")
+
+
+def page_article(html: Column) -> tuple[Column, Column]:
+    """(title, snippet) of a page: its text is the title, a stop and the body; the first sentence, at most 200 characters, is the title, the first 500 characters are the snippet."""
+    from storyloom.functions.cleaning import named_entities
+
+    body = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), r"(?s)<[^>]*>", " ")
+    whole = F.concat(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit(". "), body)
+    plain = F.trim(F.regexp_replace(named_entities(whole), r"\s+", " "))
+    return F.substring(F.trim(F.regexp_extract(plain, r"^([^.!?]*)", 1)), 1, 200).alias("title"), F.substring(plain, 1, 500).alias("snippet")

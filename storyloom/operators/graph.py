@@ -20,17 +20,31 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def hop(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges that touch ``nodes`` (node): two equi joins instead of one with OR."""
+    """The rows of ``edges`` that touch ``nodes`` (node), each as often as it is there: two equi joins instead of one with OR."""
+    nodes = nodes.select("node").distinct()
     out = edges.join(nodes, edges["src"] == nodes["node"], "left_semi")
-    into = edges.join(nodes, edges["dst"] == nodes["node"], "left_semi")
-    return out.union(into).distinct()
+    others = edges.join(nodes, edges["src"] == nodes["node"], "left_anti")
+    return out.union(others.join(nodes, others["dst"] == nodes["node"], "left_semi"))
 
 
-def neighbourhood(edges: DataFrame, centre: DataFrame, hops: int = 2) -> DataFrame:
-    found = hop(edges, centre)
-    for _ in range(min(max(hops, 1), 2) - 1):
-        ends = found.select(F.col("src").alias("node")).union(found.select("dst")).distinct()
-        found = hop(edges, ends)
+def ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+
+
+def neighbourhood(edges: DataFrame, centre: DataFrame, hops: int = 2, limit: int | None = None) -> DataFrame:
+    """The rows of ``edges`` (src, dst) that touch nodes at most ``hops - 1`` edges away from ``centre`` (node).
+
+    ``edges`` may be single observations, which are then picked before they are added up. ``limit`` keeps, after each hop, the rows of largest ``weight`` (ties by src and dst).
+    """
+    if hops < 1:
+        raise ValueError("hops must be 1 or more")
+    nodes = centre.select("node").distinct()
+    for k in range(hops):
+        found = hop(edges, nodes)
+        if limit is not None:
+            found = found.orderBy(F.col("weight").desc(), "src", "dst").limit(limit)
+        if k + 1 < hops:
+            nodes = ends(found).union(nodes).distinct()
     return found
 
 

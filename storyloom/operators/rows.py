@@ -26,12 +26,20 @@ def matching(df: DataFrame, **wanted) -> DataFrame:
 
 
 def page(df: DataFrame, order: list[tuple[str, bool]], after: tuple | None = None, size: int = 50) -> DataFrame:
-    """A keyset page and one more row, which tells whether there is a next page. ``order``: (column, ascending), the last one unique."""
+    """A keyset page and one more row, which tells whether there is a next page. ``order``: (column, ascending), the last one unique.
+
+    ``after`` is the last row of the page before. Nulls count as smaller than all values: they come first in ascending columns and last in
+    descending ones, and ``after`` may have them.
+    """
     if after is not None:
         found, same = F.lit(False), F.lit(True)
         for (name, up), value in zip(order, after):
-            found = found | (same & (F.col(name) > F.lit(value) if up else F.col(name) < F.lit(value)))
-            same = same & (F.col(name) == F.lit(value))
+            if value is None:
+                later = F.col(name).isNotNull() if up else F.lit(False)
+            else:
+                later = F.col(name) > F.lit(value) if up else (F.col(name) < F.lit(value)) | F.col(name).isNull()
+            found = found | (same & F.coalesce(later, F.lit(False)))
+            same = same & F.col(name).eqNullSafe(F.lit(value))
         df = df.where(found)
     return df.orderBy(*[F.col(n).asc_nulls_first() if up else F.col(n).desc_nulls_last() for n, up in order]).limit(size + 1)
 

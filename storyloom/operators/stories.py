@@ -2,12 +2,72 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from storyloom.functions.text import tokens
+from storyloom.functions.text import has_word, tokens
+
+# What happens in a story, by patterns of its text.
+ACTIONS = (
+    ("TRIAL_TEST", r"flight\s+tests?|test-?fires?|test-?firing|user\s+trials?|sea\s+trials?|weapon\s+trials?|successfully\s+(?:tested|fired|launched|validated)|trials?|tested|tests?|validat(?:es|ed|ing|ion)|launch(?:es|ed|ing)?"),
+    ("DAC_PROCUREMENT", r"dac\s+clearance|acceptance\s+of\s+necessity|aon|ccs\s+approval|defence\s+acquisition\s+council|procurement|acquisition|tender|rfp|eoi"),
+    ("INDUCTION_COMMISSION", r"commissioned|commissioning|induct(?:s|ed|ing)?|induction|handed\s+over|delivery|delivered|operationali[sz]ed|operationali[sz]ation"),
+    ("CONTRACT_DEAL", r"signed\s+contract|deal|orders?|contracts?|agreement|deal\s+worth|crore\s+deal|crore\s+order"),
+    ("BORDER_SECURITY", r"lac|loc|standoff|skirmish|border\s+talks|infiltration|deployment|corps\s+commander|line\s+of\s+actual\s+control"),
+    ("RND_UPGRADE", r"rollout|prototype|first\s+flight|indigenous\s+engine|upgrade|upgraded|moderni[sz]ation|stealth\s+design"),
+    ("CRASH_ACCIDENT", r"crashed?|emergency\s+landing|mishap|court\s+of\s+inquiry|pilot\s+ejected"),
+    ("STRATEGIC_EXERCISE", r"joint\s+exercise|war\s+games?|tri-service\s+exercise|milan|tarang\s+shakti|malabar|yudh\s+abhyas|exercise"),
+)
+#: Least title similarity of two articles that share an entity and an action, an entity, an agency, or nothing.
+LEAST = {"platform_action": 0.05, "platform": 0.14, "agency": 0.24, "other": 0.32}
+
+
+def actions(text: Column) -> Column:
+    """The names of the actions that a text tells of, in the order of ``ACTIONS``."""
+    return F.filter(F.array(*[F.when(has_word(text, pattern), name) for name, pattern in ACTIONS]), lambda a: a.isNotNull())
+
+
+def same_story(articles: DataFrame, minutes: int = 48 * 60) -> DataFrame:
+    """(a, b) of articles (id, title, published_min, url, entities (name, agency), actions) that tell one story.
+
+    They have the same address without its query; or they are at most ``minutes`` apart and their titles reach the similarity for what they share. Each
+    case has a join of its own, so no two articles meet without a reason: on the address, on the entity within a time bucket, or on rare title tokens.
+    """
+    address = F.lower(F.substring_index(F.coalesce("url", F.lit("")), "?", 1))
+    a = articles.select(F.col("id").alias("a"), address.alias("u")).where("u <> ''")
+    same = a.join(a.toDF("b", "u"), "u").where("a < b").select("a", "b")
+    facts = articles.select("id", tokens(F.col("title")).alias("t"), "published_min", "entities", "actions", F.floor(F.col("published_min") / minutes).alias("bucket"))
+    words = facts.select("id", "published_min", F.size("t").alias("n"), "bucket", F.explode("entities.name").alias("e"), "t").select("id", "published_min", "n", "bucket", "e", F.explode("t").alias("token"))
+    left = words.select(F.col("id").alias("a"), F.col("published_min").alias("ta"), F.col("n").alias("na"), "e", "token", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
+    right = words.select(F.col("id").alias("b"), F.col("published_min").alias("tb"), F.col("n").alias("nb"), "e", "token", "bucket")
+    near = left.join(right, ["e", "token", "bucket"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("ta") - F.col("tb")) <= minutes))
+    alike = near.groupBy("a", "b", "na", "nb", "e").agg(F.count("*").alias("i")).groupBy("a", "b", "na", "nb").agg(F.max("i").alias("i"))
+    alike = alike.select("a", "b", (F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("jaccard")).where(F.col("jaccard") >= min(LEAST.values()))
+    of = lambda k: facts.select(F.col("id").alias(k), F.col("entities").alias(f"entities_{k}"), F.col("actions").alias(f"actions_{k}"))
+    platform = F.exists("entities_a", lambda x: ~x["agency"] & F.exists("entities_b", lambda y: y["name"] == x["name"]))
+    least = F.when(platform & F.arrays_overlap("actions_a", "actions_b"), LEAST["platform_action"]).when(platform, LEAST["platform"]).otherwise(LEAST["agency"])
+    sharing = alike.join(of("a"), "a").join(of("b"), "b").where(F.col("jaccard") >= least).select("a", "b")
+    return same.union(sharing).union(similar_pairs(articles, LEAST["other"], minutes).select("a", "b")).distinct()
+
+
+def cluster_documents(articles: DataFrame, cluster: str, weight: Column, social: Column) -> DataFrame:
+    """One document for each cluster: primary source (not social, heaviest, newest, least id), members, discussions (its social members), tags and last time.
+
+    The members of one cluster make one nested row, as the document asks for.
+    """
+    best = F.struct((~social).alias("s"), weight.alias("w"), F.col("published").alias("t"), (-F.col("id")).alias("i"))
+    item = F.struct("id", "title", "domain", "tier", "published")
+    return articles.groupBy(cluster).agg(
+        F.max_by(item, best).alias("primary"), F.collect_list(item).alias("members"), F.collect_list(F.when(social, item)).alias("discussions"), F.array_sort(F.collect_set("part")).alias("tags"), F.max("published").alias("updated_at")
+    )
+
+
+def set_id(tokens: str) -> Column:
+    """A name for a sorted array of tokens, by a digest that no two arrays share in practice."""
+    return F.sha2(F.array_join(tokens, " "), 256)
 
 
 def similar_pairs(articles: DataFrame, threshold: float = 0.32, minutes: int = 48 * 60) -> DataFrame:
@@ -18,7 +78,7 @@ def similar_pairs(articles: DataFrame, threshold: float = 0.32, minutes: int = 4
     its articles at one time bucket; its members are expanded by the time band only.
     """
     base = articles.select("id", "published_min", F.array_sort(tokens(F.col("title"))).alias("tokens")).where(F.size("tokens") > 0)
-    sets = base.select("tokens").distinct().withColumn("set_id", F.xxhash64("tokens"))
+    sets = base.select("tokens").distinct().withColumn("set_id", set_id("tokens"))
     each = sets.select("set_id", F.explode("tokens").alias("token"))
     frequency = each.groupBy("token").agg(F.count("*").alias("df"))
     ordered = each.join(frequency, "token").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
@@ -33,7 +93,7 @@ def similar_pairs(articles: DataFrame, threshold: float = 0.32, minutes: int = 4
     close = close.select("x", "y", "similarity")
     close = close.union(close.select("y", "x", "similarity")).union(sets.select("set_id", "set_id", F.lit(1.0)))
     # articles meet in time buckets as wide as the band: the own one and the next
-    timed = base.select("id", "published_min", F.xxhash64("tokens").alias("set_id"), F.floor(F.col("published_min") / minutes).alias("bucket"))
+    timed = base.select("id", "published_min", set_id("tokens").alias("set_id"), F.floor(F.col("published_min") / minutes).alias("bucket"))
     a = timed.select(F.col("id").alias("a"), F.col("published_min").alias("ta"), F.col("set_id").alias("x"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
     b = timed.select(F.col("id").alias("b"), F.col("published_min").alias("tb"), F.col("set_id").alias("y"), "bucket")
     return (
@@ -44,50 +104,59 @@ def similar_pairs(articles: DataFrame, threshold: float = 0.32, minutes: int = 4
     )
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(id, component): the least id that edges (a, b) reach, by label propagation with shortcuts; stops when nothing changes."""
-    spark = edges.sparkSession
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().toDF("a", "b").persist()
-    labels = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("component")).toDF("id", "component")
-    reliable = spark.sparkContext.getCheckpointDir() is not None
-    for _ in range(rounds):
-        nearest = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(nearest, labels["id"] == nearest["a"]).select("id", F.least("component", "near").alias("component"), F.col("component").alias("old"))
-        jump = step.select(F.col("id").alias("k"), F.col("component").alias("far"))
-        step = step.join(jump, step["component"] == jump["k"], "left").select("id", F.coalesce("far", "component").alias("component"), "old")
-        step = step.checkpoint() if reliable else step.persist()
-        changed = step.where("component <> old").limit(1).count()
-        labels = step.select("id", "component")
-        if not changed:
-            break
-    return labels
-
-
-def _fold(group: pd.DataFrame) -> pd.DataFrame:
-    """Greedy single link in input order: an article joins the first group with a similar member, or starts one."""
-    near = {i: set(n) for i, n in zip(group["id"], group["near"])}
-    order = group.sort_values(["published_min", "id"])["id"].tolist()
-    groups: list[list[int]] = []
-    for x in order:
-        home = next((g for g in groups if near[x].intersection(g)), None)
-        if home is None:
-            groups.append([x])
-        else:
-            home.append(x)
-    return pd.DataFrame([(x, g[0]) for g in groups for x in g], columns=["id", "story"])
-
-
-def greedy_stories(articles: DataFrame, threshold: float = 0.32) -> DataFrame:
-    """(id, story): greedy clustering, folded for each connected component by itself, which gives the same groups as one fold over all.
-
-    Only a component, whose articles all hang together within the time band, is held in one task.
+def settled(labels: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``labels`` (id, label) after as many rounds of ``step`` as it takes until no label changes.
+
+    ``step`` returns (id, label) for all ids and may only lower labels, so the sum of changes ends. Each round is checkpointed where the
+    session has a checkpoint folder, so a lost executor costs one round's tasks.
     """
-    pairs = similar_pairs(articles, threshold).persist()
-    near = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("id", "other").groupBy("id").agg(F.collect_set("other").alias("near"))
-    rows = near.join(components(pairs), "id").join(articles.select("id", "published_min"), "id")
-    linked = rows.groupBy("component").applyInPandas(_fold, "id long, story long")
-    alone = articles.select("id").join(linked, "id", "left_anti").select("id", F.col("id").alias("story"))
-    return linked.union(alone)
+    reliable = labels.sparkSession.sparkContext.getCheckpointDir() is not None
+    keep = (lambda df: df.checkpoint()) if reliable else (lambda df: df.persist())
+    now = keep(labels)
+    while True:
+        after = keep(step(now).alias("n").join(now.select("id", F.col("label").alias("was")), "id").select("id", "label", "was"))
+        now.unpersist()
+        now = after
+        if not now.where("label <> was").limit(1).count():
+            return now.select("id", "label")
+
+
+def lowest_reached(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, label): the least id from which directed ``edges`` (a, b: from a to b) lead to each of ``ids``, itself included.
+
+    A round takes the least label of the direct sources, then the label of that label, so paths double in length.
+    """
+
+    def step(now: DataFrame) -> DataFrame:
+        labels = now.select("id", "label")
+        near = edges.join(labels, edges["a"] == labels["id"]).groupBy("b").agg(F.min("label").alias("near"))
+        found = labels.join(near, labels["id"] == near["b"], "left").select("id", F.least("label", F.coalesce("near", "label")).alias("label"))
+        far = labels.toDF("label", "far")
+        return found.join(far, "label", "left").select("id", F.least("label", F.coalesce("far", "label")).alias("label"))
+
+    return settled(ids.select("id", F.col("id").alias("label")), step)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): the least id that edges (a, b) reach in either direction, for the ids that they name."""
+    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
+    return lowest_reached(both, both.select(F.col("a").alias("id")).distinct()).withColumnRenamed("label", "component")
+
+
+def greedy_stories(articles: DataFrame, threshold: float = 0.32, pairs: DataFrame | None = None) -> DataFrame:
+    """(id, story): greedy single link in the order of (published_min, id): an article joins the first story with a similar member, or starts one.
+
+    Stories are in the order of their first members. So an article's story is the earliest article from which links lead to it that all go forward in
+    time, which is found by joins of links and labels: no story, however large, is held in one task. ``pairs`` (a, b) are the similar articles if they are known.
+    """
+    order = articles.select("id", F.struct("published_min", "id").alias("at"))
+    pairs = similar_pairs(articles, threshold) if pairs is None else pairs
+    linked = pairs.select("a", "b").join(order.toDF("a", "at_a"), "a").join(order.toDF("b", "at_b"), "b")
+    forward = linked.select(F.least("at_a", "at_b").alias("a"), F.greatest("at_a", "at_b").alias("b"))
+    reliable = articles.sparkSession.sparkContext.getCheckpointDir() is not None
+    forward = forward.checkpoint() if reliable else forward.persist()
+    found = lowest_reached(forward, order.select(F.col("at").alias("id")))
+    return found.select(F.col("id")["id"].alias("id"), F.col("label")["id"].alias("story"))
 
 
 def primary_source(members: DataFrame, cluster: str, weight: Column) -> DataFrame:
@@ -102,9 +171,15 @@ def scoop_leader(members: DataFrame, cluster: str) -> DataFrame:
 
 
 def ranked(stories: DataFrame, score: str, tie: str) -> DataFrame:
-    """Adds ``position``, by score and tie. Ranks come from counts of equal scores, so no task gets all rows: only distinct scores meet."""
-    steps = stories.groupBy(score).agg(F.count("*").alias("_n"))
-    above = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    steps = steps.withColumn("_above", F.coalesce(F.sum("_n").over(above), F.lit(0))).drop("_n")
-    within = F.row_number().over(Window.partitionBy(score).orderBy(tie))
-    return stories.join(steps, score).withColumn("position", F.col("_above") + within).drop("_above")
+    """Adds ``position`` by falling score, then by ``tie``, which is unique.
+
+    Rows are dealt to ordered ranges of (score, tie), so equal scores are spread, too; a position is the number of rows in earlier ranges plus the
+    place in its own. Only the sizes of the ranges meet in one task.
+    """
+    dealt = stories.repartitionByRange(F.col(score).desc(), F.col(tie)).sortWithinPartitions(F.col(score).desc(), F.col(tie))
+    placed = dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    placed = placed.checkpoint() if stories.sparkSession.sparkContext.getCheckpointDir() is not None else placed.persist()
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_part", before.alias("_before"))
+    return placed.join(sizes, "_part").withColumn("position", F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")

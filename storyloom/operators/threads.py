@@ -26,11 +26,42 @@ def reactivations(events: DataFrame, thread: str, ts: str, tie: str, seconds: in
 
 
 def dense_windows(events: DataFrame, key: str, ts: str, member: str, hours: int, least: int) -> DataFrame:
-    """For each key, the first time from which ``hours`` hold ``least`` or more different members, and how many they hold."""
-    ahead = Window.partitionBy(key).orderBy(F.col("_s")).rangeBetween(0, hours * 3600)
-    timed = events.withColumn("_s", F.unix_seconds(F.col(ts).cast("timestamp")))
-    found = timed.withColumn("members", F.size(F.collect_set(member).over(ahead))).where(F.col("members") >= least)
-    return found.groupBy(key).agg(F.min(ts).alias("start_at"), F.min_by("members", ts).alias("members"))
+    """For each key, the first time from which ``hours`` hold ``least`` or more different members, and how many they hold.
+
+    A member counts from ``hours`` before each of its events up to that event, or up to the next event's start if that comes earlier,
+    so that the number of members is a running sum of starts and ends. Keys are split by time: sums run within buckets
+    of ``hours``, and only the totals of buckets, one row for each key and bucket, are added up along time.
+    """
+    wide = hours * 3600
+    timed = events.select(key, F.col(ts).alias("_at"), F.unix_seconds(F.col(ts).cast("timestamp")).alias("_s"), F.col(member).alias("_m")).where(F.col("_m").isNotNull() & F.col("_s").isNotNull())
+    mine = timed.select(key, "_m", "_s").distinct()
+    before = F.lag("_s").over(Window.partitionBy(key, "_m").orderBy("_s"))
+    # the windows that start in (from, to] hold this event as the member's first one
+    spans = mine.withColumn("_from", F.greatest(F.col("_s") - wide, F.coalesce(before + 1, F.col("_s") - wide)))
+    change = spans.select(key, F.col("_from").alias("_s"), F.lit(1).alias("_d")).union(spans.select(key, (F.col("_s") + 1).alias("_s"), F.lit(-1).alias("_d")))
+    change = change.groupBy(key, "_s").agg(F.sum("_d").alias("_d")).withColumn("_at", F.lit(None).cast(events.schema[ts].dataType))
+    starts = timed.select(key, "_s", F.lit(0).cast("long").alias("_d"), "_at").distinct()
+    points = change.unionByName(starts).withColumn("_b", F.floor(F.col("_s") / wide))
+    earlier = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = points.groupBy(key, "_b").agg(F.sum("_d").alias("_d")).select(key, "_b", F.coalesce(F.sum("_d").over(earlier), F.lit(0)).alias("_base"))
+    running = Window.partitionBy(key, "_b").orderBy("_s").rangeBetween(Window.unboundedPreceding, 0)
+    counted = points.withColumn("_sum", F.sum("_d").over(running)).where(F.col("_at").isNotNull())
+    found = counted.join(base, [key, "_b"]).withColumn("members", F.col("_base") + F.col("_sum")).where(F.col("members") >= least)
+    return found.groupBy(key).agg(F.min("_at").alias("start_at"), F.min_by("members", "_at").alias("members"))
+
+
+def coherence(events: DataFrame, thread: str, item: str, tokens: str) -> DataFrame:
+    """(thread, item, coherence): the mean similarity of each item's tokens to those of the thread's other items; a thread of one item has none.
+
+    Items meet by the tokens that they share: pairs without a common token add 0 and are only counted.
+    """
+    sizes = events.groupBy(thread).agg(F.count("*").alias("_n"))
+    words = events.select(thread, item, F.size(tokens).alias("_size"), F.explode(F.array_distinct(tokens)).alias("_token"))
+    a, b = words.toDF(thread, item, "_x", "_token"), words.toDF(thread, "_other", "_y", "_token")
+    shared = a.join(b, [thread, "_token"]).where(F.col(item) != F.col("_other")).groupBy(thread, item, "_other", "_x", "_y").agg(F.count("*").alias("_i"))
+    sums = shared.groupBy(thread, item).agg(F.sum(F.col("_i") / (F.col("_x") + F.col("_y") - F.col("_i"))).alias("_sum"))
+    found = events.select(thread, item).join(sizes, thread).where("_n > 1").join(sums, [thread, item], "left")
+    return found.select(thread, item, (F.coalesce("_sum", F.lit(0.0)) / (F.col("_n") - 1)).alias("coherence"))
 
 
 def confidence(members, domains):

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,37 +10,12 @@ from pyspark.sql.window import Window
 
 from storyloom.functions import scoring, text
 from storyloom.operators import dossier, graph, merge, rows, stories, threads
+from storyloom.plans.registry import ARTICLES, EDGES, QUERIES, SQL, TOKENS, query, r4
 from storyloom.sources.tables import articles, edges, read
+from storyloom.sources.versions import scratch
 
-QUERIES: dict = {}
-SQL: dict = {}
+__all__ = ["QUERIES", "SQL"]
 HALF_YEAR_DAYS = 180
-STOP = "(" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + ")"
-
-# Pieces of SQL that several checks share.
-ARTICLES = (
-    "articles AS (SELECT doc_id AS id, substr(split_part(text, chr(10), 1), 1, 120) AS title, substr(text, 1, 280) AS snippet, source AS domain, "
-    "CAST(regexp_extract(source, '(\\d+)$', 1) AS INT) % 5 AS tier, doc_id * 7 AS published_min, concat('http://', source, '/', md5(text)) AS url, text FROM documents)"
-)
-TOKENS = f"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(%s), '[^a-z0-9\\s-]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 AND w NOT IN {STOP}))"
-EDGES = (
-    "obs AS (SELECT concat('c', o_custkey) AS src, concat('s', l_suppkey) AS dst, l_shipdate AS seen, l_returnflag AS flag, l_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey), "
-    "edges AS (SELECT src, dst, count(*) AS weight, min(seen) AS first_seen, max(seen) AS last_seen, arg_max(flag, (seen, l_orderkey, l_linenumber)) AS state FROM obs GROUP BY 1, 2)"
-)
-
-
-def query(name: str, sql: str | None = None):
-    def register(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return register
-
-
-def r4(x):
-    return scoring.rounded(x, 4)
 
 
 # --- articles
@@ -73,7 +47,7 @@ def rank_top_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def story_positions(spark, sf_dir):
     found = articles(read(spark, sf_dir, "documents")).select("id", F.length("title").cast("long").alias("score"))
-    return stories.ranked(found, "score", "id").select("id", "score", F.col("position").cast("long").alias("position"))
+    return stories.ranked(found, "score", "id").select("id", "score", "position")
 
 
 KEYWORDS, BLACKLIST = "with|from|und|pour|los", "scum|vermin"
@@ -109,10 +83,10 @@ def dedupe_last_id(spark, sf_dir):
 
 @query(
     "url_canonical",
-    "WITH p AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS u FROM pages), q AS (SELECT page_id, u, "
-    "lower(regexp_replace(regexp_extract(u, '^([A-Za-z]+://[^/?]*)', 1), ':(80|443)$', '')) AS head, regexp_replace(regexp_extract(u, '^[A-Za-z]+://[^/?]*([^?]*)', 1), '/+$', '') AS path, "
-    "list_sort(list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'), lambda x: x <> '' AND lower(split_part(x, '=', 1)) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'gclid', 'fbclid'))) AS kept FROM p) "
-    "SELECT page_id, CASE WHEN regexp_matches(lower(u), '^https?://') THEN concat(head, path, CASE WHEN len(kept) > 0 THEN concat('?', array_to_string(kept, '&')) ELSE '' END) END AS url FROM q",
+    "WITH p AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS u FROM pages), q AS (SELECT page_id, u, lower(regexp_replace(regexp_extract(u, '^([A-Za-z]+://[^/?]*)', 1), ':(80|443)$', '')) AS head, "
+    "regexp_replace(regexp_replace(regexp_extract(u, '^[A-Za-z]+://[^/?]*([^?]*)', 1), '/{2,}', '/', 'g'), '/$', '') AS path, "
+    f"list_sort(list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'), lambda x: x <> '' AND lower(split_part(x, '=', 1)) NOT IN ({', '.join(repr(k) for k in text.TRACKING)}))) AS kept FROM p) "
+    "SELECT page_id, CASE WHEN regexp_matches(lower(u), '^https?://') THEN concat(head, CASE WHEN path = '' THEN '/' ELSE path END, CASE WHEN len(kept) > 0 THEN concat('?', array_to_string(kept, '&')) ELSE '' END) END AS url FROM q",
 )
 def url_canonical(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", text.canonical_url(F.col("url")).alias("url"))
@@ -144,7 +118,12 @@ def similarity_pairs(spark, sf_dir):
     return found.select("a", "b", r4(F.col("similarity")).alias("similarity"))
 
 
-@query("greedy_clusters")
+@query(
+    "greedy_clusters",
+    f"WITH RECURSIVE {ARTICLES}, t AS (SELECT id, published_min, {TOKENS % 'title'} AS t FROM articles), p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) AS i, len(a.t) AS x, len(b.t) AS y "
+    "FROM t a JOIN t b ON a.id < b.id AND b.published_min - a.published_min <= 2880), e AS (SELECT a, b FROM p WHERE i > 0 AND i / (x + y - i) >= 0.32), "
+    "r AS (SELECT id, id AS z FROM articles UNION SELECT r.id, e.a FROM r JOIN e ON r.z = e.b) SELECT id, min(z) AS story FROM r GROUP BY 1",
+)
 def greedy_clusters(spark, sf_dir):
     return stories.greedy_stories(articles(read(spark, sf_dir, "documents")))
 
@@ -222,7 +201,11 @@ def content_fingerprint(spark, sf_dir):
     return articles(read(spark, sf_dir, "documents")).select("id", F.sha2(F.concat_ws("|", F.lit("event-v1"), day, first), 256).alias("fingerprint"))
 
 
-@query("stable_hash_fnv")
+@query(
+    "stable_hash_fnv",
+    "SELECT p_partkey, lpad(lower(printf('%x', list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(lower(trim(p_name)), ''), lambda c: ord(c)::HUGEINT)), "
+    "lambda s, c: (xor(s, c) * 16777619) & 4294967295::HUGEINT)::BIGINT)), 8, '0') AS h FROM part",
+)
 def stable_hash_fnv(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", text.stable_hash(F.col("p_name")).alias("h"))
 
@@ -350,8 +333,10 @@ def graph_degree(spark, sf_dir):
 
 @query("graph_hop2", f"WITH {EDGES}, h AS (SELECT * FROM edges WHERE src = 's1' OR dst = 's1'), n AS (SELECT src AS node FROM h UNION SELECT dst FROM h) SELECT src, dst, weight FROM edges WHERE src IN (SELECT node FROM n) OR dst IN (SELECT node FROM n)")
 def graph_hop2(spark, sf_dir):
-    found = graph.neighbourhood(graph_of(spark, sf_dir), spark.createDataFrame([("s1",)], "node string"))
-    return found.select("src", "dst", "weight")
+    """Observations near the centre are picked first and only they are added up, so the graph as a whole is never built."""
+    seen = edges(read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem"))
+    near = graph.neighbourhood(seen, spark.createDataFrame([("s1",)], "node string"))
+    return graph.build(near).select("src", "dst", "weight")
 
 
 @query("graph_time_slice", f"WITH {EDGES} SELECT src, dst, weight FROM edges WHERE last_seen >= TIMESTAMP '1996-01-01' AND first_seen <= TIMESTAMP '1996-12-31' AND weight >= 2")
@@ -461,23 +446,25 @@ def thread_reactivation(spark, sf_dir):
     return threads.reactivations(read(spark, sf_dir, "events"), "user_id", "ts", "event_id", 36000)
 
 
-@query("thread_coherence")
+@query(
+    "thread_coherence",
+    f"WITH t AS (SELECT conv_id, turn, {TOKENS % 'text'} AS t FROM conversations), p AS (SELECT a.conv_id, a.turn, len(list_intersect(a.t, b.t)) AS i, len(a.t) AS x, len(b.t) AS y FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn <> b.turn) "
+    "SELECT conv_id, turn, floor(avg(CASE WHEN i = 0 THEN 0.0 ELSE i / (x + y - i) END) * 10000.0 + 0.5) / 10000.0 AS coherence FROM p GROUP BY 1, 2",
+)
 def thread_coherence(spark, sf_dir):
-    """For each turn, the mean similarity of its tokens to those of its conversation's other turns. Each token's turns meet, not all pairs of texts."""
-    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", text.tokens(F.col("text")).alias("t"))
-    a, b = turns.alias("a"), turns.alias("b")
-    pairs = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.turn") != F.col("b.turn")))
-    return pairs.groupBy("a.conv_id", "a.turn").agg(r4(F.avg(text.jaccard(F.col("a.t"), F.col("b.t")))).alias("coherence"))
+    """For each turn, the mean similarity of its tokens to those of its conversation's other turns; turns that share no token add 0."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", text.tokens(F.col("text")).alias("tokens"))
+    return threads.coherence(turns, "conv_id", "turn", "tokens").withColumn("coherence", r4(F.col("coherence")))
 
 
 @query(
     "pattern_window_72h",
-    "WITH w AS (SELECT a.event_type AS event_type, a.ts AS ts, count(DISTINCT b.user_id) AS members FROM events a JOIN events b ON a.event_type = b.event_type AND epoch(b.ts)::BIGINT BETWEEN epoch(a.ts)::BIGINT AND epoch(a.ts)::BIGINT + 10800 GROUP BY a.event_id, 1, 2) "
-    "SELECT event_type, min(ts) AS start_at, CAST(arg_min(members, ts) AS INTEGER) AS members FROM w WHERE members >= 3 GROUP BY 1",
+    "WITH w AS (SELECT a.event_type AS event_type, a.ts AS ts, count(DISTINCT b.user_id) AS members FROM events a JOIN events b ON a.event_type = b.event_type AND epoch(b.ts)::BIGINT BETWEEN epoch(a.ts)::BIGINT AND epoch(a.ts)::BIGINT + 259200 GROUP BY a.event_id, 1, 2) "
+    "SELECT event_type, min(ts) AS start_at, CAST(arg_min(members, ts) AS BIGINT) AS members FROM w WHERE members >= 3 GROUP BY 1",
 )
 def pattern_window(spark, sf_dir):
-    """The first three hours in which three users did the same. Anchors are few and fixed, events per anchor many."""
-    return threads.dense_windows(read(spark, sf_dir, "events"), "event_type", "ts", "user_id", 3, 3)
+    """The first 72 hours in which three users did the same."""
+    return threads.dense_windows(read(spark, sf_dir, "events"), "event_type", "ts", "user_id", 72, 3)
 
 
 @query("circuit_breaker", "WITH r AS (SELECT user_id, event_type = 'error' AS f, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events), n AS (SELECT user_id, run, count(*) FILTER (f) AS n FROM r GROUP BY 1, 2) SELECT user_id, arg_max(n, run) AS failures, max(n) AS longest, arg_max(n, run) >= 2 AS is_open FROM n GROUP BY 1")
@@ -684,15 +671,19 @@ def invariants(spark, sf_dir):
 
 @query("stream_windows", "SELECT date_trunc('hour', ts) AS start_at, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windows(spark, sf_dir):
-    """Hourly counts by Structured Streaming over the events' files, in complete mode up to what is there."""
+    """Hourly counts by Structured Streaming over the events' files; each batch of the stream replaces the counts in the shared folder."""
     from storyloom.streaming import events as streaming
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    name = "stream_windows_" + os.urandom(6).hex()
-    source = spark.read.parquet(f"{sf_dir}/events.parquet")
-    source.select(F.col("event_id"), F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "props").write.parquet(f"{base}/{name}/in")
-    stream = streaming.read_events(spark, f"{base}/{name}/in")
-    counts = streaming.windowed(stream, lateness="400 days").select(F.col("window.start").alias("start_at"), "event_type", "n")
-    query_ = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{base}/{name}/state").trigger(availableNow=True).start()
-    query_.awaitTermination()
-    return spark.table(name).select(F.col("start_at").cast("timestamp_ntz").alias("start_at"), "event_type", "n")
+    base = f"{scratch(spark)}/stream_windows_{os.urandom(6).hex()}"
+    counts = streaming.windowed(streaming.read_events(spark, sf_dir, "events.parquet"), lateness="400 days")
+    streaming.append_to(counts.select(F.col("window.start").alias("start_at"), "event_type", "n"), f"{base}/out", f"{base}/state", mode="complete")
+    last = F.max("batch").alias("batch")
+    found = spark.read.parquet(f"{base}/out")
+    found = found.join(found.agg(last), "batch") if "batch" in found.columns else found
+    return found.select(F.col("start_at").cast("timestamp_ntz").alias("start_at"), "event_type", "n")
+
+
+# The other modules add their queries to the register.
+
+# The other modules add their queries to the register.
+from storyloom.plans import ranking, scans  # noqa: E402, F401

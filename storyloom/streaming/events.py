@@ -12,8 +12,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
-def read_events(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.readStream.schema(SCHEMA).parquet(folder)
+def read_events(spark: SparkSession, folder: str, name: str | None = None) -> DataFrame:
+    """The events in the files of ``folder``; with ``name``, those of the file or folder of that name in it."""
+    stream = spark.readStream.schema(SCHEMA)
+    if name is None:
+        return stream.parquet(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return stream.parquet(f"{folder}/{name}")
+    return stream.option("pathGlobFilter", name).parquet(folder)
 
 
 def deduplicated(events: DataFrame, lateness: str = "2 hours") -> DataFrame:
@@ -45,12 +52,12 @@ def circuit_breaker(events: DataFrame, limit: int = 5) -> DataFrame:
     )
 
 
-def append_to(stream: DataFrame, path: str, checkpoint: str):
+def append_to(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Runs over all that is there, writing each batch under its id, so that a repeated batch replaces itself."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
