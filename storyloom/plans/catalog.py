@@ -686,4 +686,4 @@ def stream_windows(spark, sf_dir):
 # The other modules add their queries to the register.
 
 # The other modules add their queries to the register.
-from storyloom.plans import entities, ingest, ranking, scans, topics  # noqa: E402, F401
+from storyloom.plans import archive, entities, ingest, lookups, ranking, scans, topics  # noqa: E402, F401
