@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Named entities that are decoded, in this order; the ampersand comes last, so that nothing is decoded twice.
 ENTITIES = (
@@ -54,7 +55,7 @@ def replaced(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
     return reduce(lambda t, rule: F.replace(t, F.lit(rule[0]), F.lit(rule[1])), rules, text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _numeric_entities(text: pd.Series) -> pd.Series:
     """Decimal and hexadecimal character references; those of control characters and of no character go."""
 

@@ -9,13 +9,14 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 #: What a query may hold: characters, words, and characters of a word.
 MOST_CHARS, MOST_WORDS, MOST_WORD = 100, 10, 40
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unmarked(text: pd.Series) -> pd.Series:
     """Letters without their marks."""
     return text.map(lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)), na_action="ignore")

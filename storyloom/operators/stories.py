@@ -138,9 +138,27 @@ def lowest_reached(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the least id that edges (a, b) reach in either direction, for the ids that they name."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    return lowest_reached(both, both.select(F.col("a").alias("id")).distinct()).withColumnRenamed("label", "component")
+    """(id, component): the least id that edges (a, b) reach in either direction, for the ids that they name.
+
+    Large-star and small-star steps alternate until the edges stay as they are: neighbours above a node move to the least one around it, then a node and its
+    smaller neighbours move to the least of them. A hub is aggregated by partial minima and never gathered.
+    """
+    reliable = edges.sparkSession.sparkContext.getCheckpointDir() is not None
+    keep = (lambda df: df.checkpoint()) if reliable else (lambda df: df.persist())
+    named = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    now, state = keep(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo <> hi").distinct()), None
+    while True:
+        both = now.union(now.select(F.col("hi").alias("lo"), F.col("lo").alias("hi"))).toDF("u", "v")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo <> hi").distinct()
+        joined = large.join(large.groupBy("hi").agg(F.min("lo").alias("m")), "hi")
+        small = joined.select(F.col("m").alias("lo"), F.col("lo").alias("hi")).union(joined.select("m", "hi")).where("lo <> hi").distinct()
+        before, now = now, keep(small)
+        before.unpersist()
+        found = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
+        if found == state:
+            return named.join(now.select(F.col("hi").alias("id"), F.col("lo").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        state = found
 
 
 def greedy_stories(articles: DataFrame, threshold: float = 0.32, pairs: DataFrame | None = None) -> DataFrame:
