@@ -1,27 +1,26 @@
 """Benchmark decontamination with one Aho-Corasick automaton over normalised test items.
 
-The patterns are windows of consecutive item words, joined by single spaces. A document is normalised once,
-word by word, and scanned once; the ends of matches are mapped back to words and, on request, to offsets in the
-original text.
+The patterns are windows of consecutive item words, as numbers of a vocabulary of the items' words, so that the automaton has a state for each word and
+not for each character. A document is normalised once, word by word, and scanned once; the ends of matches are words of the document and are mapped, on
+request, to offsets in the original text.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from storyloom.llm._spark import written
+from storyloom.llm._spark import WHOLE, whole, written
 from storyloom.llm.token_output import slices
 
 WINDOW = 13
-#: Bytes of item text that one automaton holds. More items are scanned in blocks of about this size.
-BLOCK_BYTES = 16 << 20
+#: Bytes of item text that one automaton holds: about 2 million states and 150 MB. More items are scanned in blocks of about this size.
+BLOCK_BYTES = 1 << 20
 #: Tells the scanned rows apart if there are several blocks.
 ROW = "_scanned_row"
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -33,25 +32,20 @@ def normal_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(NORMAL).split()
 
 
-def item_windows(text: str | None, window: int) -> list[bytes]:
-    """The distinct windows of an item: ``window`` words each, or all words if there are fewer."""
-    words = normal_words(text)
-    if not words:
-        return []
-    return list(dict.fromkeys(b" ".join(words[i : i + window]) for i in range(max(1, len(words) - window + 1))))
-
-
 class Automaton:
     def __init__(self, items: list[tuple[str, str | None]], window: int):
         import ahocorasick
 
-        owners: dict[bytes, list[str]] = {}
+        self.numbers: dict[bytes, int] = {}  # 0 stands for words that are in no item
+        owners: dict[tuple[int, ...], list[str]] = {}
         for item, text in items:
-            for pattern in item_windows(text, window):
+            words = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in normal_words(text)]
+            # an item of fewer words than a window is one pattern; without words it is none
+            for pattern in dict.fromkeys(tuple(words[k : k + window]) for k in range(max(1, len(words) - window + 1)) if words):
                 owners.setdefault(pattern, []).append(item)
-        self.machine = ahocorasick.Automaton()
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for pattern, of in owners.items():
-            self.machine.add_word(f" {pattern.decode('latin1')} ", (pattern.count(b" ") + 1, tuple(of)))
+            self.machine.add_word(pattern, (len(pattern), tuple(of)))
         self.any = bool(owners)
         if self.any:
             self.machine.make_automaton()
@@ -60,13 +54,9 @@ class Automaton:
         """The hit word ranges, merged and in order, and the items whose windows occur."""
         if not self.any or not words:
             return [], set()
-        text = f" {b' '.join(words).decode('latin1')} "
-        spaces, found, items = None, [], set()
-        for end, (n, of) in self.machine.iter(text):
-            if spaces is None:
-                spaces = np.flatnonzero(np.frombuffer(text.encode("latin1"), dtype=np.uint8) == 32)
-            last = int(np.searchsorted(spaces, end))  # words before the closing space
-            found.append((last - n, last))
+        found, items = [], set()
+        for end, (n, of) in self.machine.iter(tuple([self.numbers.get(w, 0) for w in words])):
+            found.append((end + 1 - n, end + 1))
             items.update(of)
         merged: list[tuple[int, int]] = []
         for a, b in sorted(found):
@@ -77,17 +67,7 @@ class Automaton:
         return merged, items
 
 
-_machines: dict[tuple, Automaton] = {}
-
-
-def _machine(key: str, items, window: int) -> Automaton:
-    if key not in _machines:
-        _machines.clear()
-        _machines[key] = Automaton(items, window)
-    return _machines[key]
-
-
-def _scanner(shared, key: str, window: int, spans: bool):
+def _scanner(shared, window: int, spans: bool):
     def original(text: str, ranges: list[tuple[int, int]]) -> list[dict]:
         raw = text.encode("utf-8", "surrogatepass")
         places = [m.span() for m in WORD.finditer(raw)]
@@ -95,7 +75,7 @@ def _scanner(shared, key: str, window: int, spans: bool):
         return [{"first": chars(places[a][0]), "last": chars(places[b - 1][1])} for a, b in ranges]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = _machine(key, shared.value, window)
+        machine = Automaton(shared.value, window)  # for this task only, so that no worker keeps it for later stages
         span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
         for big in batches:
             for batch in slices(big, "text"):
@@ -133,23 +113,21 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, spans: bool =
     if blocks > 1:  # equal rows add nothing to an item, and one block would get all of them
         texts = written(texts.distinct(), "items")
         blocks = count_blocks()
-    kinds = dict(docs.dtypes)
     ranges = "array<struct<first: int, last: int>>"
     found = f"n_words long, hits {ranges}, items array<string>, spans {ranges}"
     source = docs.select(*keys, F.col("text").cast("string").alias("text"))
 
-    def scanned(rows: DataFrame, block: DataFrame, schema: str) -> DataFrame:
+    def scanned(rows: DataFrame, block: DataFrame, kept: list[T.StructField]) -> DataFrame:
         patterns = [(r["item"], r["text"]) for r in block.collect()]  # about block_bytes
-        key = hashlib.sha256(repr((sorted(patterns, key=repr), window)).encode("utf-8", "surrogatepass")).hexdigest()
-        return rows.mapInArrow(_scanner(spark.sparkContext.broadcast(patterns), key, window, spans), f"{schema}, {found}")
+        return rows.mapInArrow(_scanner(spark.sparkContext.broadcast(patterns), window, spans), T.StructType([*kept, *T.StructType.fromDDL(found).fields]))
 
     if blocks == 1:
-        return scanned(source, texts, ", ".join(f"`{k}` {kinds[k]}" for k in keys))
+        return scanned(source, texts, [docs.schema[k] for k in keys])
     source = written(source.withColumn(ROW, F.monotonically_increasing_id()), "scanned")
     every = None
     for k in range(blocks):
         # by id and text, so that an id with very many rows is spread over blocks
-        part = scanned(source.select(ROW, "text"), texts.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k), f"`{ROW}` long")
+        part = scanned(source.select(ROW, "text"), texts.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k), [T.StructField(ROW, T.LongType())])
         every = part if every is None else every.union(part.where(F.size("hits") > 0))  # the first block has every row
     pair = "struct<first: int, last: int, begin: int, end: int>"
     placed = F.transform(
@@ -198,8 +176,7 @@ def report(scanned: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that are not contaminated.
 
-    Scanning carries all columns along, so no join is needed and repeated rows stay as they are.
+    Scanning carries all columns along as one, so no join is needed, repeated rows stay as they are and any names may be there.
     """
-    names = docs.columns
-    scanned = report(scan(docs.withColumn("_text", F.col("text")), items, keys=tuple([*[n for n in names if n != "text"], "_text"])))
-    return scanned.where(~F.col("contaminated")).withColumnRenamed("_text", "text").select(*names)
+    scanned = report(scan(docs.select("text", whole(docs)), items, keys=(WHOLE,)))
+    return scanned.where(~F.col("contaminated")).select(f"{WHOLE}.*")

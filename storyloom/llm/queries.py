@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from storyloom.llm import audio, chat_format, decontaminate, language_id, mixing, near_dedup, quality, sharding, substring_dedup, token_output
 from storyloom.llm._spark import fresh_path
+from storyloom.llm.oracles import SQL
 
+__all__ = ["QUERIES", "SQL"]
 ARRIVALS = 8
 
 
@@ -95,7 +97,3 @@ QUERIES = {
     "op9_substring_dedup": incremental_substring_dedup,
     "op10_source_mixing": source_mixing,
 }
-
-SQL = {
-    "op7_sharding": "SELECT doc_id, source, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256 FROM documents",
-}

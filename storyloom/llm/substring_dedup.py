@@ -1,9 +1,10 @@
 """Incremental substring dedup over a log-structured fingerprint index.
 
-A document's fingerprints are hashes of short word runs, thinned by winnowing so that each window of ``WINDOW`` words
-holds at least one and equal windows hold the same one. The index keeps them in immutable runs, sorted and bucketed by
-hash. Each new batch becomes a run and is merge-joined with the older runs; runs of like size are compacted. Where
-fingerprints repeat, in the batch or in what was indexed before, the full windows are read again and compared by a 128-bit digest of their words.
+A document's fingerprints are hashes of short word runs, thinned by winnowing: each window of ``WINDOW`` words has one, its run of the smallest hash,
+and equal windows have the same one. The index keeps fingerprints in immutable runs, sorted and bucketed by hash, and so it keeps
+digests of windows. Each new batch becomes a run and is merge-joined with the older runs; runs of like size are compacted. Only windows whose
+fingerprint repeats, in the batch or in what was indexed before, are compared, by a 128-bit digest of their words. The windows of a fingerprint are
+read from the texts once, when it first repeats; from then on their digests are in the index.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql.window import Window
 
 from storyloom.llm._manifest import Manifests
 from storyloom.llm._spark import discard, fresh_path, written
-from storyloom.llm._words import WordHashes, mixed, run_hashes
+from storyloom.llm._words import WordHashes, run_hashes
 from storyloom.llm.token_output import slices
 
 WINDOW = 20
@@ -36,28 +37,12 @@ def _split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def winnow(grams: np.ndarray, reach: int) -> np.ndarray:
-    """The places of the smallest hash in each ``reach`` consecutive ones (the first of equal ones)."""
-    if not len(grams):
-        return np.zeros(0, np.int64)
-    if len(grams) <= reach:
-        return np.array([int(grams.argmin())])
-    windows = np.lib.stride_tricks.sliding_window_view(grams, reach)
-    return np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
-
-
-def surroundings(words: np.ndarray, at: np.ndarray, gram: int, around: int) -> np.ndarray:
-    """A 64-bit hash of the ``around`` words before each place, its gram and ``around`` words after it; where the text ends counts, too.
-
-    All windows of ``gram + around`` words that hold the gram lie in these words. So places with equal surroundings lie in equal windows.
-    """
-    width = gram + 2 * around
-    filled = np.concatenate((np.zeros(around, np.uint64), words, np.zeros(around, np.uint64)))
-    odd = mixed(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
-    out = np.zeros(len(at), np.uint64)
-    for k in range(width):
-        out += mixed(filled[at + k] + np.uint64(k)) * odd[k]
-    return mixed(out)
+def winnow(grams: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of the smallest hash (the first of equal ones) in each ``reach`` consecutive ones; for each the first such stretch and their number."""
+    if len(grams) < reach:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    stretches = np.lib.stride_tricks.sliding_window_view(grams, reach)
+    return np.unique(stretches.argmin(axis=1) + np.arange(len(stretches)), return_index=True, return_counts=True)
 
 
 def _first_of(keys: np.ndarray) -> np.ndarray:
@@ -68,55 +53,56 @@ def _first_of(keys: np.ndarray) -> np.ndarray:
 
 
 def _digest(window: int):
-    """Of each document: words, digest of all words, its fingerprints with surroundings that are new in this slice, and the places of the others."""
+    """Of each document: words, digest of all words, its fingerprints that are new in this slice, with the windows that have them (``n`` from ``at`` on), and the windows of the others."""
     gram = min(GRAM, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembered = WordHashes()
         for big in batches:
             for batch in slices(big, "text", SLICE):
-                rows, hashes, around, places = [], [], [], []
+                rows, hashes, starts, counts = [], [], [], []
                 for text in batch.column("text").to_pylist():
                     words = _split(text)
                     rows.append((len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
                     # a document of fewer words than a window has no window
-                    coded = remembered.of(words) if len(words) >= window else np.zeros(0, np.uint64)
-                    grams = run_hashes(coded, gram)
-                    at = winnow(grams, window - gram + 1)
-                    places.append(at)
-                    hashes.append(grams[at])
-                    around.append(surroundings(coded, at, gram, window - gram))
-                flat, near = np.concatenate(hashes), np.concatenate(around)
+                    grams = run_hashes(remembered.of(words), gram) if len(words) >= window else np.zeros(0, np.uint64)
+                    places, start, count = winnow(grams, window - gram + 1)
+                    hashes.append(grams[places])
+                    starts.append(start)
+                    counts.append(count)
+                flat = np.concatenate(hashes)
                 _, number, many = np.unique(flat, return_inverse=True, return_counts=True)
-                new, repeated = _first_of(flat ^ near), many[number] > 1
-                near = (near >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                new, repeated = _first_of(flat), many[number] > 1
                 ends = np.cumsum([len(x) for x in hashes])
                 out = []
-                for start, end, at in zip(np.concatenate(([0], ends[:-1])), ends, places):
-                    part = slice(start, end)
+                for begin, end, start, count in zip(np.concatenate(([0], ends[:-1])), ends, starts, counts):
+                    part = slice(begin, end)
                     keep = new[part]
-                    out.append((flat[part][keep].view(np.int64), near[part][keep], at[keep], repeated[part][keep], at[~keep]))
-                lists = lambda k, kind: pa.array([x[k] for x in out], pa.list_(kind))
+                    out.append((flat[part][keep].view(np.int64), start[keep], count[keep], repeated[part][keep], start[~keep], count[~keep]))
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32())
+                lists = [pa.array([x[k] for x in out], pa.list_(kind)) for k, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("version"), pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows]),
-                     lists(0, pa.int64()), lists(1, pa.int32()), lists(2, pa.int32()), lists(3, pa.bool_()), lists(4, pa.int32())],
-                    ["doc_id", "version", "n_words", "sha", "hash", "around", "at", "again", "known"],
-                )
+                    [batch.column("doc_id"), batch.column("version"), pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows]), *lists],
+                    ["doc_id", "version", "n_words", "sha", "hash", "at", "n", "again", "known_at", "known_n"],
+                )
 
     return run
 
 
-DIGEST = "doc_id long, version long, n_words long, sha string, hash array<long>, around array<int>, at array<int>, again array<boolean>, known array<int>"
-RUN = "hash LONG, around INT, doc_id LONG, version LONG, at INT, again BOOLEAN"
+DIGEST = "doc_id long, version long, n_words long, sha string, hash array<long>, at array<int>, n array<int>, again array<boolean>, known_at array<int>, known_n array<int>"
+#: The columns of the runs of both kinds, and the column that they are bucketed and sorted by.
+RUNS = {
+    "fingerprints": ("hash", "hash LONG, doc_id LONG, version LONG, at INT, n INT, again BOOLEAN"),
+    "windows": ("one", "one LONG, two LONG, doc_id LONG, version LONG, p INT, n INT, old BOOLEAN, first BOOLEAN"),
+}
 
 
 class FingerprintIndex:
-    """Immutable runs of (hash, around, doc_id, version, at, again) in a folder, each a table that is bucketed and sorted by hash.
+    """Immutable runs in a folder, each a table that is bucketed and sorted by its hash: fingerprints with their windows, and digests of windows.
 
     A manifest lists the runs and the texts of the batches so far; a session that opens the folder later goes on from there. A batch
-    becomes visible by the manifest's atomic rename, so a run that dies half-way leaves the index as it was. ``again`` marks hashes of which the
-    writer had already seen several. Runs hold a hash once for each slice of text and its surroundings; compaction keeps the first place for each surroundings,
-    since later ones lie in the same windows.
+    becomes visible by the manifest's atomic rename, so a run that dies half-way leaves the index as it was. A fingerprint of which there was only one so far is in one
+    row without ``again``, which says where to read its windows; all windows of others are among the digests.
 
     ``texts`` is a table (doc_id, text) that holds all documents of former batches, where the caller has one; otherwise each batch's texts are kept in the folder.
     """
@@ -126,25 +112,31 @@ class FingerprintIndex:
         self.root = (root or fresh_path(spark, "fingerprints")).rstrip("/")
         self.manifests = Manifests(spark, self.root)
         self.version, found = self.manifests.current()
-        found = found or {"buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "runs": [], "texts": []}
+        found = found or {"buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "fingerprints": [], "windows": [], "texts": []}
         self.buckets: int = found["buckets"]
-        self.runs: list[dict] = found["runs"]  # tier, path
+        self.runs: dict[str, list[dict]] = {kind: found[kind] for kind in RUNS}  # tier, path
         self.kept: list[str] = found["texts"]
 
-    def table(self, run: dict) -> DataFrame:
+    def _name(self, run: dict) -> str:
+        return f"index_run_{hashlib.sha256(run['path'].encode()).hexdigest()[:24]}"
+
+    def table(self, kind: str, run: dict) -> DataFrame:
         """The run as a bucketed table; a session that does not know it yet registers it by its path."""
-        name = f"fingerprints_{hashlib.sha256(run['path'].encode()).hexdigest()[:24]}"
-        if not self.spark.catalog.tableExists(name):
-            self.spark.sql(f"CREATE TABLE {name} ({RUN}) USING parquet CLUSTERED BY (hash) SORTED BY (hash) INTO {self.buckets} BUCKETS LOCATION '{run['path']}'")
-        return self.spark.table(name)
-
-    def write(self, rows: DataFrame, tier: int) -> dict:
-        """Writes a run that no manifest lists yet. One shuffle deals its rows to the buckets."""
-        path = f"{self.root}/runs/{uuid.uuid4().hex}"
-        name = f"fingerprints_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
-        writer = rows.repartition(self.buckets, "hash").write.bucketBy(self.buckets, "hash").sortBy("hash")
-        writer.option("compression", "zstd").option("path", path).saveAsTable(name)
-        return {"tier": tier, "path": path}
+        key, columns = RUNS[kind]
+        if not self.spark.catalog.tableExists(self._name(run)):
+            self.spark.sql(f"CREATE TABLE {self._name(run)} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{run['path']}'")
+        return self.spark.table(self._name(run))
+
+    def dealt(self, kind: str, rows: DataFrame) -> DataFrame:
+        """``rows`` dealt to the buckets of a kind, so that runs may be joined with them where they lie."""
+        return rows.repartition(self.buckets, RUNS[kind][0])
+
+    def write(self, kind: str, rows: DataFrame, tier: int = 0) -> dict:
+        """Writes dealt rows as a run that no manifest lists yet."""
+        run = {"tier": tier, "path": f"{self.root}/{kind}/{uuid.uuid4().hex}"}
+        writer = rows.write.bucketBy(self.buckets, RUNS[kind][0]).sortBy(RUNS[kind][0])
+        writer.option("compression", "zstd").option("path", run["path"]).saveAsTable(self._name(run))
+        return run
 
     def history(self) -> DataFrame | None:
         """(doc_id, text) of the documents of former batches."""
@@ -153,73 +145,78 @@ class FingerprintIndex:
         return self.spark.read.schema("doc_id long, text string").parquet(*self.kept)
 
     def known(self, new: DataFrame) -> DataFrame | None:
-        """The places of all runs whose hash is in ``new`` (hash): each run is merge-joined by itself, so that it is not shuffled."""
+        """The fingerprints of all runs whose hash is in ``new`` (hash): each run is merge-joined by itself, so that it is not shuffled."""
         found = None
-        for run in self.runs:
-            hits = self.table(run).join(new, "hash", "left_semi").select("hash", "doc_id", "version", "at")
+        for run in self.runs["fingerprints"]:
+            hits = self.table("fingerprints", run).join(new, "hash", "left_semi")
             found = hits if found is None else found.union(hits)
         return found
 
-    def commit(self, run: dict, texts: str | None) -> None:
-        """Makes a written run and its batch's texts part of the index, then compacts."""
-        self.runs = [*self.runs, run]
+    def commit(self, fingerprints: dict, windows: dict, texts: str | None) -> None:
+        """Makes written runs and their batch's texts part of the index, then compacts."""
+        self.runs = {"fingerprints": [*self.runs["fingerprints"], fingerprints], "windows": [*self.runs["windows"], windows]}
         self.kept = [*self.kept, *[texts] * (texts is not None)]
         self._save()
         self.compact()
 
     def _save(self) -> None:
-        self.version = self.manifests.commit(self.version, {"buckets": self.buckets, "runs": self.runs, "texts": self.kept})
+        self.version = self.manifests.commit(self.version, {"buckets": self.buckets, **self.runs, "texts": self.kept})
 
     def compact(self) -> None:
-        """Merges the runs of a tier into one of the next, as long as a tier has ``fanout`` of them."""
-        tier = 0
-        while any(r["tier"] >= tier for r in self.runs):
-            same = [r for r in self.runs if r["tier"] == tier]
-            if len(same) >= self.fanout:
-                rows = self.table(same[0])
-                for run in same[1:]:
-                    rows = rows.union(self.table(run))
-                # dealt out before the aggregation: a union of bucketed tables is not bucketed
-                first = F.min(F.struct("doc_id", "version", "at")).alias("first")
-                merged = rows.repartition(self.buckets, "hash").groupBy("hash", "around").agg(first, (F.bool_or("again") | (F.count("*") > 1)).alias("again"))
-                run = self.write(merged.select("hash", "around", "first.*", "again"), tier + 1)
-                self.runs = [r for r in self.runs if r not in same] + [run]
-                self._save()
-                self.manifests.forget(self.version)
-                self._delete(same)
-            tier += 1
+        """Merges the runs of a tier into one of the next, as long as a tier has ``fanout`` of them: one row for each hash or digest is left."""
+        for kind in RUNS:
+            tier = 0
+            while any(r["tier"] >= tier for r in self.runs[kind]):
+                same = [r for r in self.runs[kind] if r["tier"] == tier]
+                if len(same) >= self.fanout:
+                    run = self.write(kind, self._merged(kind, same), tier + 1)
+                    self.runs = self.runs | {kind: [r for r in self.runs[kind] if r not in same] + [run]}
+                    self._save()
+                    self.manifests.forget(self.version)
+                    self._delete(same)
+                tier += 1
+
+    def _merged(self, kind: str, runs: list[dict]) -> DataFrame:
+        rows = self.table(kind, runs[0])
+        for run in runs[1:]:
+            rows = rows.union(self.table(kind, run))
+        if kind == "windows":
+            digests = self.dealt(kind, rows.where("first").select("one", "two")).distinct()
+            return digests.selectExpr("one", "two", "CAST(NULL AS LONG) AS doc_id", "CAST(NULL AS LONG) AS version", "CAST(NULL AS INT) AS p", "0 AS n", "true AS old", "true AS first")
+        # dealt out before the aggregation: a union of bucketed tables is not bucketed
+        place = F.min(F.struct("doc_id", "version", "at", "n")).alias("place")
+        return self.dealt(kind, rows).groupBy("hash").agg(place, (F.bool_or("again") | (F.count("*") > 1)).alias("again")).select("hash", "place.*", "again")
 
     def _delete(self, runs: list[dict]) -> None:
         for run in runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS fingerprints_{hashlib.sha256(run['path'].encode()).hexdigest()[:24]}")
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(run)}")
             self.manifests.files().delete(self.manifests.path(run["path"]), True)
 
     def drop(self) -> None:
         """Deletes the index."""
-        self._delete(self.runs)
+        for kind in RUNS:
+            self._delete(self.runs[kind])
         self.manifests.files().delete(self.manifests.path(self.root), True)
-        self.runs, self.kept = [], []
+        self.runs, self.kept = {kind: [] for kind in RUNS}, []
 
 
 def _windows(window: int):
-    """Windows around places: rows to compare (n = 0), and ranges of n windows that an earlier one in the slice equals."""
-    gram = min(GRAM, window)
+    """The windows of places (``n`` from ``at`` on): rows to compare (n = 0), and ranges of n windows that an earlier one in the slice equals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in slices(big, "text", SLICE):
-                rows = sorted(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "text", "at"))), key=lambda r: r[:2])
+                rows = sorted(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "text", "places"))), key=lambda r: r[:2])
                 docs, versions, starts, digests = [], [], [], []
-                for doc, version, text, at in rows:
+                for doc, version, text, wanted in rows:
                     words = _split(text)
                     many = len(words) - window + 1
                     if many <= 0:
                         continue
-                    near = np.zeros(many + 1, np.int64)
-                    at = np.asarray(at, np.int64)
-                    np.add.at(near, np.maximum(0, at - (window - gram)), 1)
-                    np.add.at(near, np.minimum(many, at + 1), -1)
-                    places = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+                    near = np.zeros(many, bool)
+                    for place in wanted:
+                        near[place["at"] : place["at"] + place["n"]] = True
+                    places = np.flatnonzero(near)
                     joined = memoryview(b" ".join(words))
                     begins = np.cumsum([0, *[len(w) + 1 for w in words]])
                     digests += [
@@ -280,9 +277,9 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 
 def _placed(texts: DataFrame, places: DataFrame, name: str) -> DataFrame:
-    """(doc_id, version, text, at) of the documents with places; only their texts are read from here on."""
-    at = places.groupBy(*KEY).agg(F.collect_set("at").alias("at"))
-    return written(_identified(texts).join(at, KEY).dropDuplicates(KEY), name)
+    """(doc_id, version, text, places) of the documents with places (at, n); only their texts are read from here on."""
+    own = places.groupBy(*KEY).agg(F.collect_set(F.struct("at", "n")).alias("places"))
+    return written(_identified(texts).join(own, KEY).dropDuplicates(KEY), name)
 
 
 def add_batch(docs: DataFrame, index: FingerprintIndex, window: int = WINDOW, texts: bool = False) -> DataFrame:
@@ -298,25 +295,32 @@ def add_batch(docs: DataFrame, index: FingerprintIndex, window: int = WINDOW, te
     source = _identified(docs)
     digest = written(source.mapInArrow(_digest(window), DIGEST), "digest")
     named = digest.where("doc_id IS NOT NULL")
-    marks = named.select(*KEY, F.explode(F.arrays_zip("hash", "around", "at", "again")).alias("x")).select("x.hash", "x.around", *KEY, "x.at", "x.again")
-    run = index.write(marks, 0)
-    new = index.table(run)
+    marks = named.select(*KEY, F.explode(F.arrays_zip("hash", "at", "n", "again")).alias("x")).select("x.hash", *KEY, "x.at", "x.n", "x.again")
+    fingerprints = index.write("fingerprints", index.dealt("fingerprints", marks))
+    new = index.table("fingerprints", fingerprints)
     counts = written(new.groupBy("hash").agg((F.bool_or("again") | (F.count("*") > 1)).alias("again")), "counts")
-    repeated, former = counts.where("again").select("hash"), None
-    found = index.known(counts.select("hash"))
+    repeated, former, found = counts.where("again").select("hash"), None, index.known(counts.select("hash"))
     if found is not None:
-        found = written(found, "found")
+        place = F.min(F.struct(*KEY, "at", "n")).alias("place")
+        found = written(found.groupBy("hash").agg(place, (F.bool_or("again") | (F.count("*") > 1)).alias("again")), "found")
         repeated = repeated.union(found.select("hash")).distinct()
-        former = _placed(index.history(), found.select(*KEY, "at"), "former")
-    places = new.join(repeated, "hash", "left_semi").select(*KEY, "at")
-    known = named.where(F.size("known") > 0).select(*KEY, F.explode("known").alias("at"))
-    store = _placed(docs, places.union(known), "store")
-    # former documents come first; of each window only the first place is kept as it is
+        # fingerprints that were alone so far: their windows are read now
+        former = _placed(index.history(), found.where("NOT again").select("place.*"), "former")
+    places = new.join(repeated, "hash", "left_semi").select(*KEY, "at", "n")
+    more = named.where(F.size("known_at") > 0).select(*KEY, F.explode(F.arrays_zip("known_at", "known_n")).alias("x")).select(*KEY, F.col("x.known_at").alias("at"), F.col("x.known_n").alias("n"))
+    store = _placed(docs, places.union(more), "store")
     rows = store.mapInArrow(_windows(window), WINDOWS).withColumn("old", F.lit(False))
     if former is not None:
         rows = rows.union(former.mapInArrow(_windows(window), WINDOWS).where("n = 0").withColumn("old", F.lit(True)))
+    rows = index.dealt("windows", rows).withColumn("known", F.lit(False))
+    for run in index.runs["windows"]:
+        seen = index.table("windows", run).where("first").select(F.col("one").alias("o"), F.col("two").alias("t"))
+        rows = rows.join(seen, (F.col("one") == F.col("o")) & (F.col("two") == F.col("t")), "left").withColumn("known", F.col("known") | F.col("o").isNotNull()).drop("o", "t")
+    # former documents come first; of each window only the first place is kept as it is
     rank = F.row_number().over(Window.partitionBy("one", "two").orderBy(F.col("n") > 0, ~F.col("old"), *KEY, "p"))
-    repeats = rows.withColumn("rank", rank).where("NOT old AND (n > 0 OR rank > 1)")
+    ranked = rows.withColumn("first", (rank == 1) & (F.col("n") == 0) & ~F.col("known"))
+    windows = index.write("windows", ranked.select("one", "two", *KEY, "p", "n", "old", "first"))
+    repeats = index.table("windows", windows).where("NOT old AND NOT first")
     ranges = written(repeats.groupBy(*KEY).agg(F.collect_list(F.struct("p", "n")).alias("ranges")), "ranges")
     changed = store.select(*KEY, "text").join(ranges, KEY).mapInArrow(_removed(window), "doc_id long, version long, n_removed long, kept_sha256 string, kept string")
     changed = written(changed.drop(*["kept"] * (not texts)), "changed")
@@ -328,7 +332,7 @@ def add_batch(docs: DataFrame, index: FingerprintIndex, window: int = WINDOW, te
     if index.texts is None:
         kept = f"{index.root}/texts/{uuid.uuid4().hex}"
         source.where("doc_id IS NOT NULL").select("doc_id", "text").write.option("compression", "zstd").parquet(kept)
-    index.commit(run, kept)
+    index.commit(fingerprints, windows, kept)
     discard(digest, counts, store, ranges, changed, *[x for x in (found, former) if x is not None])
     return result
 

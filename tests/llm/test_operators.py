@@ -77,6 +77,16 @@ def test_layouts_become_turns(spark):
     assert sum(r[4] == "unknown" for r in found) == 3
 
 
+def test_odd_records_become_rows(spark):
+    turn = [{"role": "user", "content": "q"}]
+    odd = [{"id": x, "messages": turn} for x in ("c-1", 1.5, None, True, 2**63, [1])] + [{"id": 1, "messages": [{"role": "user", "content": "q"}, 5]}, 7, [1]]
+    good = [{"id": " -12 ", "messages": turn}, {"id": 3, "messages": [{"role": None, "content": 4}]}]
+    raw = [json.dumps(x) for x in odd + good] + ["[" * 100_000, "", None]
+    found = [tuple(r) for r in chat_format.turns_from_records(spark.createDataFrame([(x,) for x in raw], "record string")).collect()]
+    assert len(found) == len(raw) and sorted(r for r in found if r[4] != "unknown") == [(-12, 0, "user", "q", "messages"), (3, 0, "", "4", "messages")]
+    assert {r[:2] for r in found if r[4] == "unknown"} == {(None, None)}
+
+
 def test_chat_awkward_tables(spark):
     turns = spark.createDataFrame([(1, 0, None, None, "x"), (1, 0, None, None, "x"), (None, 0, "user", "a", "x")], chat_format.TURNS + ", piece string")
     found = chat_format.digests(chat_format.format_turns(chat_format.turns_from_table(turns))).collect()
@@ -348,7 +358,50 @@ def test_shards_keep_all_rows(spark, docs, rows):
     assert key(store.read(before)) == key(store.read(after)) == key(docs)
     with pytest.raises(sharding.CommitConflict):
         store.commit(before, ())
-    assert store.expire() > 0 and key(store.read()) == key(docs)
+    assert store.expire() == 0 and store.expire(grace_seconds=0) > 0 and key(store.read()) == key(docs)
+
+
+def test_expiry_spares_what_is_not_committed(spark, docs):
+    store = sharding.ShardStore(spark, fresh_path(spark, "store"), fanout=2)
+    store.append(docs.limit(3))
+    late = store._write(docs.limit(5))  # another writer: written, not committed
+    assert store.expire() == 0
+    base = store.current()
+    store.commit(base, base.shards + late)
+    assert store.read().count() == 8
+
+
+def test_two_writers_of_a_store(spark, docs, monkeypatch):
+    root = fresh_path(spark, "store")
+    one, other = (sharding.ShardStore(spark, root, fanout=2) for _ in range(2))
+    one.append(docs.limit(2))
+    real, calls = sharding.ShardStore.current, []
+
+    def current(self):
+        found = real(self)
+        if self is one and len(calls) < 1:
+            calls.append(1)
+            other.append(docs.limit(3))  # the other one commits between reading and committing
+        return found
+
+    monkeypatch.setattr(sharding.ShardStore, "current", current)
+    one.append(docs.limit(4))
+    assert one.read().count() == 9 and one.compact().version > 3 and one.read().count() == 9
+
+
+def test_stores_with_odd_rows(spark):
+    store = sharding.ShardStore(spark, fresh_path(spark, "store"), fanout=2)
+    with pytest.raises(ValueError):
+        store.read()
+    df = spark.createDataFrame([(1, "a", None, 2.0)] * 2 + [(None, "", "x", None)], "_file int, _group string, `a b` string, _FILE2 double")
+    store.append(df.where("false"))
+    assert store.read().count() == 0 and store.read().columns == df.columns
+    for _ in range(3):
+        store.append(df)
+    with pytest.raises(ValueError):
+        store.append(df.drop("_group"))
+    store.compact()
+    assert sorted(map(str, store.read().collect())) == sorted(map(str, df.collect() * 3))
 
 
 # --- 8: token output
@@ -379,6 +432,17 @@ def test_elias_fano(values):
         coded.select(len(values))
 
 
+def test_elias_fano_of_many_values_stays_small():
+    import tracemalloc
+
+    values = np.sort(np.random.default_rng(1).integers(0, 1 << 40, 300_000)).astype(np.uint64)
+    tracemalloc.start()
+    coded = token_output.EliasFano.encode(values)
+    assert (coded.decode() == values.astype(np.int64)).all()
+    assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    tracemalloc.stop()
+
+
 # --- 9: substring dedup
 
 
@@ -393,15 +457,37 @@ def test_substrings_match_brute_force(spark, rows, batches):
 
 def test_index_compacts_and_copes_with_little(spark, rows, docs, nothing):
     index = substring_dedup.FingerprintIndex(spark, buckets=3, fanout=2)
-    out = substring_dedup.substring_dedup(docs, batches=6, index=index, texts=True)
-    assert max(t for t, _ in index.runs) >= 1
+    out = substring_dedup.substring_dedup(docs, batches=4, index=index, texts=True)
+    assert all(max(r["tier"] for r in runs) >= 1 for runs in index.runs.values())
     want = brute.substring_dedup(rows)
     for r in out.collect():
         assert tuple(r)[:4] == want[r["doc_id"]] and (r["kept"] is None or brute.sha(r["kept"]) == r["kept_sha256"])
     index.drop()
     assert substring_dedup.substring_dedup(nothing).count() == 0
-    twice = {tuple(r) for r in substring_dedup.substring_dedup(docs.union(docs)).collect()}
-    assert twice == set(want.values())
+    twice = [tuple(r) for r in substring_dedup.substring_dedup(docs.union(docs), batches=1).collect()]
+    assert sorted(twice) == sorted([*want.values()] * 2)
+
+
+def test_batches_meet_what_was_indexed_before(spark, rows):
+    """Calls on parts, each in an index that is opened anew, remove what one call on all removes; a copy that comes later goes whole."""
+    root, want, got = fresh_path(spark, "index"), brute.substring_dedup(rows), {}
+    for k in range(3):
+        part = [r for i, r in enumerate(sorted(rows)) if i * 3 // len(rows) == k]
+        got |= by_id(substring_dedup.add_batch(brute.frame(spark, part), substring_dedup.FingerprintIndex(spark, root, buckets=3, fanout=2)))
+    assert got == want
+    again = [r for r in rows if len(brute.words(r[1])) >= 20][:3]
+    copies = [(10**6 + k, r[1], *r[2:]) for k, r in enumerate(again)] + [(None, again[0][1], "en", "s", 0)]
+    out = substring_dedup.add_batch(brute.frame(spark, copies), substring_dedup.FingerprintIndex(spark, root)).collect()
+    assert sorted((r["doc_id"] is None, r["n_removed"] == r["n_words"]) for r in out) == [(False, True)] * 3 + [(True, False)]
+
+
+def test_substrings_of_texts_longer_than_a_slice(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    long = " ".join(f"w{x}" for x in rng.integers(0, 900, 4000))
+    rows = [(1, long, "en", "s", 0), (2, long[500:9000] + " end", "en", "s", 0), (2, "other " + long[:800], "en", "s", 0)]
+    monkeypatch.setattr(substring_dedup, "SLICE", 3000)
+    assert by_id(substring_dedup.substring_dedup(brute.frame(spark, rows[:2]), batches=1)) == brute.substring_dedup(rows[:2])
+    assert substring_dedup.substring_dedup(brute.frame(spark, rows), batches=2).count() == 3
 
 
 # --- 10: mixing
