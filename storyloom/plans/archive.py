@@ -24,11 +24,10 @@ def archive_search(spark, sf_dir):
     return search.found(found, 'NATION-7 "Flight" súpplier ***', ["title", "snippet", "supplier"]).select("id")
 
 
-@query("document_words", f"SELECT doc_id, sha256({SEARCHED.format('text')}) AS words_sha FROM documents WHERE lang <> 'xx' AND NOT regexp_matches(text, '[^\\x00-\\x{{17F}}]')".replace("{{17F}}", "{17F}"))
+@query("document_words", f"SELECT doc_id, sha256({SEARCHED.format('text')}) AS words_sha FROM documents")
 def document_words(spark, sf_dir):
-    """The searchable form of whole documents in the letters whose marks both engines strip alike."""
-    docs = read(spark, sf_dir, "documents").where("lang <> 'xx'").where(~F.col("text").rlike("[^\\x{0}-\\x{17F}]"))
-    return docs.select("doc_id", F.sha2(search.searchable(F.col("text")), 256).alias("words_sha"))
+    """The searchable form of whole documents."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(search.searchable(F.col("text")), 256).alias("words_sha"))
 
 
 @query(
@@ -149,15 +148,14 @@ def edge_tags(spark, sf_dir):
 @query(
     "snippet_cuts",
     "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN concat('Order ', o_orderkey, ' is done.') WHEN 1 THEN concat('Order ', o_orderkey, ' has a long story that ends here, well within the least and most that a cut text may have, as far as one can tell from it. ', 'And here.') "
-    "WHEN 2 THEN concat('Order ', o_orderkey, ' goes', repeat(' onwards', 31), '...') ELSE concat('Order ', o_orderkey, ' is short') END AS snippet FROM orders WHERE o_orderkey BETWEEN 10000 AND 99999",
+    "WHEN 2 THEN concat('Order ', o_orderkey, ' goes', repeat(' onwards', 31), '...') ELSE concat('Order ', o_orderkey, ' is short') END AS snippet".replace('o_orderkey, CASE o_orderkey % 4', 'k AS o_orderkey, CASE k % 4') + " FROM (SELECT o_orderkey AS k, lpad(CAST(o_orderkey AS VARCHAR), 5, '0') AS o_orderkey FROM orders)",
 )
 def snippet_cuts(spark, sf_dir):
     """Texts that are short and ended, that end a sentence within bounds, that are cut at a word, and that are short without an end."""
-    k, key = F.col("o_orderkey") % 4, F.col("o_orderkey").cast("string")
+    k, key = F.col("o_orderkey") % 4, F.lpad(F.col("o_orderkey").cast("string"), 5, "0")
     long = F.concat(F.lit("Order "), key, F.lit(" has a long story that ends here,  well within the least and most that a cut text may have, as far as one can tell from it. And here."))
     body = (
         F.when(k == 0, F.concat(F.lit("Order "), key, F.lit("  is done."))).when(k == 1, F.concat(long, F.lit(" " + "x" * 200)))
         .when(k == 2, F.concat(F.lit("Order "), key, F.lit(" goes" + " onwards" * 31 + " and of the onwards" + " more" * 20))).otherwise(F.concat(F.lit("Order "), key, F.lit(" is short")))
     )
-    found = read(spark, sf_dir, "orders").where("o_orderkey BETWEEN 10000 AND 99999")
-    return found.select("o_orderkey", cleaning.cut(body).alias("snippet"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", cleaning.cut(body).alias("snippet"))

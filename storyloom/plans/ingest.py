@@ -193,14 +193,14 @@ def legacy_seed(spark, sf_dir):
 
 @query(
     "cluster_reuse",
-    "WITH RECURSIVE c AS (SELECT o_custkey AS cluster, min(o_orderkey) AS ord FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1), k AS (SELECT cluster, row_number() OVER (ORDER BY ord) AS k FROM c), "
+    "WITH RECURSIVE c AS (SELECT o_custkey AS cluster, min(o_orderkey) AS ord FROM orders GROUP BY 1), k AS (SELECT cluster, row_number() OVER (ORDER BY ord) AS k FROM c), "
     "w AS (SELECT k, cluster, concat('p', o_orderkey % 97) AS prior, min(o_orderkey) AS pos FROM k JOIN orders ON o_custkey = cluster GROUP BY 1, 2, 3), l AS (SELECT k, cluster, list(prior ORDER BY pos, prior) AS wants FROM w GROUP BY 1, 2), "
     "r AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS cluster, NULL::VARCHAR AS id, []::VARCHAR[] AS claimed UNION ALL SELECT l.k, l.cluster, list_filter(wants, lambda x: NOT list_contains(claimed, x))[1], list_concat(claimed, list_filter(wants, lambda x: NOT list_contains(claimed, x))[1:1]) FROM r JOIN l ON l.k = r.k + 1) "
     "SELECT cluster, coalesce(id, concat('new_', cluster)) AS id FROM r WHERE k > 0",
 )
 def cluster_reuse(spark, sf_dir):
     """Customers as clusters of their orders, which were in 97 former clusters: in order, each takes the first one that is free."""
-    orders = read(spark, sf_dir, "orders").where("o_custkey % 3 = 0")
+    orders = read(spark, sf_dir, "orders")
     clusters = orders.groupBy(F.col("o_custkey").alias("cluster")).agg(F.min("o_orderkey").alias("ord")).withColumn("fingerprint", F.lit("-"))
     members = orders.select(F.col("o_custkey").alias("cluster"), F.col("o_orderkey").alias("article"), F.col("o_orderkey").alias("pos"))
     prior = orders.select(F.col("o_orderkey").alias("article"), F.concat(F.lit("p"), (F.col("o_orderkey") % 97).cast("string")).alias("prior_id"), F.lit("+").alias("fingerprint"))
@@ -217,12 +217,12 @@ def cluster_lookup(spark, sf_dir):
     return by_article.union(bare)
 
 
-@query("seed_merge", "SELECT doc_id, md5(text) AS url, 'live' AS origin FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, md5(text), 'seed' FROM documents d WHERE doc_id % 3 = 0 AND doc_id % 2 <> 0 AND NOT EXISTS (SELECT 1 FROM documents x WHERE x.doc_id % 2 = 0 AND x.text = d.text)")
+@query("seed_merge", "SELECT doc_id, md5(text) AS url, 'live' AS origin FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, md5(text), 'seed' FROM documents d WHERE doc_id % 2 <> 0 AND NOT EXISTS (SELECT 1 FROM documents x WHERE x.doc_id % 2 = 0 AND x.text = d.text)")
 def seed_merge(spark, sf_dir):
     """Seeds join the live articles if neither id nor address is there."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("url"))
     live = docs.where("doc_id % 2 = 0").withColumn("origin", F.lit("live"))
-    seeds = docs.where("doc_id % 3 = 0").withColumn("origin", F.lit("seed"))
+    seeds = docs.withColumn("origin", F.lit("seed"))
     return live.unionByName(seeds.join(live.select("doc_id"), "doc_id", "left_anti").join(live.select("url"), "url", "left_anti"))
 
 
