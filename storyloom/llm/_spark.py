@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -45,13 +45,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Holds all columns of a row while an operator adds its own, so that names never clash.
+WHOLE = "_whole"
+
+
+def whole(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct named ``WHOLE``."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias(WHOLE)
+
+
 def with_rows(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with a unique id ``ROW`` of each row, written so that the ids stay as they are."""
-    return written(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+    """(ROW, WHOLE) of each row of ``df``: a unique id and all columns, written so that the ids stay as they are."""
+    return written(df.select(F.monotonically_increasing_id().alias(ROW), whole(df)), name)
+
+
+class Scratch:
+    """Tables that one operator writes on its way and deletes when its result stands."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(written(df, name))
+        return self.tables[-1]
+
+    def close(self) -> None:
+        discard(*self.tables)
+        self.tables = []
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables that ``written`` made, once nothing reads them any more."""
+    """Deletes tables that ``written`` made, once nothing reads them any more. Empty tables have no files and may stay."""
     for df in tables:
         for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
@@ -88,7 +112,8 @@ def component_labels(edges: DataFrame) -> DataFrame:
             .distinct()
             .select("lo", "hi")
         )
-        now = written(small, "edges")
+        before, now = now, written(small, "edges")
+        discard(before)
         found = now.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
         if found == state:
             break

@@ -5,12 +5,14 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Words whose hashes a worker remembers; beyond it, the memory is emptied.
-REMEMBERED = 1_000_000
+#: Words whose hashes are remembered, about 15 MB; beyond it, the memory is emptied.
+REMEMBERED = 100_000
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class WordHashes(dict):
+    """Hashes of words, remembered while a task runs: each task makes its own, so that no worker keeps it for later stages."""
+
     def __missing__(self, word: bytes) -> int:
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
@@ -18,7 +20,9 @@ class WordHashes(dict):
     def of(self, words: list[bytes]) -> np.ndarray:
         if len(self) > REMEMBERED:
             self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        if len(words) <= REMEMBERED:
+            return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return np.concatenate([self.of(words[at : at + REMEMBERED]) for at in range(0, len(words), REMEMBERED)])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -1,6 +1,6 @@
 """Language ID with a bidirectional gated recurrent network over bytes, trained in numpy.
 
-A text's bytes are cut into strips of ``STRIP`` bytes. Two GRUs read each strip, one from either end; a softmax
+A text's bytes are cut into strips of ``STRIP`` bytes, each read from a state of its own; a cut may fall inside a word or a character. Two GRUs of ``HIDDEN`` units read each strip, one from either end; a softmax
 over both states labels every position. A document's probabilities are the means over its letters. Piecewise linear
 gates and a rational candidate keep the network cheap enough to read all bytes of a corpus.
 """
@@ -14,13 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyloom.llm.token_output import slices
 
 STRIP, HIDDEN = 64, 8
 #: Labelled documents to learn from, and windows of so many characters from each. This bounds what the driver gets.
 SAMPLE_DOCS, SAMPLE_WINDOWS, SAMPLE_CHARS = 3000, 4, 200
-STEPS, BATCH, LEARNING_RATE = 240, 256, 0.01
+STEPS, BATCH, LEARNING_RATE = 400, 256, 0.01
 #: Strips that inference handles at once.
 LANES = 2048
 UNDETERMINED = "und"
@@ -205,17 +206,22 @@ def held_out() -> F.Column:
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """Learns from documents with a language and outside the held-out third; None if there is none.
 
-    About ``sample_docs`` of them are drawn by a hash of their ids, and from each, windows at places that are drawn
-    alike, so at most ``2 * sample_docs`` rows of a bounded length come to the driver, whatever the corpus size.
+    About ``sample_docs`` of them are drawn by a hash of their ids, an equal number of each language as far as there are so many, so that rare languages
+    are learned, too. From each, windows at places that are drawn alike are taken, so at most ``2 * sample_docs`` rows of a bounded length come
+    to the driver, whatever the corpus size.
     """
-    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = known.count()
-    if not n:
+    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counts.count()
+    if not languages:
         return None
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < min(1 << 30, int(sample_docs / n * (1 << 30)) + 1)
+    share = sample_docs / languages / F.col("n") * (1 << 30) + 1
+    # so many languages are counted rows of a known bound; of more, Spark decides by size
+    counts = F.broadcast(counts) if languages <= SAMPLE_DOCS else counts
+    drawn = known.join(counts, "lang").where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < share)
     starts = [(F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)) + 1).cast("int") for k in range(SAMPLE_WINDOWS)]
     windows = F.concat_ws(" ", *[F.substring("text", s, F.lit(SAMPLE_CHARS)) for s in starts])
-    rows = known.where(draw).select(windows.alias("text"), F.col("lang").cast("string").alias("lang")).limit(2 * sample_docs).collect()
+    rows = drawn.select(windows.alias("text"), "lang").limit(2 * sample_docs).collect()
     rows = sorted(rows, key=lambda r: (r["lang"], r["text"]))
     return train([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
 
@@ -236,6 +242,5 @@ def predict(docs: DataFrame, model: Model | None, keys: tuple[str, ...] = ("doc_
                 says, scores = predict_batch(found, texts) if found else ([UNDETERMINED] * len(texts), [0.0] * len(texts))
                 yield pa.RecordBatch.from_arrays([batch.column(k) for k in keys] + [pa.array(says, pa.string()), pa.array(scores, pa.float64())], [*keys, "lang_pred", "score"])
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    return docs.select(*keys, *[F.col("text").cast("string")] * ("text" not in keys)).mapInArrow(run, schema + ", lang_pred string, score double")
+    schema = T.StructType([*[docs.schema[k] for k in keys], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.select(*keys, *[F.col("text").cast("string")] * ("text" not in keys)).mapInArrow(run, schema)

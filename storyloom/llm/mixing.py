@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from storyloom.llm._spark import ROW, with_rows, written
+from storyloom.llm._spark import ROW, WHOLE, Scratch, with_rows, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hash buckets of a (source, length) group, so that a group with very many documents is ranked in parts.
@@ -82,7 +82,7 @@ def _fit(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"source_rank": group["source_rank"], "size": group["size"], "take": take})
 
 
-def source_targets(totals: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+def source_targets(totals: DataFrame, weights: tuple[float, ...], share: float, most: float, scratch: Scratch) -> DataFrame:
     """(source, source_rank, source_size, target) from (source, source_size).
 
     Sources are ranked by code point, null last, and take ``weights`` in turn. They share ``share`` times all
@@ -92,7 +92,7 @@ def source_targets(totals: DataFrame, weights: tuple[float, ...], share: float,
     order = Window.orderBy(F.col("source").isNull(), F.col("source"))
     ranked = totals.withColumn("source_rank", F.row_number().over(order) - 1)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("source_rank") % len(weights) + 1).cast("int"))
-    ranked = written(ranked.withColumn("weight", weight).withColumn("cap", most * F.col("source_size")), "sources")
+    ranked = scratch.written(ranked.withColumn("weight", weight).withColumn("cap", most * F.col("source_size")), "sources")
     everything = ranked.agg(F.sum("source_size")).first()[0] or 0
     capped, level = -1, 0.0
     while True:
@@ -112,14 +112,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     are taken one by one, and so are rows with a null one. ``taken`` is ``copies`` times ``size``, at most ``most`` times the size (``most`` is a whole number here,
     so that the part beyond whole copies adds one copy at most). An empty table yields no rows.
     """
-    return _mixed(with_rows(_sizes(docs), "sizes"), weights, share, most, seed).drop(ROW)
+    scratch = Scratch()
+    sizes = scratch.written(_sizes(docs).withColumn(ROW, F.monotonically_increasing_id()), "sizes")
+    found = _mixed(sizes, weights, share, most, seed).drop(ROW)
+    scratch.close()
+    return found
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """Each row of ``docs``, all columns, as often as the mix takes it. Rows that repeat a doc_id or have none are taken one by one."""
-    rows = with_rows(docs, "rows")
-    copies = _mixed(written(_sizes(rows, ROW), "sizes")).where("copies > 0").select(ROW, F.sequence(F.lit(1), "copies").alias("_copies"))
-    return rows.join(copies, ROW).withColumn("_copy", F.explode("_copies")).select(*docs.columns)
+    rows, scratch = with_rows(docs, "rows"), Scratch()
+    copies = _mixed(scratch.written(_sizes(rows.select(ROW, f"{WHOLE}.doc_id", f"{WHOLE}.source", f"{WHOLE}.text"), ROW), "sizes"))
+    scratch.close()
+    # one row for each document on both sides: never broadcast, at no size
+    taken = rows.join(copies.where("copies > 0").select(ROW, "copies").hint("merge"), ROW)
+    return taken.select(WHOLE, F.explode(F.sequence(F.lit(1), "copies"))).select(f"{WHOLE}.*")
 
 
 def _sizes(docs: DataFrame, *more: str) -> DataFrame:
@@ -133,13 +140,14 @@ def _sizes(docs: DataFrame, *more: str) -> DataFrame:
 
 def _mixed(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
     """The columns of ``mix`` and ROW of each row of ``sizes`` (ROW, doc_id, source, size)."""
+    scratch = Scratch()
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(totals, weights, share, most)
-    targets = written(targets.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1).cast("long")), "targets")
+    targets = source_targets(totals, weights, share, most, scratch)
+    targets = scratch.written(targets.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1).cast("long")), "targets")
 
     same = sizes["source"].eqNullSafe(targets["source"])
     # targets has one row for each source; Spark broadcasts it by its measured size or splits the hot source
-    ranked = written(
+    ranked = scratch.written(
         sizes.join(targets.select("source", "source_rank"), same).drop(targets["source"]).withColumn("h", F.xxhash64(F.lit(seed), F.coalesce("doc_id", ROW))),
         "ranked",
     ).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
@@ -155,10 +163,13 @@ def _mixed(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: floa
     in_bucket = Window.partitionBy(*keys, "bucket").orderBy("h", "doc_id", ROW)
     chosen = (
         ranked.withColumn("at", F.row_number().over(in_bucket))
-        .join(written(quota, "quota"), [*keys, "bucket"], "left")
+        .join(scratch.written(quota, "quota"), [*keys, "bucket"], "left")
         .withColumn("extra", (F.col("at") <= F.coalesce("quota", F.lit(0))).cast("long"))
     )
-    return chosen.join(targets.drop("source"), "source_rank").select(
+    found = chosen.join(targets.drop("source"), "source_rank").select(
         ROW, "doc_id", "source", "size", "source_size", "target", ((F.col("copies") + F.col("extra")) * F.col("size")).alias("taken"),
         (F.col("copies") + F.col("extra")).alias("copies"),
     )
+    found = written(found, "mixed")
+    scratch.close()
+    return found

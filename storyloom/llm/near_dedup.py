@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from storyloom.llm._spark import ROW, component_labels, discard, is_empty, with_rows, written
+from storyloom.llm._spark import ROW, WHOLE, Scratch, component_labels, is_empty, with_rows, written
 from storyloom.llm._words import WordHashes, mixed, run_hashes
 from storyloom.llm.token_output import slices
 
@@ -35,15 +35,14 @@ RARE = 256
 _rng = np.random.default_rng(2)
 _MULTIPLY = (_rng.integers(1, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
-_words = WordHashes()
 
 
-def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+def shingle_hashes(text: str | None, size: int, hashes: WordHashes) -> np.ndarray:
     """The sorted distinct hashes of the runs of ``size`` lower-cased words; of all words if there are fewer."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    return np.unique(run_hashes(_words.of(words), min(size, len(words))))
+    return np.unique(run_hashes(hashes.of(words), min(size, len(words))))
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -77,11 +76,12 @@ def least_matches(threshold: float, miss: float = MISS) -> tuple[int, ...]:
 
 def _sketches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for big in batches:
             for batch in slices(big, "text"):
                 n, keys, signatures = [], [], []
                 for text in batch.column("text").to_pylist():
-                    h = shingle_hashes(text, size)
+                    h = shingle_hashes(text, size, hashes)
                     n.append(len(h))
                     # two sums over mixed hashes name the set, whatever its order
                     keys.append((int(mixed(h).sum(dtype=np.uint64).view(np.int64)), int(mixed(h ^ np.uint64(77)).sum(dtype=np.uint64).view(np.int64))) if len(h) else (0, 0))
@@ -97,9 +97,10 @@ def _sketches(size: int):
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for big in batches:
             for batch in slices(big, "text"):
-                sets = [shingle_hashes(x, size).tobytes() for x in batch.column("text").to_pylist()]
+                sets = [shingle_hashes(x, size, hashes).tobytes() for x in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "value"])
 
     return run
@@ -201,7 +202,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> D
     in one component if links reach from one to the other; otherwise each is in its own, and both components may have that id. An
     empty table yields no rows.
     """
-    found = _placed(with_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "texts"), threshold, size)
+    scratch = Scratch()
+    texts = scratch.written(docs.select(F.monotonically_increasing_id().alias(ROW), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "texts")
+    found = _placed(texts, threshold, size)
+    scratch.close()
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & F.col("leads"))
     return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
@@ -212,20 +216,21 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataF
     Rows with null ids and rows that repeat an id are rows like all others: copies go, others stay.
     """
     rows = with_rows(docs, "rows")
-    texts = rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(_placed(texts, threshold, size).where("leads").select(ROW), ROW).select(*docs.columns)
+    texts = rows.select(ROW, F.col(f"{WHOLE}.doc_id").cast("long").alias("doc_id"), F.col(f"{WHOLE}.text").cast("string").alias("text"))
+    # a row for each component: never broadcast, at no size
+    return rows.join(_placed(texts, threshold, size).where("leads").select(ROW).hint("merge"), ROW).select(f"{WHOLE}.*")
 
 
 def _placed(texts: DataFrame, threshold: float, size: int) -> DataFrame:
     """(ROW, doc_id, n_shingles, component_id, leads) of each row of ``texts`` (ROW, doc_id, text); ``leads`` marks one row of each component."""
-    columns = [ROW, "doc_id", "text"]
-    sketch = written(texts.select(*columns).mapInArrow(_sketches(size), f"{ROW} long, doc_id long, n_shingles long, s1 long, s2 long, sig binary"), "sketch")
+    columns, scratch = [ROW, "doc_id", "text"], Scratch()
+    sketch = scratch.written(texts.select(*columns).mapInArrow(_sketches(size), f"{ROW} long, doc_id long, n_shingles long, s1 long, s2 long, sig binary"), "sketch")
     full = sketch.where("n_shingles > 0")
     # copies: one class for each distinct set; a class of very many copies is counted by partial sums only
     lead = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc"), F.col(ROW).alias("row"))
-    classes = written(full.groupBy("s1", "s2", "n_shingles").agg(F.min(ROW).alias("id"), F.min(lead).alias("lead")), "classes")
-    reps = written(full.join(classes.select("id"), full[ROW] == F.col("id")).select("id", F.col("n_shingles").alias("n"), "sig"), "signatures")
-    links = _links(texts, reps, threshold, size)
+    classes = scratch.written(full.groupBy("s1", "s2", "n_shingles").agg(F.min(ROW).alias("id"), F.min(lead).alias("lead")), "classes")
+    reps = scratch.written(full.join(classes.select("id"), full[ROW] == F.col("id")).select("id", F.col("n_shingles").alias("n"), "sig"), "signatures")
+    links = _links(texts, reps, threshold, size, scratch)
     if links is not None:
         linked = links.join(classes.select("id", "lead"), "id")
         first = links.join(linked.groupBy("component").agg(F.min("lead").alias("first")), "component").select("id", "first")
@@ -234,7 +239,9 @@ def _placed(texts: DataFrame, threshold: float, size: int) -> DataFrame:
     labelled = full.drop("sig").join(classes.select(*keys, "lead"), keys)
     labelled = labelled.select(ROW, "doc_id", "n_shingles", F.col("lead.doc").alias("component_id"), (F.col(ROW) == F.col("lead.row")).alias("leads"))
     empty = sketch.where("n_shingles = 0").select(ROW, "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("leads"))
-    return labelled.union(empty)
+    found = written(labelled.union(empty), "placed")
+    scratch.close()
+    return found
 
 
 def _in_reach(most, hundredths: int):
@@ -250,7 +257,7 @@ def _across(rows: DataFrame, key: str, condition=None) -> DataFrame:
     return left.join(right, on if condition is None else on & condition)
 
 
-def _across_large(rows: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
+def _across_large(rows: DataFrame, sets: DataFrame, hundredths: int, scratch: Scratch) -> DataFrame:
     """(a, b, m): the pairs of large buckets that can reach the threshold; no other pair of them can.
 
     A shingle is rare if at most ``RARE`` of these classes have it. A pair's intersection has at most the common shingles of the side
@@ -260,10 +267,10 @@ def _across_large(rows: DataFrame, sets: DataFrame, hundredths: int) -> DataFram
     placed = rows.select("id", "n", "component").distinct()
     shingles = sets.join(placed.select("id"), "id").select("id", "value").mapInArrow(_exploded, "id long, shingle long")
     rare = shingles.groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
-    rare = written(shingles.join(rare, "shingle"), "rare")
+    rare = scratch.written(shingles.join(rare, "shingle"), "rare")
     counts = rare.groupBy("id").agg(F.count("*").alias("rare"))
     common = F.col("n") - F.coalesce("rare", F.lit(0))
-    placed = written(placed.join(counts, "id", "left").withColumns({"common": common, "m": F.lit(RARE).cast("long")}), "common")
+    placed = scratch.written(placed.join(counts, "id", "left").withColumns({"common": common, "m": F.lit(RARE).cast("long")}), "common")
     fewer = F.least("common_a", "common_b")
     sizes = ["id_a", "id_b", "n_a", "n_b", "common_a", "common_b"]
     shared = _across(rare.where("df > 1").join(placed, "id"), "shingle").groupBy(*sizes).agg(F.count("*").alias("shared"))
@@ -273,43 +280,43 @@ def _across_large(rows: DataFrame, sets: DataFrame, hundredths: int) -> DataFram
     return shared.select("id_a", "id_b", F.lit(RARE).cast("long")).union(alike.select("id_a", "id_b", "m_a")).toDF("a", "b", "m")
 
 
-def _links(texts: DataFrame, reps: DataFrame, threshold: float, size: int) -> DataFrame | None:
+def _links(texts: DataFrame, reps: DataFrame, threshold: float, size: int, scratch: Scratch) -> DataFrame | None:
     """(id, component) of the classes that are linked with another one; None if there are none."""
     width, hundredths = 4 * ROWS, round(100 * threshold)
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", k * width + 1, width)) for k in range(BANDS)])
     rows = reps.select("id", "n", F.explode(bands).alias("bucket"))
     lead = F.min(F.struct("id", "n"))
-    shared = written(rows.groupBy("bucket").agg(F.count("*").alias("m"), lead["id"].alias("lead"), lead["n"].alias("lead_n")).where("m > 1"), "buckets")
-    buckets = written(rows.join(shared, "bucket"), "banded")
-    discard(shared)
+    shared = scratch.written(rows.groupBy("bucket").agg(F.count("*").alias("m"), lead["id"].alias("lead"), lead["n"].alias("lead_n")).where("m > 1"), "buckets")
+    buckets = scratch.written(rows.join(shared, "bucket"), "banded")
     if is_empty(buckets):
         return None
     involved = buckets.select("id").distinct()
-    sets = written(
+    sets = scratch.written(
         texts.join(involved, texts[ROW] == involved["id"]).select("id", "text").mapInArrow(_sets(size), "id long, value binary"), "sets"
     ).join(reps.select("id", "n"), "id")
     signatures = reps.join(involved, "id").select("id", "n", F.col("sig").alias("value"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        probable = written(_beside(pairs, signatures).mapInArrow(_probable(threshold), f"{PAIR}, chunk long"), "probable")
-        return written(_beside(probable, sets.select("id", "n", "value")).mapInArrow(_verified(threshold), PAIR), "links")
+        probable = scratch.written(_beside(pairs, signatures).mapInArrow(_probable(threshold), f"{PAIR}, chunk long"), "probable")
+        return scratch.written(_beside(probable, sets.select("id", "n", "value")).mapInArrow(_verified(threshold), PAIR), "links")
 
     # First, each bucket's members against its least id and against their neighbours by size, in parts of about PART members.
-    part = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), (F.col("m") / PART).cast("int")))
+    # The number of parts is a power of two, so that buckets of like size part their members alike and the same neighbours meet in all of them.
+    part = F.pmod(F.xxhash64("id"), F.pow(F.lit(2), F.floor(F.log2(F.greatest(F.lit(1), F.col("m") / PART)))).cast("int"))
     beside = Window.partitionBy("bucket", part).orderBy("n", "id")
     one = F.lit(1).cast("long").alias("m")
     near = buckets.select(F.lag("id").over(beside).alias("a"), F.col("id").alias("b"), F.lag("n").over(beside).alias("n_a"), "n", one)
     near = near.where(F.col("a").isNotNull() & _sizes_fit("n_a", "n", hundredths)).select("a", "b", "m")
     star = buckets.where((F.col("id") != F.col("lead")) & _sizes_fit("lead_n", "n", hundredths)).select(F.col("lead").alias("a"), F.col("id").alias("b"), "m")
-    tried = written(_chunked(star.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "m")), "tried")
+    tried = scratch.written(_chunked(star.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "m")), "tried")
     links = verify(tried)
     # Then, in buckets that still hold several components, the pairs across components.
-    labels = written(component_labels(links), "labels")
+    labels = scratch.written(component_labels(links), "labels")
     placed = buckets.join(labels, "id", "left").select("bucket", "m", "id", "n", F.coalesce("component", "id").alias("component"))
     several = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-    undecided = written(placed.join(several, "bucket"), "undecided")
+    undecided = scratch.written(placed.join(several, "bucket"), "undecided")
     small = undecided.where(F.col("m") <= SMALL).withColumn("common", F.col("n"))
     small = _across(small, "bucket", _sizes_fit("n_a", "n_b", hundredths)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("m_a").alias("m"))
-    across = _chunked(small.union(_across_large(undecided.where(F.col("m") > SMALL), sets, hundredths))).join(tried, ["a", "b"], "left_anti")
-    more = verify(written(across, "across"))
-    return written(component_labels(links.union(more)), "labels")
+    across = _chunked(small.union(_across_large(undecided.where(F.col("m") > SMALL), sets, hundredths, scratch))).join(tried, ["a", "b"], "left_anti")
+    more = verify(scratch.written(across, "across"))
+    return scratch.written(component_labels(links.union(more)), "labels")

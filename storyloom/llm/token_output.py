@@ -26,8 +26,12 @@ from storyloom.llm._spark import fresh_path
 BLOCK_IDS = 1 << 20
 #: One select sample for so many documents.
 SAMPLE = 64
-#: Words whose ids a worker remembers; beyond it, the memory is emptied.
-REMEMBERED = 600_000
+#: Values whose low bits are packed at once, a multiple of 8.
+RUN = 1 << 12
+#: Words whose ids a worker remembers, about 40 MB; beyond it, the memory is emptied.
+REMEMBERED = 200_000
+#: Text that is encoded at once.
+SLICE = 2 << 20
 END_ID = 1
 
 BLOCK_SCHEMA = (
@@ -59,23 +63,33 @@ class EliasFano:
         places = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         bits = np.zeros(int(places[-1]) + 1, dtype=np.uint8)
         bits[places] = 1
-        shifts = np.arange(low_bits, dtype=np.uint64)
-        low = ((values[:, None] >> shifts[None, :]) & np.uint64(1)).astype(np.uint8).ravel()
         return cls(
             low_bits,
-            np.packbits(low, bitorder="little").tobytes(),
+            cls._packed(values, low_bits),
             np.packbits(bits, bitorder="little").tobytes(),
             places[::SAMPLE].astype("<u4").tobytes(),
             n,
         )
 
+    @staticmethod
+    def _packed(values: np.ndarray, low_bits: int) -> bytes:
+        """The low bits of all values, one after the other. Runs of ``RUN`` values end at whole bytes, so they are packed run by run."""
+        shifts, out = np.arange(low_bits, dtype=np.uint64), []
+        for at in range(0, len(values) if low_bits else 0, RUN):
+            bits = (values[at : at + RUN, None] >> shifts[None, :]).astype(np.uint8) & 1
+            out.append(np.packbits(bits.ravel(), bitorder="little").tobytes())
+        return b"".join(out)
+
     def _low(self, first: int, count: int) -> np.ndarray:
-        if not self.low_bits:
-            return np.zeros(count, dtype=np.int64)
-        start, stop = first * self.low_bits, (first + count) * self.low_bits
-        packed = np.frombuffer(self.low, dtype=np.uint8)[start // 8 : (stop + 7) // 8]
-        bits = np.unpackbits(packed, bitorder="little")[start % 8 :][: stop - start].reshape(count, self.low_bits)
-        return bits.astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64))
+        out = np.zeros(count, dtype=np.int64)
+        weights = np.int64(1) << np.arange(self.low_bits, dtype=np.int64)
+        for at in range(0, count if self.low_bits else 0, RUN):
+            many = min(RUN, count - at)
+            start, stop = (first + at) * self.low_bits, (first + at + many) * self.low_bits
+            packed = np.frombuffer(self.low, dtype=np.uint8)[start // 8 : (stop + 7) // 8]
+            bits = np.unpackbits(packed, bitorder="little")[start % 8 :][: stop - start].reshape(many, self.low_bits)
+            out[at : at + many] = bits @ weights
+        return out
 
     def select(self, i: int) -> int:
         """The i-th value, without decoding the others."""
@@ -221,7 +235,7 @@ def _blocks(path: str, by_word: bool, end_id: int, block_ids: int):
         ends: list[int] = []
         kept: list[bytes] = []
         for big in batches:
-            for batch in slices(big, "text"):
+            for batch in slices(big, "text", SLICE):
                 texts = [x or "" for x in batch.column("text").to_pylist()]
                 for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts)):
                     size = len(ids) // width + 1
