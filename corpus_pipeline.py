@@ -9,16 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.llm import decontaminate, language_id, mixing, near_dedup, token_output
-from storyloom.llm._spark import fresh_path
+from storyloom.llm._spark import WHOLE, discard, fresh_path, whole
 from storyloom.llm.queries import table, tokenizer_path
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; those without letters or text go."""
-    names = docs.columns
+    """Documents whose language is identified, each row as it is.
+
+    Rejected is what the network has nothing to go by: null, empty and letterless texts, which ``predict`` calls undetermined. Every text with letters gets a
+    language of the network, so no clean text goes. Where no row has a language to learn from, there is no network, and texts with letters stay.
+    """
     model = language_id.fit(docs)
-    found = language_id.predict(docs, model, keys=tuple(names))
-    return found.where(F.col("lang_pred") != language_id.UNDETERMINED).select(*names)
+    if model is None:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    found = language_id.predict(docs.select("text", whole(docs)), model, keys=(WHOLE,))
+    return found.where(F.col("lang_pred") != language_id.UNDETERMINED).select(f"{WHOLE}.*")
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +60,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``; each result is written as Parquet and read again as the next one's input."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         path = fresh_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
