@@ -229,7 +229,8 @@ def _placed(texts: DataFrame, threshold: float, size: int) -> DataFrame:
     # copies: one class for each distinct set; a class of very many copies is counted by partial sums only
     lead = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc"), F.col(ROW).alias("row"))
     classes = scratch.written(full.groupBy("s1", "s2", "n_shingles").agg(F.min(ROW).alias("id"), F.min(lead).alias("lead")), "classes")
-    reps = scratch.written(full.join(classes.select("id"), full[ROW] == F.col("id")).select("id", F.col("n_shingles").alias("n"), "sig"), "signatures")
+    # here and below, ids of many documents are merged at every size, so that small inputs run as large ones do
+    reps = scratch.written(full.join(classes.select("id").hint("merge"), full[ROW] == F.col("id")).select("id", F.col("n_shingles").alias("n"), "sig"), "signatures")
     links = _links(texts, reps, threshold, size, scratch)
     if links is not None:
         linked = links.join(classes.select("id", "lead"), "id")
@@ -292,7 +293,7 @@ def _links(texts: DataFrame, reps: DataFrame, threshold: float, size: int, scrat
         return None
     involved = buckets.select("id").distinct()
     sets = scratch.written(
-        texts.join(involved, texts[ROW] == involved["id"]).select("id", "text").mapInArrow(_sets(size), "id long, value binary"), "sets"
+        texts.join(involved.hint("merge"), texts[ROW] == involved["id"]).select("id", "text").mapInArrow(_sets(size), "id long, value binary"), "sets"
     ).join(reps.select("id", "n"), "id")
     signatures = reps.join(involved, "id").select("id", "n", F.col("sig").alias("value"))
 
