@@ -8,7 +8,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import audio, chat_format, decontaminate, language_id, mixing, near_dedup, quality, sharding, substring_dedup, token_output
+from storyloom.llm import audio, chat_format, decontaminate, hard_negatives, language_id, mixing, near_dedup, nearest, quality, sharding, substring_dedup, token_output, whitening
 from storyloom.llm._spark import fresh_path
 from storyloom.llm.oracles import SQL
 
@@ -81,6 +81,21 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest.nearest_neighbours(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(moved, F.col("vec_id") % 100 == 0, positives=5, k=10, low=30, high=90)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
@@ -96,4 +111,7 @@ QUERIES = {
     "op8_token_ids": token_ids,
     "op9_substring_dedup": incremental_substring_dedup,
     "op10_source_mixing": source_mixing,
+    "op11_embedding_whitening": embedding_whitening,
+    "op12_nearest_neighbours": nearest_neighbours,
+    "op13_hard_negatives": hard_negative_mining,
 }
