@@ -35,7 +35,7 @@ SLICE = 2 << 20
 END_ID = 1
 
 BLOCK_SCHEMA = (
-    "part int, block int, part_start long, n_docs long, n_ids long, first_doc long, id_bytes int, ids binary, "
+    "part int, block int, part_start long, n_docs long, n_ids long, n_unnamed long, first_doc long, id_bytes int, ids binary, "
     "end_low_bits int, end_low binary, end_high binary, end_samples binary, "
     "doc_low_bits int, doc_low binary, doc_high binary, doc_samples binary"
 )
@@ -92,19 +92,26 @@ class EliasFano:
         return out
 
     def select(self, i: int) -> int:
-        """The i-th value, without decoding the others."""
+        """The i-th value, without decoding the others: from the sample before it, bytes are skipped by the number of their set bits."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        place = int(np.frombuffer(self.samples, dtype="<u4")[i // SAMPLE])
-        bits = np.frombuffer(self.high, dtype=np.uint8)
+        place = int.from_bytes(self.samples[i // SAMPLE * 4 : i // SAMPLE * 4 + 4], "little")
         left, byte = i % SAMPLE, place // 8
-        ones = np.flatnonzero(np.unpackbits(bits[byte : byte + 1], bitorder="little")) + 8 * byte
-        ones = ones[ones >= place]
-        while len(ones) <= left:
-            left -= len(ones)
+        bits = self.high[byte] >> place % 8 << place % 8
+        while (ones := bits.bit_count()) <= left:
+            left -= ones
             byte += 1
-            ones = np.flatnonzero(np.unpackbits(bits[byte : byte + 1], bitorder="little")) + 8 * byte
-        return (int(ones[left]) - i << self.low_bits) | int(self._low(i, 1)[0])
+            bits = self.high[byte]
+        for _ in range(left):
+            bits &= bits - 1
+        high = 8 * byte + (bits & -bits).bit_length() - 1 - i
+        first = i * self.low_bits
+        low = int.from_bytes(self.low[first // 8 : (first + self.low_bits + 7) // 8], "little") >> first % 8 & (1 << self.low_bits) - 1
+        return high << self.low_bits | low
+
+    def range(self, i: int) -> tuple[int, int]:
+        """Where document i begins and ends, if the values are the documents' ends."""
+        return (self.select(i - 1) if i else 0), self.select(i)
 
     def decode(self) -> np.ndarray:
         if not self.n:
@@ -213,11 +220,12 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
 
 def _blocks(path: str, by_word: bool, end_id: int, block_ids: int):
     def block(part: int, number: int, start: int, docs: list[int], ends: list[int], ids: list[bytes], width: int) -> dict:
-        first = docs[0]
+        named = [x for x in docs if x is not None]  # null ids come last
+        first = named[0] if named else 0
         end = EliasFano.encode(np.array(ends))
-        doc = EliasFano.encode(np.array(docs, dtype=object) - first)
+        doc = EliasFano.encode(np.array(named, dtype=object) - first)
         return {
-            "part": part, "block": number, "part_start": start, "n_docs": len(docs), "n_ids": ends[-1], "first_doc": first,
+            "part": part, "block": number, "part_start": start, "n_docs": len(docs), "n_ids": ends[-1], "n_unnamed": len(docs) - len(named), "first_doc": first,
             "id_bytes": width, "ids": b"".join(ids),
             "end_low_bits": end.low_bits, "end_low": end.low, "end_high": end.high, "end_samples": end.samples,
             "doc_low_bits": doc.low_bits, "doc_low": doc.low, "doc_high": doc.high, "doc_samples": doc.samples,
@@ -256,35 +264,49 @@ def write_tokens(
 ) -> None:
     """Writes ``docs`` (doc_id, text; other columns are ignored) in ascending doc_id order in the block format to ``to``.
 
-    A null text counts as empty and yields the end id alone. A null doc_id is an error. Rows that repeat a
-    doc_id are all written, next to each other. An empty table writes a dataset without blocks. One range
+    A null text counts as empty and yields the end id alone. Rows without a doc_id come last; they keep their null. Rows that repeat a
+    doc_id, or have none, are all written, next to each other, and ranges split them by a hash of their texts. An empty table writes a dataset without blocks. One range
     shuffle puts documents in order; the ids are made behind it, so that no step encodes a text twice.
     """
     spark = docs.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     (
-        docs.select(F.coalesce("doc_id", F.raise_error(F.lit("doc_id is null"))).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .repartitionByRange(parts, "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        .repartitionByRange(parts, F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
         .mapInArrow(_blocks(tokenizer, by_word, end_id, block_ids), BLOCK_SCHEMA)
         .write.option("compression", "none")
         .parquet(to)
     )
 
 
+class Block:
+    """One block of a dataset as it is read: documents by number, each found by ``select`` alone."""
+
+    def __init__(self, row: dict):
+        self.n, self.n_named, self.first_doc = row["n_docs"], row["n_docs"] - row["n_unnamed"], row["first_doc"]
+        self.ends = EliasFano(row["end_low_bits"], row["end_low"], row["end_high"], row["end_samples"], self.n)
+        self.docs = EliasFano(row["doc_low_bits"], row["doc_low"], row["doc_high"], row["doc_samples"], self.n_named)
+        self.ids = np.frombuffer(row["ids"], dtype=f"<u{row['id_bytes']}")
+
+    def doc_id(self, i: int) -> int | None:
+        return self.docs.select(i) + self.first_doc if i < self.n_named else None
+
+    def tokens(self, i: int) -> np.ndarray:
+        start, end = self.ends.range(i)
+        return self.ids[start:end]
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for x in batch.to_pylist():
-            n = x["n_docs"]
-            ends = EliasFano(x["end_low_bits"], x["end_low"], x["end_high"], x["end_samples"], n).decode()
-            doc = EliasFano(x["doc_low_bits"], x["doc_low"], x["doc_high"], x["doc_samples"], n).decode() + x["first_doc"]
-            ids = np.frombuffer(x["ids"], dtype=f"<u{x['id_bytes']}").astype("<u4")
-            starts = np.concatenate(([0], ends[:-1]))
-            crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(starts + x["base"], pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())],
-                ["doc_id", "start", "n_tokens", "ids_crc32"],
-            )
+            block, start, out = Block(x), 0, ([], [], [], [])
+            for i in range(block.n):
+                end = block.ends.select(i)
+                for cells, value in zip(out, (block.doc_id(i), x["base"] + start, end - start, zlib.crc32(block.ids[start:end].astype("<u4")))):
+                    cells.append(value)
+                start = end
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
