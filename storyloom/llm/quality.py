@@ -183,20 +183,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     """Learns from labelled rows outside the held-out quarter; without any, all scores are one half.
 
     About ``sample_rows`` of them are drawn by a hash of their ids. Their ids and labels are broadcast: two numbers for each of
-    at most ``2 * sample_rows`` rows. Labels that are null, or neither 0 nor 1, are left out; of a document with several
-    labels, the largest counts.
+    at most ``2 * sample_rows`` rows, and one text of each comes back as statistics. Labels that are null, or neither 0 nor 1, are left out; of a document with several
+    labels, the largest counts, and of several texts of one id, the one of the least hash.
     """
-    known = labels.where(~held_out() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("_quality"))
+    known = labels.where(~held_out() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = known.count()
     if not n:
         return Model(0.0, [])
-    drawn = known.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < min(1 << 30, int(sample_rows / n * (1 << 30)) + 1))
-    drawn = drawn.limit(2 * sample_rows)
-    rows = with_statistics(docs.join(F.broadcast(drawn), "doc_id"), ("doc_id", "_quality")).collect()
+    order = F.xxhash64(F.lit("sample"), "doc_id")
+    drawn = known.where(F.pmod(order, F.lit(1 << 30)) < min(1 << 30, int(sample_rows / n * (1 << 30)) + 1))
+    drawn = drawn.orderBy(F.pmod(order, F.lit(1 << 30)), "doc_id").limit(2 * sample_rows)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = with_statistics(texts, ("doc_id", "quality")).collect()
     rows = sorted(rows, key=lambda r: r["doc_id"])
     if not rows:
         return Model(0.0, [])
-    return train(np.array([[r[s] for s in STATS] for r in rows]), np.array([float(r["_quality"]) for r in rows]))
+    return train(np.array([[r[s] for s in STATS] for r in rows]), np.array([float(r["quality"]) for r in rows]))
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
