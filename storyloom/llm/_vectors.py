@@ -15,9 +15,9 @@ def finite(vector: str) -> Column:
 
 
 def usual_length(rows: DataFrame, vector: str) -> int:
-    """The length that most vectors have, the longer one of equally frequent ones; 0 if no vector has a component."""
+    """The length that most vectors have, the longer one of equally frequent ones; -1, which none has, if no vector has a component."""
     lengths = rows.where(F.size(vector) > 0).groupBy(F.size(vector).alias("d")).agg(F.count("*").alias("n"))
-    return lengths.agg(F.max_by("d", F.struct("n", "d"))).first()[0] or 0
+    return lengths.agg(F.max_by("d", F.struct("n", "d"))).first()[0] or -1
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dtype=None) -> np.ndarray:

@@ -243,6 +243,16 @@ def test_rules_as_columns_equal_rules_in_numpy(docs):
         assert r["score"] == pytest.approx(1 / (1 + np.exp(-total)))
 
 
+def test_labels_with_clashing_names_and_texts(spark, small):
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    odd = docs.withColumns({"_quality": F.lit(1), "quality": F.lit("q"), "log_bytes": F.lit(0)})
+    want = quality.fit(docs, labels)
+    assert quality.fit(odd.union(odd), labels.union(labels)) == want and want.rules
+    # of several texts of one id one counts, so a repeated id adds no rows
+    more = docs.unionByName(docs.where("doc_id < 20").withColumn("text", F.concat("text", F.lit(" more"))))
+    assert quality.fit(more.union(more), labels) == quality.fit(more, labels)
+
+
 def test_quality_without_labels(spark, docs, nothing):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     model = quality.fit(docs, labels)
@@ -423,11 +433,22 @@ def test_tokens_match_whole_texts(spark, docs, rows, nothing):
     assert [r["doc_id"] for r in twice] == sorted(2 * [r[0] for r in rows])
 
 
+def test_tokens_of_rows_without_id(spark):
+    rows = [(None, "x y"), (3, "b"), (None, None), (3, "a"), (-1, "c"), (None, "x y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("base", F.lit(1))
+    out = token_output.token_output(df, queries.tokenizer_path(), block_ids=3).orderBy("start").collect()
+    assert [r["doc_id"] for r in out] == [-1, 3, 3, None, None, None]
+    assert [r["start"] for r in out] == np.cumsum([0, *[r["n_tokens"] for r in out[:-1]]]).tolist() and sorted(r["n_tokens"] for r in out) == [1, 2, 2, 2, 3, 3]
+    none = token_output.token_output(df.where("doc_id IS NULL"), queries.tokenizer_path()).collect()
+    assert [r["doc_id"] for r in none] == [None] * 3
+
+
 @pytest.mark.parametrize("values", [[], [0], [5], [0, 0, 0], list(range(1000)), [10**12], sorted(np.random.default_rng(0).integers(0, 10**9, 700).tolist())])
 def test_elias_fano(values):
     coded = token_output.EliasFano.encode(np.array(values, dtype=np.uint64))
     assert coded.decode().tolist() == values
     assert [coded.select(i) for i in range(len(values))] == values
+    assert [coded.range(i) for i in range(len(values))] == list(zip([0, *values], values))
     with pytest.raises(IndexError):
         coded.select(len(values))
 

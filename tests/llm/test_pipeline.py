@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from storyloom.llm import queries
+from storyloom.llm._spark import placed_rows
 from tests.llm import brute
 
 CLASHING = ("_row", "_whole", "score", "lang_pred", "n_words", "hits", "items", "copies", "_copy", "size", "a b")
@@ -34,13 +35,28 @@ def test_stages_on_odd_rows(spark, small):
     # null, empty and letterless texts go; then one copy of text(2) and one of text(4)
     assert counts[:3] == [26, 24, 24] and counts[3] >= 24
     assert {r["doc_id"] for r in now.where("doc_id IS NULL").collect()} == {None}
+    tokens = corpus_pipeline.STAGES[-1][1](spark, now, small).orderBy("start").collect()
+    assert sorted(map(str, (r["doc_id"] for r in tokens))) == sorted(map(str, (r["doc_id"] for r in now.collect())))
+    assert [r["start"] for r in tokens] == [0, *np.cumsum([r["n_tokens"] for r in tokens])[:-1].tolist()] and tokens[-1]["doc_id"] is None
     empty = docs.where("false")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, small).count() == 0
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert corpus_pipeline.keep_identified(spark, unlabelled, small).count() == 26
 
 
+def test_rows_of_files_are_not_copied(spark, small):
+    """A scan is numbered by place, alike in each pass; what is computed is written first."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = placed_rows(docs, "rows")
+    assert rows.inputFiles() == docs.inputFiles()
+    one = {r["_row"]: r["_whole"]["doc_id"] for r in rows.collect()}
+    two = {r["_row"]: r["d"] for r in rows.select("_row", F.col("_whole.doc_id").alias("d")).collect()}
+    assert one == two and len(one) == docs.count()
+    made = placed_rows(docs.withColumn("x", F.rand()), "rows")
+    assert made.inputFiles() != docs.inputFiles() and made.count() == docs.count()
+
+
 def test_pipeline_result_matches_a_plain_version(spark, small):
     from tokenizers import Tokenizer
 
