@@ -58,7 +58,7 @@ def candidate_entities(mentions: DataFrame, default: str = "tech", least: int =
 def salience(headline: Column, body: Column, name: Column) -> Column:
     """How much a text is about a name: 0.5 for the headline, 0.3 for the first sentence, up to 0.2 for frequency and being the subject; 0 without its anchors."""
     whole = F.trim(F.concat_ws(" ", headline, body))
-    lead = F.coalesce(F.get(F.filter(F.transform(F.split(body, r"(?<=[.!?])\s+|\n+"), F.trim), lambda s: s != ""), 0), F.lit(""))
+    lead = F.coalesce(F.get(F.filter(F.transform(F.split(body, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != ""), 0), F.lit(""))
     n = cleaning.occurrences(whole, name)
     often = F.when(n >= 3, 0.10).when(n == 2, 0.07).when(n >= 1, 0.04).otherwise(0.0)
     opens = lambda t: cleaning.occurrences(F.array_join(F.slice(F.split(F.trim(t), r"\s+"), 1, 3), " "), name) > 0
@@ -67,17 +67,57 @@ def salience(headline: Column, body: Column, name: Column) -> Column:
     return F.when(cleaning.anchored(whole, name), scoring.rounded(F.least(F.lit(1.0), score), 2)).otherwise(0.0)
 
 
+# The forms in which facts are told.
+AMOUNT = r"([\d,]+(?:\.\d+)?)"
+BUDGET = rf"(?i)(?:\b(?:rs\.?|inr)\s*{AMOUNT}\s*cr(?:ore)?s?\b)|(?:\b₹\s*{AMOUNT}\s*(?:cr(?:ore)?s?)?\b)|(?:\b{AMOUNT}\s*cr(?:ore)?s?\b)"
+THINGS = r"(?i)\b(\d+)\s+(?:[a-zA-Z0-9_-]+\s+){0,4}(units|aircraft|fighter jets?|jets?|helicopters?|submarines?|tanks?|regiments?|batteries|systems?|missiles?|launchers?|engines?|radars?|guns?|vessels?|corvettes?|frigates?)\b"
+YEAR, LATER = "202[5-9]|203[0-9]|2040", "202[6-9]|203[0-9]|2040"
+BY_YEAR = rf"(?i)(?:by|in|target(?:ed)? for|delivery by|completion by)\s*({YEAR})(?:[-–]({LATER}))?"
+YEARS = rf"\b({YEAR})[-–]({LATER})\b"
+SHARES = (r"(?i)(\d{1,3})%\s*(?:indigenous|ic\b|local content)", r"(?i)(?:indigenous content of|ic of)\s*(\d{1,3})%")
+MILESTONE_BUDGET = rf"(?i)(?:₹|rs\.?|inr)?\s*{AMOUNT}\s*(?:cr|crore|crores)\b"
+MILESTONE_SHARE = r"(?i)(\d{1,3})%\s*(?:indigenous|iddm|indigenisation|local content)\b"
+MILESTONE_TIME = r"(?i)\b(?:by|in|from|target(?:ed)?(?:\s+(?:for|in|by))?|delivery:?|scheduled\s+(?:for|to\s+commence\s+by|by)?)\s*([A-Za-z]+\s+\d{4}|\d{4}-\d{2,4}|FY\s*\d{2,4}|\d{4})\b"
+TELLING = r"(?i)deal|approv|sanction|sign|induct|trial|clears|procure"
+
+
+def _number(text: Column) -> Column:
+    return F.regexp_replace(text, ",", "").try_cast("double")
+
+
+def _some(text: Column) -> Column:
+    return F.nullif(text, F.lit(""))
+
+
 def metrics(text: Column) -> dict[str, Column]:
-    """Facts of a text: budget in crore, quantity, year of delivery and share of local content; null for what it does not say."""
-    number = lambda s: F.regexp_replace(s, ",", "").try_cast("double")
-    some = lambda s: F.nullif(s, F.lit(""))
-    # The forms in which facts are told.
-    budget = number(some(F.regexp_extract(text, r"(?i)(?:(?:rs\.?|inr|₹)\s*)?\b([\d,]+(?:\.\d+)?)\s*(?:cr(?:ore)?s?)\b", 1)))
-    things = r"(?i)\b(\d+)\s+(?:[a-zA-Z0-9_-]+\s+){0,4}(units|aircraft|fighter jets?|jets?|helicopters?|submarines?|tanks?|regiments?|batteries|systems?|missiles?|launchers?|engines?|radars?|guns?|vessels?|corvettes?|frigates?)\b"
-    quantity = F.when(text.rlike(things), F.concat_ws(" ", F.regexp_extract(text, things, 1), F.lower(F.regexp_extract(text, things, 2))))
-    year = r"(?i)(?:by|in|target(?:ed)? for|delivery by|completion by)\s*(202[5-9]|203[0-9]|2040)"
-    share = some(F.regexp_extract(text, r"(?i)(\d{1,3})%\s*(?:indigenous|iddm|indigenisation|local content)", 1)).try_cast("int")
-    return {"budget": F.when(budget > 0, budget), "quantity": quantity, "timeline": some(F.regexp_extract(text, year, 1)).try_cast("int"), "share": F.when(share <= 100, share)}
+    """Facts of a text: budget in crore, quantity, year or years of delivery and share of local content; null for what it does not say.
+
+    Of amounts the first counts, in rupees with or without crore, or in crore alone; a range of years stands as it is told.
+    """
+    amount = F.coalesce(*[_some(F.regexp_extract(text, BUDGET, k)) for k in (1, 2, 3)])
+    budget = _number(amount)
+    quantity = F.when(text.rlike(THINGS), F.concat_ws(" ", F.regexp_extract(text, THINGS, 1), F.lower(F.regexp_extract(text, THINGS, 2))))
+    span = lambda pattern: F.when(text.rlike(pattern), F.concat_ws("-", F.regexp_extract(text, pattern, 1), _some(F.regexp_extract(text, pattern, 2))))
+    share = F.coalesce(*[_some(F.regexp_extract(text, p, 1)) for p in SHARES]).try_cast("int")
+    return {"budget": F.when(budget > 0, budget), "quantity": quantity, "timeline": F.coalesce(span(BY_YEAR), span(YEARS)), "share": F.when(share <= 100, share)}
+
+
+def milestone_facts(text: Column) -> dict[str, Column]:
+    """Facts of a milestone: budget in crore, when (a month and year, a year with another, a financial year, or a year) and the share of local content."""
+    share = _some(F.regexp_extract(text, MILESTONE_SHARE, 1)).try_cast("int")
+    return {"budget": _number(_some(F.regexp_extract(text, MILESTONE_BUDGET, 1))), "timeline": _some(F.trim(F.regexp_extract(text, MILESTONE_TIME, 1))), "share": F.when(share <= 100, share)}
+
+
+def telling_sentence(title: Column, snippet: Column) -> Column:
+    """The first sentence that tells of a step, else the first one, of more than 20 characters; the whole text if there is none."""
+    combined = F.trim(F.concat(F.coalesce(title, F.lit("")), F.lit(". "), F.coalesce(snippet, F.lit(""))))
+    sentences = F.filter(F.transform(F.split(combined, r"(?<=[.?!])\s+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: F.length(s) > 20)
+    return F.coalesce(F.get(F.filter(sentences, lambda s: s.rlike(TELLING)), F.lit(0)), F.get(sentences, F.lit(0)), combined)
+
+
+def verbatim_quote(title: Column, snippet: Column, source: Column) -> Column:
+    """The telling sentence in quotation marks with its source, on one line, cut at 240 characters as snippets are."""
+    return F.concat(F.lit('"'), cleaning.cut(F.regexp_replace(telling_sentence(title, snippet), r"[\r\n\t]+", " "), 240), F.lit('" — '), source)
 
 
 def mining_confidence(official: Column, budget: Column, quantity: Column, timeline: Column, named: Column, related: Column) -> Column:

@@ -100,7 +100,7 @@ def milestones_merged(rows: DataFrame, key: str, days: int = 30, shared: int = 2
     smaller tier, else of the kept one) and fills gaps from both; ``merged`` counts its members, ``from_id`` is the kept one's id. An entity's state has one entry for each milestone that is left.
     """
     names = ["id", key, "day", "title", "url", "official", "tier", "budget", "timeline", "share", "status"]
-    schema = f"`{key}` {rows.schema[key].dataType.simpleString()}, from_id long, id long, day int, official boolean, budget double, timeline int, share double, status string, merged long"
+    schema = f"`{key}` {rows.schema[key].dataType.simpleString()}, from_id long, id long, day int, official boolean, budget double, timeline string, share double, status string, merged long"
 
     def merge(a: dict, b: dict) -> dict:
         canon = a if a["official"] else b if b["official"] else a if a["tier"] <= b["tier"] else b

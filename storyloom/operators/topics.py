@@ -6,7 +6,9 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from storyloom.sources.batches import slices
+
 #: Aliases that one registry may hold: it is sent to every worker, so it must stay small.
 MOST_ALIASES = 200_000
 # Marks that count as hyphens, confidences, and patterns of what stands around a mention.
@@ -78,33 +82,107 @@ def incidental(text: str, start: int) -> bool:
     return bool(INCIDENTAL.search(text[max(0, start - BEFORE) : start] + after))
 
 
-class Registry:
-    """Aliases by the first word they begin with, so that a text is only tried against those that can occur in it."""
+RUN = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*")
+PLAIN_RUN = regex.compile(r"[\p{L}\p{N}]+")
+GAP = re.compile(rf"[\s{HYPHENS[1:-1]}-]+")
+ACRONYM = re.compile("[A-Za-z]{2,4}")
+compiled = lru_cache(4096)(alias_pattern)
+
 
-    def __init__(self, rows: list[tuple]):
-        self.by_word: dict[str, list] = {}
-        self.short: list = []
-        for topic, alias, kind, terms in rows:
-            entry = (topic, kind, alias_pattern(alias), None if terms is None else [normal(t) for t in terms])
-            first = re.split(r"[^0-9a-z]", normal(alias), maxsplit=1)[0]
-            # acronyms may be spelt with stops, other alphabets have no word boundary here: they are tried always
-            by_word = first and normal(alias).isascii() and not re.fullmatch(r"[A-Za-z]{2,4}", alias)
-            (self.by_word.setdefault(first, []) if by_word else self.short).append(entry)
+def trie_arrays(rows: list[tuple]) -> dict:
+    """Aliases (topic, alias, topic_type, terms) as a trie over their normal words, in flat arrays that are sent as they are.
+
+    ``words`` are all words in one string, ``edge_key`` holds parent * len(words) + word in order and ``edge_to`` the child; ``end_of`` names the aliases of ``end_node``. Short acronyms are children of the root
+    of their own; aliases without letters and digits are ``loose``. Building takes one pass over the aliases; no pattern is compiled.
+    """
+    words: dict[str, int] = {}
+    edges: dict[tuple[int, int], int] = {}
+    ends: list[tuple[int, int]] = []
+    short: list[tuple[str, int]] = []
+    loose, exact = [], np.zeros(len(rows), bool)
+    for k, (_, alias, _, _) in enumerate(rows):
+        plain = normal(alias)
+        runs = PLAIN_RUN.findall(plain)
+        exact[k] = " ".join(runs) == plain
+        if ACRONYM.fullmatch(alias):
+            short.append((alias.lower(), k))
+        elif not runs:
+            loose.append(k)
+        else:
+            node = 0
+            for run in runs:
+                node = edges.setdefault((node, words.setdefault(run, len(words))), len(edges) + 1)
+            ends.append((node, k))
+    keys = np.array([a * max(1, len(words)) + w for a, w in edges], np.int64)
+    order = np.argsort(keys)
+    ends.sort()
+    return {
+        "words": "\n".join(words), "edge_key": keys[order], "edge_to": np.array(list(edges.values()), np.int32)[order], "end_node": np.array([n for n, _ in ends], np.int32), "end_of": np.array([k for _, k in ends], np.int32),
+        "short": short, "loose": loose, "exact": exact, "rows": [(t, a, kind, None if terms is None else [normal(x) for x in terms]) for t, a, kind, terms in rows],
+    }
+
+
+class AliasTrie:
+    """The trie of ``trie_arrays``, walked from each word of a text: a text is tried against no alias that its words do not spell."""
+
+    def __init__(self, arrays: dict):
+        self.rows, self.exact, self.loose = arrays["rows"], arrays["exact"], arrays["loose"]
+        words = arrays["words"].split("\n") if arrays["words"] else []
+        self.words, self.many = {w: k for k, w in enumerate(words)}, max(1, len(words))
+        self.edges = dict(zip(arrays["edge_key"].tolist(), arrays["edge_to"].tolist()))
+        self.ends: dict[int, list[int]] = {}
+        for node, k in zip(arrays["end_node"].tolist(), arrays["end_of"].tolist()):
+            self.ends.setdefault(node, []).append(k)
+        self.short: dict[str, list[int]] = {}
+        for word, k in arrays["short"]:
+            self.short.setdefault(word, []).append(k)
+
+    def places(self, body: str) -> Iterator[tuple[int, int, int]]:
+        """(alias, first, last) of what may be an alias in ``body``, by place; an alias never overlaps itself."""
+        runs = [m.span() for m in RUN.finditer(body)]
+        said = [body[a:b] if body.isascii() else regex.sub(r"\p{M}+", "", body[a:b]) for a, b in runs]
+        numbers, until = [self.words.get(w) for w in said], {}
+        checked: set[int] = set()
+        for i, (first, last) in enumerate(runs):
+            found, word, j = [], said[i], i
+            while word in self.short or len(word) < 4:
+                found += [(k, runs[j][1]) for k in self.short.get(word, ())]
+                j += 1
+                if j == len(runs) or body[runs[j - 1][1] : runs[j][0]] not in (".", "-"):
+                    break
+                word += said[j]
+            node, j, plain = 0, i, True
+            while j < len(runs) and numbers[j] is not None:
+                node = self.edges.get(node * self.many + numbers[j])
+                if node is None:
+                    break
+                plain = plain and (j == i or bool(GAP.fullmatch(body, runs[j - 1][1], runs[j][0])))
+                for k in self.ends.get(node, ()):
+                    if not self.exact[k]:
+                        checked.add(k)
+                    elif plain:
+                        found.append((k, runs[j][1]))
+                j += 1
+            for k, end in found:
+                if first >= until.get(k, 0):
+                    until[k] = end
+                    yield k, first, end
+        # aliases with marks of their own are looked for as they are, once their words are there
+        for k in [*checked, *self.loose]:
+            for m in compiled(self.rows[k][1]).finditer(body):
+                yield k, m.start(), m.end()
 
     def mentions(self, text: str) -> list[tuple]:
-        found, plain = {}, normal(text)
-        words = set(re.findall(r"[0-9a-z]+", plain))
-        wanted = [e for w in words if w in self.by_word for e in self.by_word[w]] + self.short
-        if not wanted:
-            return []
-        body, places = searchable(text)
-        for topic, kind, pattern, terms in wanted:
-            if terms is not None and not any(t in plain for t in terms):
-                continue
-            for m in pattern.finditer(body):
-                start, end = places[m.start()], places[m.end() - 1] + 1
-                if not incidental(text, start):
-                    found.setdefault((topic, start, end), (topic, role(kind, text, start), DIRECT, start, end, "exact"))
+        (body, places), plain, found = searchable(text), None, {}
+        for k, first, last in self.places(body):
+            topic, _, kind, terms = self.rows[k]
+            if terms is not None:
+                plain = normal(text) if plain is None else plain
+                if not any(t in plain for t in terms):
+                    continue
+            start, end = places[first], places[last - 1] + 1
+            if not incidental(text, start):
+                found.setdefault((topic, start, end), (topic, role(kind, text, start), DIRECT, start, end, "exact"))
         return sorted(found.values(), key=lambda f: (f[0], f[3]))
 
 
@@ -120,13 +198,13 @@ def mentions(texts: DataFrame, aliases: DataFrame, column: str = "text") -> Data
     rows = aliases.where("NOT coalesce(rejected, false)").select("topic", "alias", "topic_type", "terms").limit(MOST_ALIASES + 1).collect()
     if len(rows) > MOST_ALIASES:
         raise ValueError(f"more than {MOST_ALIASES} aliases")
-    shared = texts.sparkSession.sparkContext.broadcast(sorted((tuple(r) for r in rows), key=str))
+    shared = texts.sparkSession.sparkContext.broadcast(trie_arrays(sorted((tuple(r) for r in rows), key=str)))
     rest = [c for c in texts.columns if c != column]
     types = (pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        registry = Registry(shared.value)
-        for batch in batches:
+        registry = AliasTrie(shared.value)
+        for batch in (part for whole in batches for part in slices(whole, column)):
             at, out = [], []
             for k, text in enumerate(batch.column(column).to_pylist()):
                 for found in registry.mentions(text) if text else []:

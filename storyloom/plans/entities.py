@@ -78,7 +78,7 @@ def entity_salience(spark, sf_dir):
 
 FACTS = (
     f"{REPORTS}, f AS (SELECT *, concat(title, ' ', snippet) AS body, id % 8 AS line FROM reports), g AS (SELECT *, CASE WHEN line % 4 = 2 THEN CAST(nullif(regexp_extract(title, 'Rs (\\d+) crore', 1), '') AS DOUBLE) END AS budget, "
-    "CASE WHEN line % 4 = 0 THEN concat(regexp_extract(title, 'orders (\\d+) units', 1), ' units') END AS quantity, TRY_CAST(nullif(regexp_extract(snippet, 'Delivery by (202[5-9]|203[0-9]|2040)', 1), '') AS INT) AS timeline, "
+    "CASE WHEN line % 4 = 0 THEN concat(regexp_extract(title, 'orders (\\d+) units', 1), ' units') END AS quantity, nullif(regexp_extract(snippet, 'Delivery by (202[5-9]|203[0-9]|2040)', 1), '') AS timeline, "
     "TRY_CAST(regexp_extract(snippet, '(\\d+)% indigenous', 1) AS INT) AS share, CASE WHEN line % 4 = 2 THEN 'induction' WHEN line % 4 IN (1, 3) THEN 'trials' ELSE 'production' END AS status FROM f)"
 )
 
@@ -94,15 +94,14 @@ def report_metrics(spark, sf_dir):
     return found.select("id", *facts, confidence.alias("confidence"), F.coalesce(F.col("budget") > 25000, F.lit(False)).alias("high_value"))
 
 
-@query("report_milestones", f"WITH {FACTS} SELECT id, part AS entity, status, budget, timeline, share, tier = 0 AS official FROM g")
+@query("report_milestones", f"WITH {FACTS} SELECT id, part AS entity, status, budget, nullif(trim(regexp_extract(body, '{entities.MILESTONE_TIME}', 1)), '') AS timeline, share, tier = 0 AS official FROM g")
 def report_milestones(spark, sf_dir):
     return milestones(spark, sf_dir).select("id", "entity", "status", "budget", "timeline", "share", "official")
 
 
 def milestones(spark, sf_dir):
     body = F.concat_ws(" ", "title", "snippet")
-    facts = entities.metrics(body)
-    found = read_reports(spark, sf_dir).withColumns({k: v for k, v in facts.items() if k != "quantity"})
+    found = read_reports(spark, sf_dir).withColumns(entities.milestone_facts(body))
     day = F.datediff("published", F.lit("1970-01-01").cast("date"))
     return found.select(
         "id", F.col("part").alias("entity"), "nation", day.alias("day"), "title", F.when(F.col("id") % 3 == 0, F.concat(F.lit("u"), (F.col("id") % 500).cast("string"))).otherwise("").alias("url"), (F.col("tier") == 0).alias("official"), "tier",

@@ -61,7 +61,7 @@ def feed_items(feeds: DataFrame, column: str, now: Column, most: int = MOST_BYTE
         published(first_filled(*[tag_value(b, t) for t in ("pubDate", "published", "updated", "dc:date")]), now).alias("published"),
         cleaning.plain_text(cleaning.named_entities(first_filled(*[tag_value(b, t) for t in ("description", "media:description", "summary", "content:encoded", "content")]))).alias("body"),
         first_filled(web(attribute(b, "media:thumbnail", "url")), web(attribute(b, "media:content", "url", "(?:type=[\"']image/|medium=[\"']image[\"'])")), web(attribute(b, "enclosure", "url", "type=[\"']image/"))).alias("thumbnail"),
-        F.transform(F.regexp_extract_all(b, F.lit("(?is)<(?:category|dc:subject)\\b[^>]*>(?:<!\\[CDATA\\[)?(.*?)(?:\\]\\]>)?</(?:category|dc:subject)>"), F.lit(1)), F.trim).alias("_tags"),
+        F.transform(F.regexp_extract_all(b, F.lit("(?is)<(?:category|dc:subject)\\b[^>]*>(?:<!\\[CDATA\\[)?(.*?)(?:\\]\\]>)?</(?:category|dc:subject)>"), F.lit(1)), lambda s: F.trim(s)).alias("_tags"),
     )
     inline = F.regexp_extract_all(F.concat(F.lit(" "), "title", F.lit(" "), "body"), F.lit(r"\s#([a-zA-Z0-9][a-zA-Z0-9_\-]{1,49})"), F.lit(1))
     tags = F.filter(F.transform(F.concat("_tags", inline), cleaning.clean_tag), lambda t: ~cleaning.is_noise_tag(t))
