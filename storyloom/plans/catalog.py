@@ -686,4 +686,4 @@ def stream_windows(spark, sf_dir):
 
 
 # The other modules add their queries to the register.
-from storyloom.plans import archive, continuity, dictionary, entities, extraction, indexed, ingest, lookups, ranking, scans, streams, topics  # noqa: E402, F401
+from storyloom.plans import answers, archive, continuity, dictionary, entities, extraction, increments, indexed, ingest, lookups, ranking, scans, streams, topics  # noqa: E402, F401
