@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from storyloom.functions.text import canonical_url
 from storyloom.operators import merge
+from storyloom.sources.shared import Scratch
 
 # What a run may become.
 STEPS = ("started", "articles_persisted", "clusters_persisted", "classified", "publishable", "published")
@@ -61,8 +62,8 @@ def reused_ids(clusters: DataFrame, members: DataFrame, prior: DataFrame) -> tup
     by_article = members.join(prior.where("article IS NOT NULL").groupBy("article").agg(F.max("prior_id").alias("prior_id")), "article").groupBy("cluster", "prior_id").agg(F.min("pos").alias("pos"))
     by_print = clusters.join(by_article.select("cluster").distinct(), "cluster", "left_anti").join(prior.groupBy("fingerprint").agg(F.max("prior_id").alias("prior_id")), "fingerprint").select("cluster", "prior_id", F.lit(0).cast(by_article.schema["pos"].dataType).alias("pos"))
     wants = by_article.union(by_print).join(clusters.select("cluster", "ord"), "cluster")
-    reliable = clusters.sparkSession.sparkContext.getCheckpointDir() is not None
-    keep = (lambda df: df.checkpoint()) if reliable else (lambda df: df.persist())
+    scratch = Scratch(clusters.sparkSession)
+    keep = lambda df: scratch.written(df, "claims")
     wants = keep(wants)
     left, claims = wants, None
     while left.limit(1).count():

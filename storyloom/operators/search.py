@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
+from storyloom.sources.shared import Scratch
+
 #: What a query may hold: characters, words, and characters of a word.
 MOST_CHARS, MOST_WORDS, MOST_WORD = 100, 10, 40
 
@@ -48,14 +50,14 @@ def found(rows: DataFrame, query: str | None, fields: list[str]) -> DataFrame:
 def first_by_either(rows: DataFrame, order: list[str], one: str, other: str) -> DataFrame:
     """Rows whose ``one`` and ``other`` no earlier kept row has. Keys interact, so rounds settle rows whose every earlier rival is settled."""
     ranked = rows.withColumn("_at", F.struct(*order))
-    reliable = rows.sparkSession.sparkContext.getCheckpointDir() is not None
-    keep = (lambda df: df.checkpoint()) if reliable else (lambda df: df.persist())
-    left, kept = keep(ranked), None
+    scratch = Scratch(rows.sparkSession)
+    left, kept = scratch.written(ranked, "left"), None
     while left.limit(1).count():
         best = left.withColumn("_a", F.min("_at").over(Window.partitionBy(one))).withColumn("_b", F.min("_at").over(Window.partitionBy(other)))
-        won = keep(best.where((F.col("_at") == F.col("_a")) & (F.col("_at") == F.col("_b"))).drop("_a", "_b"))
+        won = scratch.written(best.where((F.col("_at") == F.col("_a")) & (F.col("_at") == F.col("_b"))).drop("_a", "_b"), "won")
         kept = won if kept is None else kept.union(won)
-        left = keep(left.join(won.select(one), one, "left_anti").join(won.select(other), other, "left_anti").select(*ranked.columns))
+        before, left = left, scratch.written(left.join(won.select(one), one, "left_anti").join(won.select(other), other, "left_anti").select(*ranked.columns), "left")
+        scratch.drop(before)
     return (ranked if kept is None else kept).drop("_at")
 
 

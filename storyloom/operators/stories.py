@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from storyloom.functions.text import has_word, tokens
+from storyloom.sources.shared import Scratch
 
 # What happens in a story, by patterns of its text.
 ACTIONS = (
@@ -107,15 +108,14 @@ def similar_pairs(articles: DataFrame, threshold: float = 0.32, minutes: int = 4
 def settled(labels: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``labels`` (id, label) after as many rounds of ``step`` as it takes until no label changes.
 
-    ``step`` returns (id, label) for all ids and may only lower labels, so the sum of changes ends. Each round is checkpointed where the
-    session has a checkpoint folder, so a lost executor costs one round's tasks.
+    ``step`` returns (id, label) for all ids and may only lower labels, so the sum of changes ends. Each round is written to the shared folder
+    and the one before is deleted, so a lost executor costs one round's tasks and plans do not grow.
     """
-    reliable = labels.sparkSession.sparkContext.getCheckpointDir() is not None
-    keep = (lambda df: df.checkpoint()) if reliable else (lambda df: df.persist())
-    now = keep(labels)
+    scratch = Scratch(labels.sparkSession)
+    now = scratch.written(labels, "labels")
     while True:
-        after = keep(step(now).alias("n").join(now.select("id", F.col("label").alias("was")), "id").select("id", "label", "was"))
-        now.unpersist()
+        after = scratch.written(step(now).alias("n").join(now.select("id", F.col("label").alias("was")), "id").select("id", "label", "was"), "labels")
+        scratch.drop(now)
         now = after
         if not now.where("label <> was").limit(1).count():
             return now.select("id", "label")
@@ -143,18 +143,17 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps alternate until the edges stay as they are: neighbours above a node move to the least one around it, then a node and its
     smaller neighbours move to the least of them. A hub is aggregated by partial minima and never gathered.
     """
-    reliable = edges.sparkSession.sparkContext.getCheckpointDir() is not None
-    keep = (lambda df: df.checkpoint()) if reliable else (lambda df: df.persist())
+    scratch = Scratch(edges.sparkSession)
     named = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-    now, state = keep(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo <> hi").distinct()), None
+    now, state = scratch.written(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo <> hi").distinct(), "edges"), None
     while True:
         both = now.union(now.select(F.col("hi").alias("lo"), F.col("lo").alias("hi"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo <> hi").distinct()
         joined = large.join(large.groupBy("hi").agg(F.min("lo").alias("m")), "hi")
         small = joined.select(F.col("m").alias("lo"), F.col("lo").alias("hi")).union(joined.select("m", "hi")).where("lo <> hi").distinct()
-        before, now = now, keep(small)
-        before.unpersist()
+        before, now = now, scratch.written(small, "edges")
+        scratch.drop(before)
         found = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
         if found == state:
             return named.join(now.select(F.col("hi").alias("id"), F.col("lo").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
@@ -171,9 +170,9 @@ def greedy_stories(articles: DataFrame, threshold: float = 0.32, pairs: DataFram
     pairs = similar_pairs(articles, threshold) if pairs is None else pairs
     linked = pairs.select("a", "b").join(order.toDF("a", "at_a"), "a").join(order.toDF("b", "at_b"), "b")
     forward = linked.select(F.least("at_a", "at_b").alias("a"), F.greatest("at_a", "at_b").alias("b"))
-    reliable = articles.sparkSession.sparkContext.getCheckpointDir() is not None
-    forward = forward.checkpoint() if reliable else forward.persist()
-    found = lowest_reached(forward, order.select(F.col("at").alias("id")))
+    scratch = Scratch(articles.sparkSession)
+    found = lowest_reached(scratch.written(forward, "links"), order.select(F.col("at").alias("id")))
+    scratch.close()
     return found.select(F.col("id")["id"].alias("id"), F.col("label")["id"].alias("story"))
 
 
@@ -196,7 +195,7 @@ def ranked(stories: DataFrame, score: str, tie: str) -> DataFrame:
     """
     dealt = stories.repartitionByRange(F.col(score).desc(), F.col(tie)).sortWithinPartitions(F.col(score).desc(), F.col(tie))
     placed = dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    placed = placed.checkpoint() if stories.sparkSession.sparkContext.getCheckpointDir() is not None else placed.persist()
+    placed = Scratch(stories.sparkSession).written(placed, "ranked")
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("_part", before.alias("_before"))

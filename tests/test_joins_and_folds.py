@@ -99,10 +99,10 @@ def test_milestones_merge_as_by_hand(spark):
     words = ["alpha", "bravo", "charlie", "delta", "echoes", "foxtrot"]
     names = ["id", "key", "day", "title", "url", "official", "tier", "budget", "timeline", "share", "status"]
     data = [
-        (k, f"e{k % 3}", rng.randint(0, 200), " ".join(rng.sample(words, 3)), rng.choice(["", "u1", f"v{k}"]), rng.random() < 0.3, rng.randint(0, 4), rng.choice([None, 5.0, 7.0]), rng.choice([None, 2030]), rng.choice([None, 60.0]), rng.choice(["general", "trials"]))
+        (k, f"e{k % 3}", rng.randint(0, 200), " ".join(rng.sample(words, 3)), rng.choice(["", "u1", f"v{k}"]), rng.random() < 0.3, rng.randint(0, 4), rng.choice([None, 5.0, 7.0]), rng.choice([None, "2030-31"]), rng.choice([None, 60.0]), rng.choice(["general", "trials"]))
         for k in range(90)
     ]
-    df = spark.createDataFrame(data, "id long, key string, day int, title string, url string, official boolean, tier int, budget double, timeline int, share double, status string")
+    df = spark.createDataFrame(data, "id long, key string, day int, title string, url string, official boolean, tier int, budget double, timeline string, share double, status string")
     found = {tuple(r[c] for c in ("from_id", "id", "day", "budget", "timeline", "share", "status", "merged")) for r in folds.milestones_merged(df, "key").collect()}
     want = set().union(*[plain_milestones([dict(zip(names, r)) for r in data if r[1] == key]) for key in ("e0", "e1", "e2")])
     assert found == want
