@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from storyloom.llm._spark import ROW, WHOLE, Scratch, with_rows, written
+from storyloom.llm._spark import ROW, WHOLE, Scratch, placed_rows, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hash buckets of a (source, length) group, so that a group with very many documents is ranked in parts.
@@ -121,7 +121,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """Each row of ``docs``, all columns, as often as the mix takes it. Rows that repeat a doc_id or have none are taken one by one."""
-    rows, scratch = with_rows(docs, "rows"), Scratch()
+    rows, scratch = placed_rows(docs, "rows"), Scratch()
     copies = _mixed(scratch.written(_sizes(rows.select(ROW, f"{WHOLE}.doc_id", f"{WHOLE}.source", f"{WHOLE}.text"), ROW), "sizes"))
     scratch.close()
     # one row for each document on both sides: never broadcast, at no size
