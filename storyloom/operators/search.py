@@ -90,3 +90,18 @@ def salvaged(text: Column) -> Column:
 def verbatim(evidence: Column, text: Column) -> Column:
     """Whether all pieces of evidence stand in the text as they are, and there is at least one."""
     return F.coalesce((F.size(evidence) > 0) & F.forall(evidence, lambda e: (F.length(e) > 0) & F.contains(text, e)), F.lit(False))
+
+
+def any_holds(query: Column, texts: list[Column], lists: list[Column]) -> Column:
+    """Whether ``query`` stands in one of ``texts`` or in an entry of one of ``lists`` (arrays of texts), in any case; an empty query stands in all. Nulls hold nothing."""
+    wanted = F.lower(query)
+    found = [F.contains(F.lower(t), wanted) for t in texts] + [F.exists(x, lambda e: F.coalesce(F.contains(F.lower(e), wanted), F.lit(False))) for x in lists]
+    return (wanted == "") | reduce(lambda a, b: a | b, [F.coalesce(f, F.lit(False)) for f in found])
+
+
+def eligible(stories: DataFrame, category: str | None, query: str, hidden: list[str], texts: list[Column], lists: list[Column]) -> DataFrame:
+    """The stories that no flag of ``hidden`` hides, that are of ``category`` (null: any) by their array ``categories``, and that hold ``query`` in a field."""
+    found = stories.where(reduce(lambda a, b: a & b, [~F.coalesce(F.col(h), F.lit(False)) for h in hidden]))
+    if category is not None:
+        found = found.where(F.array_contains("categories", category))
+    return found.where(any_holds(F.lit(query), texts, lists))

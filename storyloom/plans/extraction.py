@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import cleaning
 from storyloom.functions.text import EPISTEMIC
-from storyloom.operators import entities, extraction, gates
+from storyloom.operators import entities, extraction, gates, search
 from storyloom.plans.entities import CATEGORY, WORD_TESTS
 from storyloom.plans.registry import REPORTS, bounded, query
 from storyloom.sources.tables import read, read_reports
@@ -166,3 +166,31 @@ def verbatim_quotes(spark, sf_dir):
     """The sentence of each document that a quote is made of: of the quote what stands between its marks, before it is cut."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), "text")
     return docs.select("doc_id", entities.telling_sentence(F.col("title"), F.col("text")).alias("told"))
+
+
+# --- search in stories
+
+SEARCHES = (("widget", None), ("src3", "NATION_1"), ("BRAND#1", None), ("25% ind", None), ("", "NATION_2"), ("formerly of nation_2", "NATION_2"), ("no such text", None))
+
+
+@query(
+    "story_search",
+    f"WITH {REPORTS}, x AS (SELECT cluster, arg_min({{'title': title, 'domain': domain, 'snippet': snippet, 'program': program, 'tier': tier}}, (published, title, snippet, domain, program, tier, part, nation)) AS p, list_distinct(list(part)) AS entities, list_distinct(list(nation)) AS categories, list(concat(title, ' | ', domain)) AS related, bool_or(tier = 4 AND part LIKE 'red%') AS ignored FROM reports GROUP BY 1), "
+    "q AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{t.lower()}', {'NULL' if c is None else repr(c)})" for k, (t, c) in enumerate(SEARCHES)) + ") AS v(q, t, c)) "
+    "SELECT q, cluster FROM x, q WHERE NOT ignored AND (c IS NULL OR list_contains(categories, c)) AND (contains(lower(p.title), t) OR contains(lower(p.domain), t) OR contains(lower(p.snippet), t) OR (p.tier < 2 AND contains(lower(p.program), t)) OR len(list_filter(entities, lambda e: contains(lower(e), t))) > 0 OR len(list_filter(related, lambda e: contains(lower(e), t))) > 0)",
+)
+def story_search(spark, sf_dir):
+    """Seven searches over clusters that are not ignored: in headline, title, source, snippet, entities, what a brief says (reason, points, platform; some have none), and titles and sources of other coverage."""
+    order = F.struct("published", "title", "snippet", "domain", "program", "tier", "part", "nation")
+    found = read_reports(spark, sf_dir).groupBy("cluster").agg(
+        F.min_by(F.struct("title", "domain", "snippet", "program", "tier"), order).alias("p"), F.collect_set("part").alias("entities"), F.collect_set("nation").alias("categories"), F.collect_list(F.struct("title", "domain")).alias("related"),
+        F.bool_or((F.col("tier") == 4) & F.col("part").startswith("red")).alias("ignored"),
+    )
+    briefed = F.col("p.tier") < 2
+    texts = [F.upper("p.title"), F.col("p.title"), F.col("p.domain"), F.col("p.snippet"), F.when(briefed, F.col("p.program")), F.lit(None).cast("string")]
+    lists = [F.col("entities"), F.when(briefed, F.array("p.program")), F.transform("related", lambda r: F.concat_ws(" | ", r["title"], r["domain"]))]
+    every = None
+    for k, (text, category) in enumerate(SEARCHES):
+        some = search.eligible(found.withColumn("deleted", F.lit(None).cast("boolean")), category, text, ["ignored", "deleted"], texts, lists).select(F.lit(k).alias("q"), "cluster")
+        every = some if every is None else every.union(some)
+    return every
