@@ -24,7 +24,7 @@ except ImportError:
     import sre_parse as parser
 
 #: Lengths of keys. The longest that a literal has is taken, so that a key is as rare as it can be.
-LENGTHS = (1, 2, 4, 6)
+LENGTHS = (1, 2, 4, 6, 8, 12)
 #: A pattern with more beginnings than this has no key.
 MOST_BEGINNINGS = 64
 #: What may stand before and after a match.
