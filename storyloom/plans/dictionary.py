@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from storyloom.operators import dictionary
+from storyloom.plans.extraction import one_of_each_id
 from storyloom.plans.registry import REPORTS, bounded, query
 from storyloom.sources.tables import read, read_reports
 
@@ -72,7 +73,7 @@ FOUND = "list_concat(" + ", ".join(f"CASE WHEN regexp_matches(title, '{bounded(p
 
 @query(
     "classified_reports",
-    f"WITH {REPORTS}, t AS (SELECT id, title, {FOUND} AS c, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(title, '{bounded(p)}') THEN '{n}' END" for n, p, _ in CATEGORIES) + ") AS entities FROM reports) "
+    f"WITH {REPORTS}, t AS (SELECT id, title, {FOUND} AS c, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(title, '{bounded(p)}') THEN '{n}' END" for n, p, _ in CATEGORIES) + ") AS entities FROM (SELECT * FROM reports QUALIFY row_number() OVER (PARTITION BY id ORDER BY title, snippet, published, domain, part, nation) = 1)) "
     "SELECT id, entities, concat(array_to_string(CASE WHEN len(c) > 0 THEN c WHEN regexp_matches(lower(title), 'army|troop|soldier') THEN ['army'] WHEN regexp_matches(lower(title), 'navy|ship|submarine|maritime') THEN ['navy'] WHEN regexp_matches(lower(title), 'air force|iaf|aircraft|jet') THEN ['airforce'] "
     "WHEN regexp_matches(lower(title), 'defence|defense|military|mod|armed forces|drdo|weapon|missile|ammunition') AND regexp_matches(lower(title), 'procurement|deal|crore|order|contract|acquisition|tender') THEN ['procurement'] ELSE ['strategic'] END, ','), ',ssb') AS categories FROM t",
 )
@@ -80,5 +81,5 @@ def classified_reports(spark, sf_dir):
     """Reports with what they name and their categories, by a dictionary with categories and the fallback for the rest."""
     rows = [(k, n, p, list(c)) for k, (n, p, c) in enumerate(CATEGORIES)]
     known = spark.createDataFrame(rows, "position long, name string, pattern string, categories array<string>")
-    found = dictionary.classified(read_reports(spark, sf_dir).select("id", "title"), "id", "title", known)
+    found = dictionary.classified(one_of_each_id(read_reports(spark, sf_dir)).select("id", "title"), "id", "title", known)
     return found.select("id", F.array_join("entities", ",").alias("entities"), F.array_join("categories", ",").alias("categories"))
