@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from storyloom.llm._spark import ROW, WHOLE, Scratch, component_labels, is_empty, with_rows, written
+from storyloom.llm._spark import ROW, WHOLE, Scratch, component_labels, is_empty, placed_rows, written
 from storyloom.llm._words import WordHashes, mixed, run_hashes
 from storyloom.llm.token_output import slices
 
@@ -31,6 +31,8 @@ PART, CHUNK = 512, 64
 SMALL = 64
 #: In larger ones, shingles that at most so many classes have are rare.
 RARE = 256
+#: Words of 64 bits that mark the common shingles of a class.
+MARKS = 16
 
 _rng = np.random.default_rng(2)
 _MULTIPLY = (_rng.integers(1, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -213,9 +215,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> D
 def one_of_each(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
     """One row, all columns, of each component of ``docs``: of the smallest doc_id, nulls last.
 
-    Rows with null ids and rows that repeat an id are rows like all others: copies go, others stay.
+    Rows with null ids and rows that repeat an id are rows like all others: copies go, others stay. A table that is read from files is not copied (``placed_rows``).
     """
-    rows = with_rows(docs, "rows")
+    rows = placed_rows(docs, "rows")
     texts = rows.select(ROW, F.col(f"{WHOLE}.doc_id").cast("long").alias("doc_id"), F.col(f"{WHOLE}.text").cast("string").alias("text"))
     # a row for each component: never broadcast, at no size
     return rows.join(_placed(texts, threshold, size).where("leads").select(ROW).hint("merge"), ROW).select(f"{WHOLE}.*")
@@ -251,33 +253,51 @@ def _in_reach(most, hundredths: int):
 
 
 def _across(rows: DataFrame, key: str, condition=None) -> DataFrame:
-    """Pairs of ``rows`` (key, id, n, component, common, m) with one key and of two components; the columns have the ends _a and _b."""
-    rows = rows.select(key, "id", "n", "component", "common", "m")
+    """Pairs of ``rows`` (key, id, n, component, common, m, marks) with one key and of two components; the columns have the ends _a and _b."""
+    rows = rows.select(key, "id", "n", "component", "common", "m", *[c for c in rows.columns if c == "beside" or c.startswith("mark_")])
     left, right = rows.toDF(*[f"{c}_a" for c in rows.columns]), rows.toDF(*[f"{c}_b" for c in rows.columns])
     on = (F.col(f"{key}_a") == F.col(f"{key}_b")) & (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
     return left.join(right, on if condition is None else on & condition)
 
 
+def _marked(common: DataFrame) -> DataFrame:
+    """(id, marks, beside): the common shingles (id, shingle) of each class as set bits, and how many of them share a bit with others."""
+    place = F.pmod("shingle", F.lit(64 * MARKS)).cast("int")
+    bit, word = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64))), (place / 64).cast("int")
+    marks = [F.coalesce(F.bit_or(F.when(word == k, bit)), F.lit(0)).cast("long").alias(f"mark_{k}") for k in range(MARKS)]
+    found = common.groupBy("id").agg(*marks, F.count("*").alias("own"))
+    return found.withColumn("beside", F.col("own") - sum((F.bit_count(f"mark_{k}") for k in range(MARKS)), F.lit(0))).drop("own")
+
+
+def _common_at_most():
+    """The most common shingles that a pair can share: the bits that both have, and one more for each shingle that shares its bit."""
+    bits = sum((F.bit_count(F.col(f"mark_{k}_a").bitwiseAND(F.col(f"mark_{k}_b"))) for k in range(MARKS)), F.lit(0))
+    return F.least("common_a", "common_b", bits + F.least("beside_a", "beside_b"))
+
+
 def _across_large(rows: DataFrame, sets: DataFrame, hundredths: int, scratch: Scratch) -> DataFrame:
     """(a, b, m): the pairs of large buckets that can reach the threshold; no other pair of them can.
 
-    A shingle is rare if at most ``RARE`` of these classes have it. A pair's intersection has at most the common shingles of the side
-    with fewer, and the rare ones that it shares. Pairs that share rare ones come from a join on them, which also counts them; all others
-    have common ones only.
+    A shingle is rare if at most ``RARE`` of these classes have it. A pair's intersection has the rare shingles that it shares, and at most as many common ones as its marks allow.
+    Pairs that share rare ones come from a join on them, which also counts them; all others have common ones only.
     """
     placed = rows.select("id", "n", "component").distinct()
     shingles = sets.join(placed.select("id"), "id").select("id", "value").mapInArrow(_exploded, "id long, shingle long")
-    rare = shingles.groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") <= RARE)
-    rare = scratch.written(shingles.join(rare, "shingle"), "rare")
+    counted = scratch.written(shingles.groupBy("shingle").agg(F.count("*").alias("df")), "frequencies")
+    rare = scratch.written(shingles.join(counted.where(F.col("df") <= RARE), "shingle"), "rare")
+    marks = _marked(shingles.join(counted.where(F.col("df") > RARE), "shingle"))
     counts = rare.groupBy("id").agg(F.count("*").alias("rare"))
     common = F.col("n") - F.coalesce("rare", F.lit(0))
-    placed = scratch.written(placed.join(counts, "id", "left").withColumns({"common": common, "m": F.lit(RARE).cast("long")}), "common")
-    fewer = F.least("common_a", "common_b")
-    sizes = ["id_a", "id_b", "n_a", "n_b", "common_a", "common_b"]
-    shared = _across(rare.where("df > 1").join(placed, "id"), "shingle").groupBy(*sizes).agg(F.count("*").alias("shared"))
-    shared = shared.where(_in_reach(fewer + F.col("shared"), hundredths))
+    placed = placed.join(counts, "id", "left").join(marks, "id", "left").na.fill(0, ["beside", *[f"mark_{k}" for k in range(MARKS)]])
+    placed = scratch.written(placed.withColumns({"common": common, "m": F.lit(RARE).cast("long")}), "common")
+    both = _common_at_most().alias("both")
+    sizes = ["id_a", "id_b", "n_a", "n_b", "both"]
+    # what both sides have of rare ones at most, so that a pair that is out of reach does not leave the join once for each rare shingle
+    most = _common_at_most() + F.least(F.col("n_a") - F.col("common_a"), F.col("n_b") - F.col("common_b"))
+    shared = _across(rare.where("df > 1").join(placed, "id"), "shingle", _in_reach(most, hundredths)).select("id_a", "id_b", "n_a", "n_b", both).groupBy(*sizes).agg(F.count("*").alias("shared"))
+    shared = shared.where(_in_reach(F.col("both") + F.col("shared"), hundredths))
     alike = rows.select("bucket", "id", "m").join(placed.drop("m").where(100 * F.col("common") >= hundredths * F.col("n")), "id")
-    alike = _across(alike, "bucket", _in_reach(fewer, hundredths))
+    alike = _across(alike, "bucket", _in_reach(_common_at_most(), hundredths))
     return shared.select("id_a", "id_b", F.lit(RARE).cast("long")).union(alike.select("id_a", "id_b", "m_a")).toDF("a", "b", "m")
 
 

@@ -299,7 +299,10 @@ class Block:
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for x in batch.to_pylist():
+        for k in range(batch.num_rows):
+            # ids stay where Arrow has them; no block is copied
+            x = {name: batch.column(name)[k] for name in batch.schema.names}
+            x = {name: cell.as_buffer() if name == "ids" else cell.as_py() for name, cell in x.items()}
             block, start, out = Block(x), 0, ([], [], [], [])
             for i in range(block.n):
                 end = block.ends.select(i)
