@@ -294,10 +294,11 @@ def _across_large(rows: DataFrame, sets: DataFrame, hundredths: int, scratch: Sc
     sizes = ["id_a", "id_b", "n_a", "n_b", "both"]
     # what both sides have of rare ones at most, so that a pair that is out of reach does not leave the join once for each rare shingle
     most = _common_at_most() + F.least(F.col("n_a") - F.col("common_a"), F.col("n_b") - F.col("common_b"))
-    shared = _across(rare.where("df > 1").join(placed, "id"), "shingle", _in_reach(most, hundredths)).select("id_a", "id_b", "n_a", "n_b", both).groupBy(*sizes).agg(F.count("*").alias("shared"))
+    shared = _across(rare.where("df > 1").join(placed, "id"), "shingle", _in_reach(F.least("n_a", "n_b"), hundredths) & _in_reach(most, hundredths)).select("id_a", "id_b", "n_a", "n_b", both).groupBy(*sizes).agg(F.count("*").alias("shared"))
     shared = shared.where(_in_reach(F.col("both") + F.col("shared"), hundredths))
     alike = rows.select("bucket", "id", "m").join(placed.drop("m").where(100 * F.col("common") >= hundredths * F.col("n")), "id")
-    alike = _across(alike, "bucket", _in_reach(_common_at_most(), hundredths))
+    # the cheap bound first: marks are compared only where it does not decide
+    alike = _across(alike, "bucket", _in_reach(F.least("common_a", "common_b"), hundredths) & _in_reach(_common_at_most(), hundredths))
     return shared.select("id_a", "id_b", F.lit(RARE).cast("long")).union(alike.select("id_a", "id_b", "m_a")).toDF("a", "b", "m")
 
 
