@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from storyloom.functions.text import has_word, tokens
+from storyloom.operators.similarity import frequencies, rare_first
 from storyloom.sources.shared import Scratch
 
 # What happens in a story, by patterns of its text.
@@ -67,35 +68,48 @@ def cluster_documents(articles: DataFrame, cluster: str, weight: Column, social:
 
 
 def set_id(tokens: str) -> Column:
-    """A name for a sorted array of tokens, by a digest that no two arrays share in practice."""
-    return F.sha2(F.array_join(tokens, " "), 256)
+    """A name of 16 bytes for a sorted array of tokens, by a digest that no two arrays share in practice."""
+    return F.unhex(F.md5(F.array_join(tokens, " ")))
+
+
+def around(bucket: str) -> Column:
+    return F.explode(F.array(F.col(bucket) - 1, F.col(bucket), F.col(bucket) + 1)).alias(bucket)
+
+
+def met_classes(posts: DataFrame, threshold: float) -> DataFrame:
+    """(x, y) of the classes of ``posts`` (set_id, n, at, token, bucket) that meet on a token in a bucket or in the one beside it and may reach ``threshold``."""
+    left = posts.select(F.col("set_id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), "token", around("bucket"))
+    right = posts.select(F.col("set_id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), "token", "bucket")
+    lengths = F.least("nx", "ny") >= (threshold - 1e-9) * F.greatest("nx", "ny")
+    # for each pair of classes the first token that they share has the least place, so a test of each token's place alone loses none
+    rest = 1 + F.least(F.col("nx") - F.col("ax") - 1, F.col("ny") - F.col("ay") - 1)
+    met = left.join(right, ["token", "bucket"]).where("x < y").where(lengths & (rest >= (threshold - 1e-9) * (F.col("nx") + F.col("ny") - rest)))
+    return met.select("x", "y").distinct()
 
 
 def similar_pairs(articles: DataFrame, threshold: float = 0.32, minutes: int = 48 * 60) -> DataFrame:
     """(a, b, similarity) of articles within ``minutes`` whose title tokens have a Jaccard similarity of ``threshold`` or more.
 
-    Prefix filtering keeps it lossless and small: tokens are ordered from rare to common, and a similar pair shares one of the first
-    tokens of both, so very common tokens make no candidates. A title that very many articles share is one class, which stands for all
-    its articles at one time bucket; its members are expanded by the time band only.
+    Prefix filtering keeps it lossless and small: tokens are ordered from rare to common, a similar pair shares one of the first tokens of both, and at the place of the first one that they share, what is left
+    of both must still reach the threshold. Titles meet in time buckets as wide as the band, the own one and those beside it, so their candidates grow with the articles of a bucket and not with all of time. Articles of
+    one bucket with the same tokens are one class; its members are expanded by the time band only.
     """
-    base = articles.select("id", "published_min", F.array_sort(tokens(F.col("title"))).alias("tokens")).where(F.size("tokens") > 0)
-    sets = base.select("tokens").distinct().withColumn("set_id", set_id("tokens"))
-    each = sets.select("set_id", F.explode("tokens").alias("token"))
-    frequency = each.groupBy("token").agg(F.count("*").alias("df"))
-    ordered = each.join(frequency, "token").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
-    size = F.size("o")
-    prefix = F.expr("slice(o, 1, size(o) - cast(ceil(%r * size(o)) as int) + 1)" % threshold)
-    posts = ordered.select("set_id", size.alias("n"), F.explode(F.transform(prefix, lambda x: x["token"])).alias("token"))
-    left, right = posts.toDF("x", "nx", "token"), posts.toDF("y", "ny", "token")
-    pairs = left.join(right, "token").where("x < y").where(F.least("nx", "ny") >= threshold * F.greatest("nx", "ny")).select("x", "y").distinct()
-    one, two = sets.toDF("tx", "x"), sets.toDF("ty", "y")
+    base = articles.select("id", "published_min", F.array_sort(tokens(F.col("title"))).alias("tokens"), F.floor(F.col("published_min") / minutes).alias("bucket")).where(F.size("tokens") > 0).withColumn("set_id", set_id("tokens"))
+    scratch = Scratch(articles.sparkSession)
+    timed = scratch.written(base.select("id", "published_min", "set_id", "bucket"), "timed")
+    sets = scratch.written(base.groupBy("set_id").agg(F.first("tokens").alias("tokens")), "sets")
+    ordered = rare_first(sets, "set_id", "tokens", frequencies(sets, "tokens"))
+    prefix = F.expr(f"slice(ordered, 1, n - cast(ceil(n * {threshold - 1e-9!r}) as int) + 1)")
+    posts = ordered.select("set_id", "n", F.posexplode(prefix).alias("at", "token"))
+    posts = scratch.written(posts.join(timed.select("set_id", "bucket").distinct(), "set_id"), "posts")
+    pairs = met_classes(posts, threshold)
+    one, two = sets.toDF("x", "tx"), sets.toDF("y", "ty")
     both = F.size(F.array_intersect("tx", "ty"))
     close = pairs.join(one, "x").join(two, "y").withColumn("similarity", both / (F.size("tx") + F.size("ty") - both)).where(F.col("similarity") >= threshold)
-    close = close.select("x", "y", "similarity")
+    close = scratch.written(close.select("x", "y", "similarity"), "close")
     close = close.union(close.select("y", "x", "similarity")).union(sets.select("set_id", "set_id", F.lit(1.0)))
-    # articles meet in time buckets as wide as the band: the own one and the next
-    timed = base.select("id", "published_min", set_id("tokens").alias("set_id"), F.floor(F.col("published_min") / minutes).alias("bucket"))
-    a = timed.select(F.col("id").alias("a"), F.col("published_min").alias("ta"), F.col("set_id").alias("x"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
+    # of all buckets of a class, those near one of the other's
+    a = timed.select(F.col("id").alias("a"), F.col("published_min").alias("ta"), F.col("set_id").alias("x"), around("bucket"))
     b = timed.select(F.col("id").alias("b"), F.col("published_min").alias("tb"), F.col("set_id").alias("y"), "bucket")
     return (
         a.join(close, "x")
