@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from storyloom.operators import dictionary
 from storyloom.plans.extraction import one_of_each_id
 from storyloom.plans.registry import REPORTS, bounded, query
+from storyloom.sources.shared import Scratch
 from storyloom.sources.tables import read, read_reports
 
 WORD = "[a-z]{4,11}"
@@ -34,7 +35,7 @@ WORDS_OF = "regexp_split_to_array(lower(text), '[^a-z0-9_]+')"
 )
 def patterns_in_documents(spark, sf_dir):
     """All patterns against all documents: of each document how many it has, and the first and last of their words."""
-    known = pattern_dictionary(spark, sf_dir)
+    known = Scratch(spark).written(pattern_dictionary(spark, sf_dir), "dictionary")
     found = dictionary.found_patterns(read(spark, sf_dir, "documents"), "doc_id", "text", known).join(known, "position")
     return found.groupBy("doc_id").agg(F.count("*").alias("patterns"), F.min("word").alias("first_word"), F.max("word").alias("last_word"))
 
@@ -62,9 +63,10 @@ def programme_spellings(spark, sf_dir):
     text = F.when(turn == 0, F.concat(F.lit("New: "), a, F.lit("   "), b, F.lit("."))).when(turn == 1, F.concat(b, F.lit(" "), key)).when(turn == 2, F.concat(F.upper(a), key, F.lit(" tested"))).when(turn == 3, F.concat(F.lit("PROJECT  "), key))
     text = text.when(turn == 4, F.concat(F.lit("x"), a, F.lit("-"), key)).otherwise(F.concat(a, F.lit("-"), key, F.lit("y")))
     lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
-    lines = lines.select(F.struct("o_orderkey", "l_linenumber").alias("line"), text.alias("text"))
-    found = dictionary.found_patterns(lines, "line", "text", programmes)
-    return found.groupBy("line").agg(F.count("*").alias("programmes"), F.min("position").alias("first_programme")).select("line.*", "programmes", "first_programme")
+    # lines of one text name the same, so each text is looked up once; lines that repeat their numbers count together
+    lines = lines.select("o_orderkey", "l_linenumber", text.alias("text"))
+    of_text = dictionary.found_patterns(lines.select("text", F.col("text").alias("body")).distinct(), "text", "body", programmes).groupBy("text").agg(F.count("*").alias("n"), F.min("position").alias("first"))
+    return lines.join(of_text, "text").groupBy("o_orderkey", "l_linenumber").agg(F.sum("n").alias("programmes"), F.min("first").alias("first_programme"))
 
 
 CATEGORIES = (("TRIALS", "trials?", ("tech",)), ("Contract", "contract|orders", ("procurement", "tenders")), ("Base", r"air\s+base", ("airforce",)), ("Seven", r"NATION_(?:7|17)", ()))
