@@ -23,8 +23,8 @@ EPISTEMIC = (
 
 
 def has_word(text: Column, pattern: str) -> Column:
-    """Whether ``pattern`` occurs between ASCII word boundaries, in any case."""
-    return F.coalesce(text.rlike(rf"(?i)(?<![A-Za-z0-9_])(?:{pattern})(?![A-Za-z0-9_])"), F.lit(False))
+    """Whether ``pattern`` occurs between ASCII word boundaries, in any case. Most texts do not have it at all, which is found out sooner without the boundaries."""
+    return F.coalesce(text.rlike(f"(?i)(?:{pattern})") & text.rlike(rf"(?i)(?<![A-Za-z0-9_])(?:{pattern})(?![A-Za-z0-9_])"), F.lit(False))
 
 
 def tokens(text: Column) -> Column:
