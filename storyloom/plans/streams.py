@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.plans.registry import REPORTS, query
-from storyloom.sources.shared import shared_folder
+from storyloom.sources.shared import Scratch, shared_folder
 from storyloom.sources.tables import read, read_reports
 from storyloom.streaming import patterns
 
@@ -16,11 +16,18 @@ FILES = 4
 
 
 def dealt(df: DataFrame, turn, name: str, files: int = FILES) -> tuple[DataFrame, str]:
-    """A stream of ``files`` batches: the rows of each ``turn`` (0 to files - 1), one folder after the other; and a folder of its own."""
-    base = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """A stream of ``files`` batches: the rows of each ``turn`` (0 to files - 1), one folder after the other; and a folder of its own.
+
+    A turn is written by as many tasks as run at once, and a batch takes as many files as the turn of most files has.
+    """
+    spark = df.sparkSession
+    base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    most, known = 1, 0
     for k in range(files):
-        df.where(turn == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"), base
+        df.where(turn == k).coalesce(spark.sparkContext.defaultParallelism).write.mode("append").parquet(f"{base}/in")
+        now = len(spark.read.schema(df.schema).parquet(f"{base}/in").inputFiles())
+        most, known = max(most, now - known), now
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", most).parquet(f"{base}/in"), base
 
 
 def sightings(spark, sf_dir) -> DataFrame:
@@ -35,10 +42,12 @@ def sightings(spark, sf_dir) -> DataFrame:
 )
 def stream_patterns(spark, sf_dir):
     """First windows of 72 hours by place and motif on a stream of four batches in the order of time, with rows up to a week out of order; windows are closed as the watermark passes."""
-    rows = sightings(spark, sf_dir).withColumn("day", F.unix_date(F.col("ts").cast("date")) + F.col("id") % 7)
+    scratch = Scratch(spark)
+    rows = scratch.written(sightings(spark, sf_dir).withColumn("day", F.unix_date(F.col("ts").cast("date")) + F.col("id") % 7), "stream-sightings")
     low, high = rows.agg(F.min("day"), F.max("day")).first()
     turn = F.least(F.lit(FILES - 1), F.floor((F.col("day") - F.lit(low)) * FILES / F.lit((high or 1) - (low or 0) + 1)))
     stream, base = dealt(rows, turn, "stream-patterns")
+    scratch.close()
     patterns.run(patterns.first_windows(stream), f"{base}/out", f"{base}/state")
     return patterns.latest(spark, f"{base}/out", ["place", "motif"]).drop("closed")
 
