@@ -147,11 +147,11 @@ class ShardStore:
             old = {s for g in groups for s in g}
             rows = self._rows(base, tuple(sorted(old, key=lambda s: s.path)))
             file, group = unused(rows.columns, "_file"), unused(rows.columns, "_group")
-            # one row for each shard that is merged, as in the manifest that the driver holds anyway; Spark decides on a broadcast by its size
+            # one row for each shard that is merged, as in the manifest that the driver holds anyway: broadcast, so that rows are shuffled once, when they are dealt
             names = self.spark.createDataFrame(sorted(by_group.items()), f"`{file}` string, `{group}` int")
             parts = F.split(F.input_file_name(), "/")
             tagged = rows.withColumn(file, F.concat_ws("/", F.element_at(parts, -2), F.element_at(parts, -1)))
-            dealt = tagged.join(names, file).repartitionByRange(len(groups), F.col(f"`{group}`"))
+            dealt = tagged.join(F.broadcast(names), file).repartitionByRange(len(groups), F.col(f"`{group}`"))
             merged = self._write(dealt.drop(file, group))
             self._retried(lambda now: tuple(s for s in now.shards if s not in old) + merged if old <= set(now.shards) else None)
         return self.current()

@@ -602,3 +602,24 @@ def test_pipeline(spark, small):
     ends = np.cumsum([r["n_tokens"] for r in out])
     assert [r["start"] for r in out] == [0, *ends[:-1].tolist()]
     assert {r["doc_id"] for r in out} <= {r["doc_id"] for r in docs.collect()}
+
+
+def test_compaction_shuffles_rows_once(spark, monkeypatch):
+    store = sharding.ShardStore(spark, fresh_path(spark, "store"), target_bytes=1 << 20, fanout=2, least_bytes=1 << 18)
+    for k in range(4):
+        store.append(spark.range(k * 1000, k * 1000 + 1000, 1, 1).withColumn("t", F.sha2(F.col("id").cast("string"), 256)))
+    real, plans = store._write, []
+
+    def write(rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return real(rows)
+
+    monkeypatch.setattr(store, "_write", write)
+    former = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        store.compact()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", former)
+    assert plans and all("SortMergeJoin" not in p and p.count("- Exchange") == 1 for p in plans), plans
+    assert sorted(r["id"] for r in store.read().collect()) == list(range(4000))
