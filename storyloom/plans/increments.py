@@ -121,7 +121,7 @@ def canonical_names(spark, sf_dir):
     programs = F.transform("x", lambda e: F.when(e["p_size"] % 3 == 0, F.upper(e["p_name"])).when(e["p_size"] % 3 == 1, "News").otherwise(F.concat(F.lit(" "), e["p_brand"])))
     names = continuity.canonical_entities(programs, F.lit("#army-base"), F.transform("x", lambda e: e["p_name"]))
     found = items.select("l_orderkey", names.alias("n"))
-    words = F.array_sort(F.array_distinct(F.flatten(F.transform("n", continuity.name_words))))
+    words = F.array_sort(F.filter(F.array_distinct(F.flatten(F.transform("n", continuity.parts))), continuity.distinctive))
     return found.select("l_orderkey", F.array_join("n", "|").alias("names"), F.array_join(words, " ").alias("words"))
 
 
