@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from bisect import insort
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -84,10 +87,9 @@ def breaker(events: DataFrame, key: str, ts: str, tie: str, failed: Column, limi
     return fold(rows, [key], ["_s", tie], step, f"{tie} long, state string, failures long")
 
 
-def _words(title: str) -> set[str]:
-    import re
-
-    return {w for w in re.split(r"\W+", (title or "").lower(), flags=re.A) if len(w) > 3}
+@lru_cache(4096)
+def _words(title: str) -> frozenset[str]:
+    return frozenset(w for w in re.split(r"\W+", (title or "").lower(), flags=re.A) if len(w) > 3)
 
 
 FACTS = ("budget", "timeline", "share")
@@ -110,21 +112,37 @@ def milestones_merged(rows: DataFrame, key: str, days: int = 30, shared: int = 2
         out["status"] = canon["status"] if canon["status"] != "general" else b["status"]
         return out | {"from_id": a["from_id"], "merged": a["merged"] + 1, "words": _words(canon["title"]), "place": a["place"]}
 
+    # The state: milestones by place; places, in order, that may still be near, as days fall; and places by address. A merged milestone's day or address may be another, so it is noted anew.
+    def noted(state, m: dict, url: str | None = None) -> None:
+        kept, near, places = state
+        if m["place"] not in near:
+            insort(near, m["place"])
+        if url and url != m["url"]:
+            places[url].discard(m["place"])
+        if m["url"]:
+            places.setdefault(m["url"], set()).add(m["place"])
+
     def step(state, row):
         x = dict(zip(names, row)) | {"from_id": row[0], "merged": 1}
         x["words"] = _words(x["title"])
-        kept = state or []
-        for k, m in enumerate(kept):
-            near = abs(m["day"] - x["day"]) <= days and len(m["words"] & x["words"]) >= shared
-            if near or (x["url"] and m["url"] == x["url"]):
-                kept[k] = merge(m, x)
-                return kept, []
-        x["place"] = len(kept)
-        kept.append(x)
-        return kept, []
+        state = state or ([], [], {})
+        kept, near, places = state
+        near[:] = [k for k in near if kept[k]["day"] - x["day"] <= days]
+        first = next((k for k in near if x["day"] - kept[k]["day"] <= days and len(kept[k]["words"] & x["words"]) >= shared), None)
+        same = min(places.get(x["url"]) or (), default=None) if x["url"] else None
+        k = min((p for p in (first, same) if p is not None), default=None)
+        if k is None:
+            x["place"] = len(kept)
+            kept.append(x)
+            noted(state, x)
+        else:
+            former = kept[k]["url"]
+            kept[k] = merge(kept[k], x)
+            noted(state, kept[k], former)
+        return state, []
 
     def last(state):
-        return [(m[key], m["from_id"], m["id"], m["day"], m["official"], m["budget"], m["timeline"], m["share"], m["status"], m["merged"]) for m in state]
+        return [(m[key], m["from_id"], m["id"], m["day"], m["official"], m["budget"], m["timeline"], m["share"], m["status"], m["merged"]) for m in state[0]]
 
     ordered = rows.select(*names).withColumn("_newest", -F.col("day"))
     return fold(ordered, [key], ["_newest", "id"], lambda s, r: step(s, r[:-1]), schema, last)
