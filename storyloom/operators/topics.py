@@ -5,8 +5,8 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterator, Sequence
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,9 @@ PLACE = re.compile(r"\b(in|at|from|near)\s*$")
 TARGET = re.compile(r"\b(attacks?|targeted|against|hits?)\s*$")
 OPERATOR = re.compile(r"\b(operat(?:es?|ing)|deploy(?:s|ed|ment)?|aircraft|personnel)\b")
 INCIDENTAL = re.compile(r"\b(histor(?:y|ical)|previously|former(?:ly)?|background)\b", re.I)
+# Each of them holds one of these, which is found out sooner.
+INCIDENTAL_STARTS = ("histor", "previously", "former", "background")
+CLAUSE_END = re.compile(r"[.!?:]")
 BEFORE, AFTER, ROLE_BEFORE, ROLE_AFTER = 70, 85, 36, 40
 EVENTS = {"military": r"\b(military|army|air|navy|border|force|attack|personnel)\b", "diplomatic": r"\b(talk|meeting|negotiat|diplom)\b"}
 CANDIDATE = r"\b(?:[A-Z][\p{L}\p{N}'-]+\s+){1,4}(?:Air Base|Airbase|Base|Facility|Airport|Exercise|Operation)\b"
@@ -35,14 +38,14 @@ CANDIDATE = r"\b(?:[A-Z][\p{L}\p{N}'-]+\s+){1,4}(?:Air Base|Airbase|Base|Facilit
 
 def normal(text: str) -> str:
     """Compatibility forms without marks in small letters, hyphens and white space as single spaces."""
-    plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.category(c).startswith("M")).lower()
+    plain = text.lower() if text.isascii() else "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.category(c).startswith("M")).lower()
     return re.sub(r"[_\s-]+", " ", re.sub(HYPHENS, "-", plain)).strip()
 
 
-def searchable(text: str) -> tuple[str, list[int]]:
+def searchable(text: str) -> tuple[str, Sequence[int]]:
     """``text`` in compatibility forms and small letters, and for each character of it the place in ``text`` that it comes from."""
     if text.isascii():
-        return re.sub(r"\.", "-", text.lower()), list(range(len(text)))
+        return text.lower().replace(".", "-"), range(len(text))
     chars, places = [], []
     for at, c in enumerate(text):
         plain = re.sub(HYPHENS, "-", unicodedata.normalize("NFKD", c).lower())
@@ -78,11 +81,17 @@ def role(kind: str, text: str, start: int) -> str:
 
 def incidental(text: str, start: int) -> bool:
     """Whether the words before a mention, or those after it up to the end of the clause, say that it is background only."""
-    after = re.split(r"[.!?:]", text[start : start + AFTER], maxsplit=1)[0]
-    return bool(INCIDENTAL.search(text[max(0, start - BEFORE) : start] + after))
+    end = CLAUSE_END.search(text, start, start + AFTER)
+    around = text[max(0, start - BEFORE) : end.start() if end else start + AFTER]
+    if around.isascii():
+        plain = around.lower()
+        if not any(w in plain for w in INCIDENTAL_STARTS):
+            return False
+    return bool(INCIDENTAL.search(around))
 
 
 RUN = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*")
+ASCII_RUN = re.compile("[A-Za-z0-9]+")
 PLAIN_RUN = regex.compile(r"[\p{L}\p{N}]+")
 GAP = re.compile(rf"[\s{HYPHENS[1:-1]}-]+")
 ACRONYM = re.compile("[A-Za-z]{2,4}")
@@ -136,24 +145,29 @@ class AliasTrie:
         self.short: dict[str, list[int]] = {}
         for word, k in arrays["short"]:
             self.short.setdefault(word, []).append(k)
+        # what a word must be for an alias to begin with it: the start of an acronym, or a word behind the root
+        self.prefixes = {word[:n] for word in self.short for n in range(1, len(word) + 1)}
+        self.first = self.prefixes | {w for w, k in self.words.items() if k in self.edges}
 
     def places(self, body: str) -> Iterator[tuple[int, int, int]]:
         """(alias, first, last) of what may be an alias in ``body``, by place; an alias never overlaps itself."""
-        runs = [m.span() for m in RUN.finditer(body)]
-        said = [body[a:b] if body.isascii() else regex.sub(r"\p{M}+", "", body[a:b]) for a, b in runs]
-        numbers, until = [self.words.get(w) for w in said], {}
+        ascii_only = body.isascii()
+        runs = [m.span() for m in (ASCII_RUN if ascii_only else RUN).finditer(body)]
+        said = [body[a:b] if ascii_only else regex.sub(r"\p{M}+", "", body[a:b]) for a, b in runs]
+        until: dict[int, int] = {}
         checked: set[int] = set()
-        for i, (first, last) in enumerate(runs):
+        for i in [i for i, w in enumerate(said) if w in self.first]:
+            first = runs[i][0]
             found, word, j = [], said[i], i
-            while word in self.short or len(word) < 4:
+            while word in self.prefixes:
                 found += [(k, runs[j][1]) for k in self.short.get(word, ())]
                 j += 1
                 if j == len(runs) or body[runs[j - 1][1] : runs[j][0]] not in (".", "-"):
                     break
                 word += said[j]
             node, j, plain = 0, i, True
-            while j < len(runs) and numbers[j] is not None:
-                node = self.edges.get(node * self.many + numbers[j])
+            while j < len(runs) and (number := self.words.get(said[j])) is not None:
+                node = self.edges.get(node * self.many + number)
                 if node is None:
                     break
                 plain = plain and (j == i or bool(GAP.fullmatch(body, runs[j - 1][1], runs[j][0])))
@@ -189,11 +203,11 @@ class AliasTrie:
 MENTION = "topic string, role string, confidence double, start int, end int, kind string"
 
 
-def mentions(texts: DataFrame, aliases: DataFrame, column: str = "text") -> DataFrame:
+def mentions(texts: DataFrame, aliases: DataFrame, column: str = "text", every: bool = False) -> DataFrame:
     """The other columns of ``texts``, then topic, role, confidence, start, end and kind of each mention in ``column``.
 
     ``aliases``: topic, alias, topic_type, terms (an alias counts only in texts that hold one of its terms; null: always), rejected. Places count characters. Background
-    mentions are left out, and so are null texts. The registry goes to every worker and may have ``MOST_ALIASES`` rows at most; more is an error, never a cut.
+    mentions are left out, and so are null texts; with ``every``, a text without mentions has one row, of nulls. The registry goes to every worker and may have ``MOST_ALIASES`` rows at most; more is an error, never a cut.
     """
     rows = aliases.where("NOT coalesce(rejected, false)").select("topic", "alias", "topic_type", "terms").limit(MOST_ALIASES + 1).collect()
     if len(rows) > MOST_ALIASES:
@@ -201,13 +215,14 @@ def mentions(texts: DataFrame, aliases: DataFrame, column: str = "text") -> Data
     shared = texts.sparkSession.sparkContext.broadcast(trie_arrays(sorted((tuple(r) for r in rows), key=str)))
     rest = [c for c in texts.columns if c != column]
     types = (pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string())
+    nothing = [(None,) * len(types)] if every else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         registry = AliasTrie(shared.value)
         for batch in (part for whole in batches for part in slices(whole, column)):
             at, out = [], []
             for k, text in enumerate(batch.column(column).to_pylist()):
-                for found in registry.mentions(text) if text else []:
+                for found in (registry.mentions(text) if text else []) or nothing:
                     at.append(k)
                     out.append(found)
             kept = [batch.column(c).take(pa.array(at, pa.int64())) for c in rest]
@@ -217,27 +232,40 @@ def mentions(texts: DataFrame, aliases: DataFrame, column: str = "text") -> Data
     return texts.select(*rest, column).mapInArrow(run, schema)
 
 
-def implied(direct: DataFrame, rules: DataFrame, texts: DataFrame, key: str, column: str = "text") -> DataFrame:
+def told(text: Column) -> Column:
+    """The names of the kinds of events that a text tells of."""
+    low = F.lower(text)
+    # a pattern is tried only on texts that hold one of its words anywhere
+    holds = lambda pattern: reduce(lambda x, y: x | y, [F.contains(low, F.lit(w)) for w in pattern[3:-3].split("|")])
+    return F.array_compact(F.array(*[F.when(F.when(holds(pattern), low.rlike(pattern)), F.lit(name)) for name, pattern in EVENTS.items()]))
+
+
+def implied(texts: DataFrame, aliases: DataFrame, rules: DataFrame, key: str, column: str = "text") -> DataFrame:
     """Mentions that follow from direct ones, as context: of topics that rules (source, implied, actors, events) imply and that the text does not mention itself.
 
     All ``actors`` must be mentioned, and one of ``events`` (military, diplomatic) must be told of if there are any. Implications do not imply further ones.
-    The first mention of the source is the evidence. ``rules`` is joined by source.
+    The first mention of the source is the evidence. ``rules`` is joined by source. Each text is read once: what it tells of goes with its mentions (``mentions``), and all of a key meets in one shuffle.
     """
-    topics = direct.groupBy(key).agg(F.collect_set("topic").alias("_topics"))
-    first = direct.groupBy(key, "topic").agg(F.min(F.struct("start", "end")).alias("_at"))
-    found = first.join(rules, first["topic"] == rules["source"]).join(topics, key).join(texts.select(key, F.lower(column).alias("_body")), key)
-    told = F.lit(False)
-    for name, pattern in EVENTS.items():
-        told = told | (F.array_contains("events", name) & F.col("_body").rlike(pattern))
-    allowed = ~F.array_contains("_topics", F.col("implied")) & F.forall("actors", lambda a: F.array_contains("_topics", a)) & ((F.size("events") == 0) | told)
-    one = found.where(F.coalesce(allowed, F.lit(False))).groupBy(key, "implied").agg(F.min_by("_at", F.struct("source", "_at")).alias("_at"))
+    found = mentions(texts.select(key, told(F.col(column)).alias("_told"), column), aliases, column, every=True)
+    dealt = found.where(F.col("topic").isNotNull() | (F.size("_told") > 0)).select(key, "topic", "start", "end", "_told").repartition(key)
+    kinds = {name: F.bool_or(F.array_contains("_told", name)) for name in EVENTS}
+    first = dealt.groupBy(key, "topic").agg(F.min(F.struct("start", "end")).alias("_at"), *[kinds[name].alias(f"_{name}") for name in EVENTS])
+    listed = F.collect_list(F.when(F.col("topic").isNotNull(), F.struct("topic", "_at"))).alias("_all")
+    each = first.groupBy(key).agg(listed, *[F.bool_or(f"_{name}").alias(f"_{name}") for name in EVENTS]).where(F.col(key).isNotNull())
+    each = each.withColumn("_topics", F.transform("_all", lambda x: x["topic"])).select("*", F.explode("_all").alias("_x"))
+    said = F.lit(False)
+    for name in EVENTS:
+        said = said | (F.array_contains("events", name) & F.col(f"_{name}"))
+    allowed = ~F.array_contains("_topics", F.col("implied")) & F.forall("actors", lambda a: F.array_contains("_topics", a)) & ((F.size("events") == 0) | said)
+    one = each.join(rules, F.col("_x.topic") == F.col("source")).where(F.coalesce(allowed, F.lit(False)))
+    one = one.groupBy(key, "implied").agg(F.min_by("_x._at", F.struct("source", "_x._at")).alias("_at"))
     return one.select(key, F.col("implied").alias("topic"), F.lit("context").alias("role"), F.lit(IMPLIED).alias("confidence"), "_at.start", "_at.end", F.lit("implication").alias("kind"))
 
 
 def best_mentions(found: DataFrame, keys: list[str]) -> DataFrame:
-    """For each of ``keys`` and topic the mention of largest confidence, the first of equal ones."""
+    """For each of ``keys`` and topic the mention of largest confidence, the first of equal ones, and ``mentions``, the number of all."""
     best = F.struct(F.col("confidence"), (-F.col("start")).alias("s"), (-F.col("end")).alias("e"))
-    return found.groupBy(*keys, "topic").agg(F.max_by(F.struct("role", "confidence", "start", "end", "kind"), best).alias("m")).select(*keys, "topic", "m.*")
+    return found.groupBy(*keys, "topic").agg(F.max_by(F.struct("role", "confidence", "start", "end", "kind"), best).alias("m"), F.count("*").alias("mentions")).select(*keys, "topic", "m.*", "mentions")
 
 
 def candidates(texts: DataFrame, column: str) -> DataFrame:

@@ -53,8 +53,7 @@ def topic_implications(spark, sf_dir):
     implied = F.concat(F.lit("t"), (n + 100).cast("string"))
     rules = registry(spark, sf_dir).where(n % 2 == 0).select(F.col("topic").alias("source"), implied.alias("implied"), F.array(F.col("topic")).alias("actors"), F.when(n % 4 == 0, F.array(F.lit("military"))).otherwise(F.array().cast("array<string>")).alias("events"))
     found = texts(spark, sf_dir).select("id", "text")
-    direct = topics.mentions(found, registry(spark, sf_dir))
-    return topics.implied(direct, rules, found, "id").select("id", "topic", "role", "confidence", "start")
+    return topics.implied(found, registry(spark, sf_dir), rules, "id").select("id", "topic", "role", "confidence", "start")
 
 
 @query(
@@ -65,9 +64,8 @@ def cluster_topics(spark, sf_dir):
     """The best mention of each topic in a cluster: all are direct ones, so the first of the first report counts."""
     found = topics.mentions(texts(spark, sf_dir), registry(spark, sf_dir))
     best = topics.best_mentions(found, ["cluster", "id"])
-    counted = found.groupBy("cluster", "topic").agg(F.count("*").alias("mentions"))
-    first = best.groupBy("cluster", "topic").agg(F.min_by("role", F.struct("id", "start")).alias("role"))
-    return first.join(counted, ["cluster", "topic"]).select("cluster", "topic", "role", "mentions")
+    # one pass over the mentions: each report's are counted as its best one is found
+    return best.groupBy("cluster", "topic").agg(F.min_by("role", F.struct("id", "start")).alias("role"), F.sum("mentions").alias("mentions"))
 
 
 @query("topic_candidates", f"WITH {REPORTS} SELECT name, count(*) AS n, min(id) AS first_id FROM (SELECT id, unnest(regexp_extract_all(replace(title, 'NATION_', 'Nation'), '(^|[^A-Za-z0-9])((?:[A-Z][A-Za-z0-9''-]+\\s+){{1,4}}(?:Air Base|Base))', 2)) AS name FROM reports) GROUP BY 1".replace("{{", "{").replace("}}", "}"))
