@@ -17,28 +17,31 @@ def capped_files(spark: SparkSession, path: str, most: int = MOST_BYTES) -> Data
     return small.union(files.where(F.col("length") > most).select("path", "length", F.lit(None).cast("binary")))
 
 
-def tag_value(block: Column, tag: str) -> Column:
-    """What the first element ``tag`` of an XML block holds, without CDATA marks; empty if there is none."""
-    return F.trim(F.regexp_extract(block, rf"(?is)<{tag}(?:\s[^>]*)?>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</{tag}>", 1))
+def tag_value(block: Column, tag: str, low: Column | None = None) -> Column:
+    """What the first element ``tag`` of an XML block holds, without CDATA marks; empty if there is none. ``low`` is the block in small letters, by which blocks without the tag are found out sooner."""
+    found = F.trim(F.regexp_extract(block, rf"(?is)<{tag}(?:\s[^>]*)?>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</{tag}>", 1))
+    return found if low is None else F.when(low.contains(f"<{tag.lower()}"), found).otherwise("")
 
 
-def attribute(block: Column, tag: str, name: str, test: str = "") -> Column:
+def attribute(block: Column, tag: str, name: str, test: str = "", low: Column | None = None) -> Column:
     """The attribute ``name`` of the first element ``tag`` that also has ``test`` in it; empty if there is none."""
-    return cleaning.named_entities(F.regexp_extract(block, rf"(?i)<{tag}\b(?=[^>]*{test})[^>]*?\b{name}=[\"']([^\"']+)[\"']", 1))
+    found = cleaning.named_entities(F.regexp_extract(block, rf"(?i)<{tag}\b(?=[^>]*{test})[^>]*?\b{name}=[\"']([^\"']+)[\"']", 1))
+    return found if low is None else F.when(low.contains(f"<{tag.lower()}"), found).otherwise("")
 
 
 def first_filled(*values: Column) -> Column:
-    return F.coalesce(*[F.nullif(v, F.lit("")) for v in values], F.lit(""))
+    """The first value that is neither null nor empty, else empty. Each is worked out once, and only if those before are not filled."""
+    return F.coalesce(*[cleaning.bound(v, lambda x: F.when(x != "", x)) for v in values], F.lit(""))
 
 
 def web(url: Column) -> Column:
-    return F.when(url.rlike("(?i)^https?://[^/]"), url).otherwise("")
+    return cleaning.bound(url, lambda u: F.when(u.rlike("(?i)^https?://[^/]"), u).otherwise(""))
 
 
 def published(text: Column, otherwise: Column) -> Column:
     """The time of an item's date, in ISO or mail form; ``otherwise`` for what is neither."""
-    mail = F.regexp_replace(F.regexp_replace(F.trim(text), r"^[A-Za-z]{3},\s*", ""), r"\s*(GMT|UTC|Z)$", " +0000")
-    return F.coalesce(F.try_to_timestamp(F.trim(text)), F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss Z")), otherwise)
+    mail = lambda t: F.regexp_replace(F.regexp_replace(t, r"^[A-Za-z]{3},\s*", ""), r"\s*(GMT|UTC|Z)$", " +0000")
+    return F.coalesce(cleaning.bound(F.trim(text), lambda t: F.coalesce(F.try_to_timestamp(t), F.try_to_timestamp(mail(t), F.lit("d MMM yyyy HH:mm:ss Z")))), otherwise)
 
 
 def feed_items(feeds: DataFrame, column: str, now: Column, most: int = MOST_BYTES) -> DataFrame:
@@ -52,20 +55,28 @@ def feed_items(feeds: DataFrame, column: str, now: Column, most: int = MOST_BYTE
     atom = F.col(column).rlike("(?i)<(feed|entry)[\\s>]")
     blocks = F.when(atom, F.regexp_extract_all(column, F.lit("(?is)<entry[\\s>].*?</entry>"), F.lit(0))).otherwise(F.regexp_extract_all(column, F.lit("(?is)<item[\\s>].*?</item>"), F.lit(0)))
     items = feeds.where(F.octet_length(column) <= most).select(*rest, F.explode(blocks).alias("_block"))
-    b = F.col("_block")
-    url = first_filled(attribute(b, "link", "href"), tag_value(b, "link"), web(tag_value(b, "guid")))
-    found = items.select(
-        *rest,
-        cleaning.plain_text(cleaning.named_entities(tag_value(b, "title"))).alias("title"),
-        web(cleaning.named_entities(url)).alias("url"),
-        published(first_filled(*[tag_value(b, t) for t in ("pubDate", "published", "updated", "dc:date")]), now).alias("published"),
-        cleaning.plain_text(cleaning.named_entities(first_filled(*[tag_value(b, t) for t in ("description", "media:description", "summary", "content:encoded", "content")]))).alias("body"),
-        first_filled(web(attribute(b, "media:thumbnail", "url")), web(attribute(b, "media:content", "url", "(?:type=[\"']image/|medium=[\"']image[\"'])")), web(attribute(b, "enclosure", "url", "type=[\"']image/"))).alias("thumbnail"),
-        F.transform(F.regexp_extract_all(b, F.lit("(?is)<(?:category|dc:subject)\\b[^>]*>(?:<!\\[CDATA\\[)?(.*?)(?:\\]\\]>)?</(?:category|dc:subject)>"), F.lit(1)), lambda s: F.trim(s)).alias("_tags"),
-    )
+
+    def item(x: Column) -> Column:
+        b, low = x["b"], x["low"]
+        value, attr = (lambda tag: tag_value(b, tag, low)), (lambda tag, name, test="": attribute(b, tag, name, test, low))
+        url = first_filled(attr("link", "href"), value("link"), web(value("guid")))
+        image = first_filled(web(attr("media:thumbnail", "url")), web(attr("media:content", "url", "(?:type=[\"']image/|medium=[\"']image[\"'])")), web(attr("enclosure", "url", "type=[\"']image/")))
+        tags = F.regexp_extract_all(b, F.lit("(?is)<(?:category|dc:subject)\\b[^>]*>(?:<!\\[CDATA\\[)?(.*?)(?:\\]\\]>)?</(?:category|dc:subject)>"), F.lit(1))
+        return F.struct(
+            cleaning.plain_text(cleaning.named_entities(value("title"))).alias("title"),
+            web(cleaning.named_entities(url)).alias("url"),
+            published(first_filled(*[value(t) for t in ("pubDate", "published", "updated", "dc:date")]), now).alias("published"),
+            cleaning.plain_text(cleaning.named_entities(first_filled(*[value(t) for t in ("description", "media:description", "summary", "content:encoded", "content")]))).alias("body"),
+            image.alias("thumbnail"),
+            F.transform(tags, lambda s: F.trim(s)).alias("_tags"),
+        )
+
+    # an item is an array that is taken out of itself, so that no filter or later column works its fields out anew
+    once = F.filter(F.transform(F.array(F.struct(F.col("_block").alias("b"), F.lower("_block").alias("low"))), item), lambda x: (x["title"] != "") & (x["url"] != ""))
+    found = items.select(*rest, F.explode(once).alias("_item")).select(*rest, "_item.*")
     inline = F.regexp_extract_all(F.concat(F.lit(" "), "title", F.lit(" "), "body"), F.lit(r"\s#([a-zA-Z0-9][a-zA-Z0-9_\-]{1,49})"), F.lit(1))
     tags = F.filter(F.transform(F.concat("_tags", inline), cleaning.clean_tag), lambda t: ~cleaning.is_noise_tag(t))
-    return found.withColumn("tags", first_of_case(tags)).drop("_tags").where("title <> '' AND url <> ''")
+    return found.withColumn("tags", first_of_case(tags)).drop("_tags")
 
 
 def first_of_case(words: Column) -> Column:
@@ -138,13 +149,17 @@ def post_headline(text: Column, most: int = 140) -> Column:
     author = r"(?i)^(?:(?:ADG\s+PI|IAF|Indian\s+Navy|DRDO|MoD|PRO\s+Def|Spokesperson)[^:]*:\s*|X\s*/\s*\w+:\s*|@\w+\s*:\s*)"
     clean = F.trim(F.regexp_replace(without_trackers(cleaning.decode_entities(text)), author, ""))
     clean = cleaning.plain_text(F.trim(F.regexp_replace(clean, r"(?:\s*#[a-zA-Z0-9_]+)+\s*$", "")))
-    sentence = F.regexp_extract(clean, r"^([^.!?]+[.!?])", 1)
-    piece = F.substring(clean, 1, most)
-    words = F.regexp_replace(piece, r"(?s) [^ ]*$", "")
-    return (
-        F.when(F.length(clean) <= most, clean).when(F.length(sentence).between(30, most), F.trim(sentence))
-        .when((F.length(words) > 30) & piece.contains(" "), F.concat(words, F.lit("..."))).otherwise(F.concat(piece, F.lit("...")))
-    )
+
+    def short(c: Column) -> Column:
+        sentence = F.regexp_extract(c, r"^([^.!?]+[.!?])", 1)
+        piece = F.substring(c, 1, most)
+        words = F.regexp_replace(piece, r"(?s) [^ ]*$", "")
+        return (
+            F.when(F.length(c) <= most, c).when(F.length(sentence).between(30, most), F.trim(sentence))
+            .when((F.length(words) > 30) & piece.contains(" "), F.concat(words, F.lit("..."))).otherwise(F.concat(piece, F.lit("...")))
+        )
+
+    return cleaning.bound(clean, short)
 
 
 def handle(text: Column) -> Column:
