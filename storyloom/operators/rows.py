@@ -19,6 +19,27 @@ def one_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return df.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_at = 1").drop("_at")
 
 
+#: Rows of one key that meet each other in one task.
+PAIRED = 4096
+
+
+def pairs_of_equals(df: DataFrame, key: str, order: str, paired: int = PAIRED) -> DataFrame:
+    """(later, earlier): all pairs of rows with equal ``key``, by ``order``; null keys are equal to nothing.
+
+    Rows of a key are dealt to blocks of about ``paired``, and each two blocks meet in a part of their own: the number of pairs is that of the result, but a part is bounded however many rows a key has.
+    """
+    known = df.select(key, order).where(F.col(key).isNotNull())
+    large = known.groupBy(key).agg(F.ceil(F.count("*") / paired).alias("_of")).where("_of > 1")
+    dealt = known.join(F.broadcast(large), key, "left").withColumn("_of", F.coalesce("_of", F.lit(1))).withColumn("_own", F.pmod(F.xxhash64(order), "_of"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_of") - 1))
+    a = dealt.select(key, F.col("_own").alias("_a"), every.alias("_b"), F.col(order).alias("later"))
+    b = dealt.select(key, every.alias("_a"), F.col("_own").alias("_b"), F.col(order).alias("earlier"))
+    # small tables make many pairs: a number of parts that is asked for is neither broadcast nor put together
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a, b = [x.repartition(parts, key, "_a", "_b") for x in (a, b)]
+    return a.join(b.hint("merge"), [key, "_a", "_b"]).where("later > earlier").select("later", "earlier")
+
+
 def matching(df: DataFrame, **wanted) -> DataFrame:
     """Rows that meet every given option; options that are None do not count."""
     tests = [F.col(k).isin(*v) if isinstance(v, (list, tuple)) else F.col(k) == v for k, v in wanted.items() if v is not None]
