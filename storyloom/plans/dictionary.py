@@ -36,7 +36,7 @@ WORDS_OF = "regexp_split_to_array(lower(text), '[^a-z0-9_]+')"
 def patterns_in_documents(spark, sf_dir):
     """All patterns against all documents: of each document how many it has, and the first and last of their words."""
     known = Scratch(spark).written(pattern_dictionary(spark, sf_dir), "dictionary")
-    found = dictionary.found_patterns(read(spark, sf_dir, "documents"), "doc_id", "text", known).join(known, "position")
+    found = dictionary.found_patterns(read(spark, sf_dir, "documents"), "doc_id", "text", known, "word")
     return found.groupBy("doc_id").agg(F.count("*").alias("patterns"), F.min("word").alias("first_word"), F.max("word").alias("last_word"))
 
 
